@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
 def fill(count: int, per: int, least: int = 1) -> int:
     """How many parts of about ``per`` units hold ``count`` units."""
     return max(least, -(-int(count or 0) // per))
+
+
+def spread(count: int) -> int:
+    """Pieces into which to cut each key of ``count`` rows: both pieces and rows per piece grow as a root."""
+    return max(1, math.isqrt(int(count or 0)) // 4)
