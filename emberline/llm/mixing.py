@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.words import word_count
 from emberline.operators.ranking import blocked
-from emberline.runtime import cut, fill
+from emberline.runtime import cut, spread
 
 #: The points are (t * STEP mod SPAN) / SPAN; STEP / SPAN is the golden ratio's fractional part, STEP odd.
 SPAN = 1 << 31
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.
     rows = cut(rows)
     goals = cut(targets(rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, limit))
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).first()
-    pieces = fill(totals["n"], 50_000)
+    pieces = spread(totals["n"])
     streams = blocked(rows, ["source"], F.expr(f"h div {(2**63 - 1) // pieces + 1}") if pieces > 1 else F.lit(0), [F.col("h"), F.col("doc_id"), F.col("size")], rank="nth", value=F.col("size"), total="start")
     # The stream of a source repeats up to `limit` times; each turn gives the document an interval of positions.
     sized = streams.join(goals.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.operators.ranking import blocked
-from emberline.runtime import cut, fill
+from emberline.runtime import cut, fill, spread
 
 
 def differencing(partials: np.ndarray) -> np.ndarray:
@@ -126,5 +126,5 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     )
     groups = shard_groups(rows.groupBy("group").agg(F.sum("size").alias("bytes")), shards).select("group", "shard")
     placed = cut(rows.join(groups, "group").select("doc_id", "size", "text_crc32", "shard"))
-    pieces = fill(placed.count(), 50_000)
+    pieces = spread(placed.count())
     return blocked(placed, ["shard"], F.pmod(F.xxhash64("doc_id"), F.lit(pieces)), [F.col("doc_id"), F.col("text_crc32")], rank="slot")
