@@ -3,11 +3,11 @@
 Equal word sequences collapse on their smallest doc_id. A document's shingles (five words) give
 64 minimum hashes, sampled shared tokens in the sense that two documents share one with a chance
 of their similarity. In each of ten runs a document enters the node of one chosen token; nodes
-that are too large split again, each member choosing on average 1/0.8 of the tokens, so that a pair
-at the threshold is expected to stay together; small nodes are compared by brute force on the
-tokens, generously. A pair at similarity 0.8 shares a given run's first node with chance 0.8 and
-misses all ten with 1e-7. Nodes that stay large after all splits hold nearly equal documents and
-are kept whole.
+that are too large split again by one more token that the node chooses; small nodes are compared by
+brute force on the tokens, generously. A pair at similarity 0.8 shares a given run's first node
+with chance 0.8 and misses all ten with 1e-7; each further split costs it a factor 0.8 in that run,
+and only where the node is crowded. Nodes that stay large after all splits hold nearly equal
+documents and are kept whole.
 
 What met in any run, and passed, forms clusters; in each, true similarities of all pairs are computed on the whole
 shingle sets, in tiles, so links are exact whichever run found the cluster. Tasks return counts and
@@ -21,6 +21,8 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,22 +95,14 @@ def _enter(runs: int):
     return run
 
 
-def _split(similarity: float):
-    """Members of a large node choose tokens by a hash of node and token number; the choice is the node's, so equal tokens meet."""
-    bar = np.uint64(int((1 << 32) / (similarity * TOKENS)))
-
-    def run(batches):
-        for batch in batches:
-            node = batch.column("node").to_numpy().view(np.uint64)
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            draw = scramble(node[:, None] + np.arange(1, TOKENS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-            take = draw < bar
-            take[np.arange(len(node)), draw.argmin(axis=1)] |= True  # at least one
-            i, t = np.nonzero(take)
-            child = scramble(scramble(node[i] + t.astype(np.uint64)) + tokens[i, t])
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(batch.column("rep").to_numpy()[i])], names=["node", "rep"])
-
-    return run
+def _split(batches):
+    """The members of a large node move on by one more chosen token; the choice is the node's, so equal tokens meet."""
+    for batch in batches:
+        node = batch.column("node").to_numpy().view(np.uint64)
+        tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
+        chosen = (scramble(node ^ np.uint64(0x632BE59BD9B4E019)) % np.uint64(TOKENS)).astype(np.int64)
+        child = scramble(scramble(node + np.uint64(1)) + tokens[np.arange(len(node)), chosen])
+        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("rep"), batch.column("tokens")], names=["node", "rep", "tokens"])
 
 
 def _brute(floor: float):
@@ -139,26 +133,37 @@ def _brute(floor: float):
     return run
 
 
-def candidate_clusters(sketches: DataFrame, similarity: float, runs: int, limit: int, depth: int) -> DataFrame:
-    """(id, component) of the documents that share a cluster with a smaller one; ``sketches`` is (rep, tokens)."""
+def candidate_clusters(sketches: DataFrame, similarity: float, runs: int, limit: int, depth: int | None = None) -> DataFrame:
+    """(id, component) of the documents that share a cluster with a smaller one; ``sketches`` is (rep, tokens).
+
+    Every document is in one node of each run at every level, so rows never exceed documents times
+    runs. Paths may be as long as halving would need to bring all documents below ``limit``.
+    """
     floor = max(0.0, similarity - 5 * (similarity * (1 - similarity) / TOKENS) ** 0.5)
-    nodes = sketches.mapInArrow(_enter(runs), "node long, rep long")
-    links = None
-    for level in range(depth + 1):
-        nodes = cut(nodes.distinct() if level else nodes)
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low")).where("n > 1")
-        small = nodes.join(sizes.where(F.col("n") <= limit).select("node"), "node").join(sketches, "rep")
-        parts = fill(nodes.count(), 50_000)
-        found = small.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("part").applyInArrow(_brute(floor), "src long, dst long")
-        links = found if links is None else links.unionByName(found)
-        large = sizes.where(F.col("n") > limit)
+    if depth is None:
+        depth = max(2, math.ceil(math.log2(max(2, sketches.count() / limit))))
+    sizes_of = lambda rows: rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low")).where("n > 1")
+
+    def brute(rows: DataFrame) -> DataFrame:
+        parts = fill(rows.count(), 20_000)
+        return rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("part").applyInArrow(_brute(floor), "src long, dst long")
+
+    entered = cut(sketches.mapInArrow(_enter(runs), "node long, rep long"))
+    met = cut(entered.join(sizes_of(entered), "node"))
+    links = brute(met.where(F.col("n") <= limit).join(sketches, "rep"))
+    large = met.where(F.col("n") > limit)
+    if large.isEmpty():
+        return component_roots(links)
+    large = cut(large.join(sketches, "rep"))
+    for level in range(1, depth + 1):
+        moved = cut(large.select("node", "rep", "tokens").mapInArrow(_split, "node long, rep long, tokens binary"))
+        met = cut(moved.join(sizes_of(moved), "node"))
+        links = links.unionByName(brute(met.where(F.col("n") <= limit)))
+        large = met.where(F.col("n") > limit)
         if large.isEmpty():
             break
-        inside = nodes.join(large.select("node", "low"), "node")
-        if level == depth:
-            links = links.unionByName(inside.select(F.col("rep").alias("src"), F.col("low").alias("dst")))
-        else:
-            nodes = inside.select("node", "rep").join(sketches, "rep").select("node", "rep", "tokens").mapInArrow(_split(similarity), "node long, rep long")
+    else:
+        links = links.unionByName(large.select(F.col("rep").alias("src"), F.col("low").alias("dst")))
     return component_roots(links)
 
 
@@ -237,7 +242,7 @@ def _verify(similarity: float):
 
 
 def near_duplicate_documents(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, runs: int = 10, limit: int = 256, depth: int = 6, tile: int = 1024
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, runs: int = 10, limit: int = 256, depth: int | None = None, tile: int = 1024
 ) -> DataFrame:
     """(doc_id, class_id, n_links, kept), one row per input row.
 
