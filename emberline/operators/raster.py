@@ -79,7 +79,7 @@ def clipped_fraction(raw: Column, tolerance: float = 1e-9) -> tuple[Column, Colu
     """Value clipped within the tolerance only, whether it was clipped, whether it must be rejected."""
     value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))
     bad = F.coalesce(F.isnan(raw) | (raw < -tolerance) | (raw > 1 + tolerance), F.lit(False))
-    return F.when(~bad, value), F.coalesce(~bad & (value != raw), F.lit(False)), bad
+    return F.when(~bad & raw.isNotNull(), value), F.coalesce(~bad & (value != raw), F.lit(False)), bad
 
 
 def percentiles_ordered(columns: list[str]) -> Column:
