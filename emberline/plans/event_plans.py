@@ -86,15 +86,15 @@ def st_components(spark, sf_dir):
 
 
 @BOOK.query(f"""{_one}, {_events} SELECT component, epoch_us(start_ts) AS start_us, epoch_us(end_ts) AS end_us, detection_count, array_to_string(sources, ',') AS sources, array_to_string(satellites, ',') AS satellites,
-  round(centroid_lat, 6) AS centroid_lat, round(centroid_lon, 6) AS centroid_lon, round(bbox_w, 6) AS bbox_w, round(bbox_n, 6) AS bbox_n, round(max_gap_hours, 6) AS max_gap_hours, frp_min, frp_max,
-  round(frp_mean, 6) AS frp_mean, round(frp_median, 6) AS frp_median, round(frp_sum, 6) AS frp_sum, round(day_fraction, 6) AS day_fraction, daynight_known_count, round(duration_hours, 6) AS duration_hours, calendar_days,
+  round(centroid_lat, 10) AS centroid_lat, round(centroid_lon, 10) AS centroid_lon, round(bbox_w, 6) AS bbox_w, round(bbox_n, 6) AS bbox_n, round(max_gap_hours, 6) AS max_gap_hours, frp_min, frp_max,
+  round(frp_mean, 9) AS frp_mean, round(frp_median, 6) AS frp_median, round(frp_sum, 6) AS frp_sum, round(day_fraction, 6) AS day_fraction, daynight_known_count, round(duration_hours, 6) AS duration_hours, calendar_days,
   len(sources) = 2 AS both_sensors, calendar_days > 1 AS multi_day FROM ev""")
 def event_summary(spark, sf_dir):
     out = E.summarise(_members(spark, sf_dir, [ONE]), ["component"])
     return out.select(
         "component", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "detection_count", F.array_join("sources", ",").alias("sources"), F.array_join("satellites", ",").alias("satellites"),
-        *[F.round(c, 6).alias(c) for c in ("centroid_lat", "centroid_lon", "bbox_w", "bbox_n", "max_gap_hours")], "frp_min", "frp_max",
-        *[F.round(c, 6).alias(c) for c in ("frp_mean", "frp_median", "frp_sum", "day_fraction")], "daynight_known_count", F.round("duration_hours", 6).alias("duration_hours"), F.col("calendar_days").cast("long").alias("calendar_days"),
+        *[F.round(c, 10 if c.startswith("c") else 6).alias(c) for c in ("centroid_lat", "centroid_lon", "bbox_w", "bbox_n", "max_gap_hours")], "frp_min", "frp_max",
+        *[F.round(c, 9 if c == "frp_mean" else 6).alias(c) for c in ("frp_mean", "frp_median", "frp_sum", "day_fraction")], "daynight_known_count", F.round("duration_hours", 6).alias("duration_hours"), F.col("calendar_days").cast("long").alias("calendar_days"),
         "both_sensors", "multi_day",
     )
 
