@@ -1,9 +1,9 @@
 """Supervised subword embeddings: a document is the mean of learned vectors of its hashed words and
-character n-grams; a softmax layer scores it. Trained by numpy stochastic gradient descent in one
+character n-grams (and of one feature for a word said twice running); a softmax layer scores it. Trained by numpy stochastic gradient descent in one
 task on a bounded sample of labelled rows; scoring reads every whole text where it lies.
 
 Since scores need only the difference of the two outputs, each bucket's vector folds into one number
-before scoring. Null and empty texts have no features and score the learned bias; a null doc_id is
+before scoring. Null and empty texts have no features and score 0.5; a null doc_id is
 never held out and never learned from; labels that repeat count once, the smallest quality wins;
 without labels of both kinds every score is the share of label 1 (0.5 if there is none); other
 columns are ignored; an empty table gives no rows.
@@ -20,6 +20,10 @@ from emberline.llm.rolling import Spans, scramble
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4)
+#: The feature of a word that equals the word before it, whatever the word.
+AGAIN = np.uint64(0x9D39247E33776D41)
+#: Features of no meaning that every mean holds, so that a few words decide little.
+PRIOR = 40
 #: Code points that are hashed at once; longer texts are cut between words.
 PART = 1 << 19
 FOLDS = 5
@@ -33,7 +37,9 @@ def features(text: str) -> np.ndarray:
     spans = Spans(scramble(coded.astype(np.uint64) + np.uint64(1)))
     starts = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
     ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    found = [spans.at(starts, ends)]
+    words = spans.at(starts, ends)
+    again = np.flatnonzero(words[1:] == words[:-1])
+    found = [words, np.full(len(again), AGAIN)]
     gaps = np.concatenate([[0], np.cumsum(gap)])
     for n in GRAMS:
         at = np.flatnonzero(gaps[n - 1 : len(gap)] - gaps[1 : len(gap) - n + 2] == 0) if len(gap) >= n else np.empty(0, np.int64)
@@ -53,36 +59,40 @@ def parts(text: str):
     yield text[at:]
 
 
-def train(texts: list[str], labels: np.ndarray, dims: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 5) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: np.ndarray, dims: int = 16, steps: int = 12_000, rate: float = 0.5, seed: int = 5) -> tuple[np.ndarray, float]:
     """(a number per bucket, bias): the logit of label 1 is the mean of the buckets' numbers plus the bias."""
     share = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
         share = min(max(share, 0.02), 0.98) if len(labels) else 0.5
         return np.zeros(BUCKETS), float(np.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1 / dims, 1 / dims, (BUCKETS, dims)).astype(np.float32)
-    out, bias = np.zeros((2, dims), np.float32), np.zeros(2, np.float32)
+    # Features that training never met add nothing; both labels weigh half, so no features mean 0.5.
+    table = np.zeros((BUCKETS, dims), np.float32)
+    out = rng.normal(0, dims**-0.5, (2, dims)).astype(np.float32)
     bags = []
     for t in texts:
         names, n = np.unique(np.concatenate([features(p) for p in parts(t)]), return_counts=True)
-        bags.append((names, (n / max(1, n.sum())).astype(np.float32)))
-    steps, at = epochs * len(texts), 0
+        bags.append((names, (n / (n.sum() + PRIOR)).astype(np.float32)))
+    # Both labels weigh half, and small samples are gone through more often.
+    weight = np.array([0.5 / (1 - share), 0.5 / share], np.float32)
+    epochs, at = -(-steps // len(texts)), 0
+    steps = epochs * len(texts)
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
             names, w = bags[i]
             mean = w @ table[names]
-            z = out @ mean + bias
+            z = out @ mean
             p = np.exp(z - z.max())
             p /= p.sum()
             p[labels[i]] -= 1
+            p *= weight[labels[i]]
             step = np.float32(rate * (1 - at / steps))
             back = out.T @ p
             out -= step * np.outer(p, mean)
-            bias -= step * p
             # The bag's own weights scaled to unit length, so that long texts move their vectors as far as short ones.
             table[names] -= np.outer(step * w / max(1e-9, float(np.sqrt(w @ w))), back)
             at += 1
-    return (table @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0])
+    return (table @ (out[1] - out[0])).astype(np.float64), 0.0
 
 
 def _fit(table: pa.Table) -> pa.Table:
@@ -114,7 +124,7 @@ def score_text(text: str | None, weights: np.ndarray, bias: float) -> float:
         f = features(p)
         total += float(weights[f].sum())
         count += len(f)
-    z = (total / count if count else 0.0) + bias
+    z = total / (count + PRIOR) + bias
     return float(1 / (1 + np.exp(-min(max(z, -500), 500))))
 
 

@@ -5,8 +5,7 @@ its bytes in one of k parts, and repeatedly combines the two partials of largest
 largest part of one with the smallest of the other. Each cell leaves one partial; the same
 combining, cell by cell and then in wider and wider tasks, joins the cells' partials into the shards.
 
-A null text is a group of its own kind (size 8); empty texts are another; ties order by group hash, so
-reruns agree; a repeated row is one more member of its group; other columns are ignored; an empty
+A null text counts as empty (size 8); ties order by group hash, so reruns agree; a repeated row is one more member of its group; other columns are ignored; an empty
 table gives no rows. A group larger than a shard's share still stays whole: its shard is then as
 large as the group.
 """
@@ -112,8 +111,8 @@ def shard_groups(groups: DataFrame, shards: int = 24, per_cell: int = 4096, fan_
 
 
 def text_group(text: Column) -> Column:
-    """Equal texts, and only they, share it."""
-    return F.coalesce(F.sha2(text, 256), F.lit("null"))
+    """Equal texts share it; a null text counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:

@@ -46,7 +46,7 @@ def test_shards(spark, sf, odd):
             groups[(r.size, r.text_crc32)].add(r.shard)
         assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(24))
         assert all(len(v) == 1 for v in groups.values())
-    assert sorted(r.size for r in sharding.shard_documents(odd).collect()) == sorted([11, 11, 8, 8, 10, 108, 18008, 8, 8, 15])
+    assert sorted(r.size for r in sharding.shard_documents(odd).collect()) == sorted([13, 13, 8, 8, 10, 108, 18008, 8, 8, 15])
     assert sharding.shard_documents(odd.where("doc_id < 0")).count() == 0
 
 
