@@ -2,10 +2,64 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.runtime import cut
+from emberline.runtime import cut, fill
+
+#: Edges that one task contracts to a forest before the rounds.
+PER_TASK = 250_000
+
+
+def spanning_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 and links a-b, the smallest node of each node's component."""
+    root = np.arange(n)
+    while len(a):
+        ra, rb = root[a], root[b]
+        low = np.minimum(ra, rb)
+        before = root.copy()
+        np.minimum.at(root, ra, low)
+        np.minimum.at(root, rb, low)
+        while True:
+            jumped = root[root]
+            if np.array_equal(jumped, root):
+                break
+            root = jumped
+        if np.array_equal(before, root):
+            break
+        keep = root[a] != root[b]
+        a, b = a[keep], b[keep]
+    return root
+
+
+def _contract(keys: list[str]):
+    """A partition's edges as stars: every node that is not the smallest of its component points to that."""
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        n = table.num_rows
+        group = np.zeros(n, np.int64)
+        for k in keys:
+            codes, names = pd.factorize(table.column(k).to_pandas())
+            group = group * len(names) + codes
+        ends = pd.concat([table.column("u").to_pandas(), table.column("v").to_pandas()], ignore_index=True)
+        codes, names = pd.factorize(ends, sort=True)
+        nodes, at = np.unique(np.concatenate([group, group]) * len(names) + codes, return_inverse=True)
+        root = spanning_roots(len(nodes), at[:n], at[n:])
+        row = np.empty(len(nodes), np.int64)
+        row[at] = np.tile(np.arange(n), 2)
+        low = np.flatnonzero(root != np.arange(len(nodes)))
+        name = lambda i: pa.array(np.asarray(names)[nodes[i] % len(names)], table.schema.field("u").type)
+        cols = [table.column(k).take(pa.array(row[low])).combine_chunks() for k in keys]
+        yield pa.RecordBatch.from_arrays([*cols, name(low), name(root[low])], names=[*keys, "u", "v"])
+
+    return run
 
 
 def _stars(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,8 +76,9 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", keys:
     """(keys, id, component) for every id that has an edge and is not its component's smallest id.
 
     ``edges`` may repeat, point both ways or loop; null ends are ignored. Ids are of any ordered
-    type. With ``keys`` the graph of each key is solved in the same loop. Every round writes a
-    checkpoint; edges shrink to one per vertex, and O(log n) rounds are enough.
+    type. With ``keys`` the graph of each key is solved in the same loop. Tasks first contract
+    their share of the edges to stars, which solves a graph of one share; every round then writes a
+    checkpoint, edges shrink to one per vertex, and O(log n) rounds are enough.
     """
     keys = keys or []
     now = cut(
@@ -31,6 +86,11 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", keys:
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") > F.col("v")))
         .distinct()
     )
+    parts = fill(now.count(), PER_TASK)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema.fields)
+    now = cut(now.select(*keys, "u", "v").repartition(parts).mapInArrow(_contract(keys), kinds).distinct() if parts > 1 else now.select(*keys, "u", "v").coalesce(1).mapInArrow(_contract(keys), kinds))
+    if parts == 1:
+        return now.select(*keys, F.col("u").alias("id"), F.col("v").alias("component"))
     seen = None
     for _ in range(rounds):
         print_of = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*keys, "u", "v")).alias("h")).first()

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from emberline.operators import components
 from emberline.operators import events as E
 from emberline.operators.components import component_roots
 from emberline.operators.proximity import radius_interval_matches, space_time_edges
@@ -92,7 +93,9 @@ def test_stability_counts_pairs(spark):
     assert (got.event_count_a, got.event_count_b) == (3, 2) and got.pair_retention_rate == 1.0 and got.jaccard_coassignment == pytest.approx(2 / 6)
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("per_task", [40, 250_000])
+def test_components_of_random_graphs(spark, monkeypatch, per_task):
+    monkeypatch.setattr(components, "PER_TASK", per_task)
     rng = random.Random(8)
     edges = [(k, rng.randrange(300), rng.randrange(300)) for k in ("x", "y") for _ in range(260)]
     edges += [("path", i, i + 1) for i in range(200)] + [("x", None, 4), ("y", 7, 7)]
