@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.rolling import Spans, scramble, slices, word_bounds, word_hashes
-from emberline.llm.tiles import spanning_roots
-from emberline.operators.components import component_roots
+from emberline.operators.components import component_roots, spanning_roots
 from emberline.operators.ranking import blocked
 from emberline.runtime import cut, fill
 

@@ -1,26 +1,5 @@
 """What tiled pair operators share: links are counted and merged inside a task, never listed."""
 
-from __future__ import annotations
+from emberline.operators.components import spanning_roots
 
-import numpy as np
-
-
-def spanning_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For nodes 0..n-1 and links a-b, the smallest node of each node's component."""
-    root = np.arange(n)
-    while len(a):
-        ra, rb = root[a], root[b]
-        low = np.minimum(ra, rb)
-        before = root.copy()
-        np.minimum.at(root, ra, low)
-        np.minimum.at(root, rb, low)
-        while True:
-            jumped = root[root]
-            if np.array_equal(jumped, root):
-                break
-            root = jumped
-        if np.array_equal(before, root):
-            break
-        keep = root[a] != root[b]
-        a, b = a[keep], b[keep]
-    return root
+__all__ = ["spanning_roots"]

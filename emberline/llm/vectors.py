@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.tiles import spanning_roots
+from emberline.operators.components import component_roots, spanning_roots
 from emberline.llm.topk import finite, matrix
-from emberline.operators.components import component_roots
 from emberline.operators.ranking import blocked
 from emberline.runtime import cut
 

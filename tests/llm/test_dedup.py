@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm import nearjoin, passages, suffixes, vectors
 from emberline.llm.registry import QUERIES
-from emberline.llm.tiles import spanning_roots
+from emberline.operators.components import spanning_roots
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, source string, n_removed string"
