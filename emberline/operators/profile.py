@@ -154,11 +154,20 @@ def audit_summary(audit: DataFrame) -> DataFrame:
     return audit.agg(*[F.count_if(F.col("verdict") == n).alias(n) for n in names]).withColumn("is_complete", (F.col("missing") == 0) & (F.col("failed") == 0) & (F.col("unexpected") == 0))
 
 
-def interval_overlaps(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(a, b, overlap_start, overlap_end) of every two keys whose date intervals meet."""
-    a, b = (rows.select(F.col(key).alias(s), F.col(start).alias(f"{s}0"), F.col(end).alias(f"{s}1")) for s in ("a", "b"))
+def interval_overlaps(rows: DataFrame, key: str, start: str, end: str, days: int = 30) -> DataFrame:
+    """(a, b, overlap_start, overlap_end) of every two keys whose date intervals meet.
+
+    Intervals are dealt to blocks of days; two meet in the block in which their overlap begins, once.
+    """
+    block = lambda d: F.floor(F.unix_date(d) / days)
+
+    def dealt(s: str) -> DataFrame:
+        side = rows.where(F.col(start) <= F.col(end)).select(F.col(key).alias(s), F.col(start).alias(f"{s}0"), F.col(end).alias(f"{s}1"))
+        return side.withColumn("block", F.explode(F.sequence(block(F.col(f"{s}0")), block(F.col(f"{s}1")))))
+
     lo, hi = F.greatest("a0", "b0"), F.least("a1", "b1")
-    return a.join(b, (F.col("a") < F.col("b")) & (F.col("a0") <= F.col("b1")) & (F.col("b0") <= F.col("a1"))).select("a", "b", lo.alias("overlap_start"), hi.alias("overlap_end"))
+    met = dealt("a").join(dealt("b"), "block").where((F.col("a") < F.col("b")) & (lo <= hi) & (F.col("block") == block(lo)))
+    return met.select("a", "b", lo.alias("overlap_start"), hi.alias("overlap_end"))
 
 
 def source_choice(sources: DataFrame, prefix: str, suffix: str, start: str, end: str) -> DataFrame:
