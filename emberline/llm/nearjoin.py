@@ -3,11 +3,14 @@
 Equal word sequences collapse on their smallest doc_id. A document's shingles (five words) give
 64 minimum hashes, sampled shared tokens in the sense that two documents share one with a chance
 of their similarity. In each of ten runs a document enters the node of one chosen token; nodes
-that are too large split again by one more token that the node chooses; small nodes are compared by
-brute force on the tokens, generously. A pair at similarity 0.8 shares a given run's first node
-with chance 0.8 and misses all ten with 1e-7; each further split costs it a factor 0.8 in that run,
-and only where the node is crowded. Nodes that stay large after all splits hold nearly equal
-documents and are kept whole.
+that are too large split again by one more token that the node chooses among those its path has not
+used; small nodes are compared by brute force on the tokens, generously. A pair at similarity 0.8
+shares a given run's first node with chance 0.8 and misses all ten with 1e-7; each further split
+costs it a factor 0.8 in that run. The lengths of a document's paths therefore bound the chance that
+a pair at the threshold was missed in all its runs. Documents for which this chance is above
+1 - ``recall`` take as many runs again, until it is not; a pair is safe as soon as one of its two is.
+Later runs leave nodes whose documents are in one cluster already: nothing is to be found there.
+Nodes that stay large after all splits hold nearly equal documents and are kept whole.
 
 What met in any run, and passed, forms clusters; in each, true similarities of all pairs are computed on the whole
 shingle sets, in tiles, so links are exact whichever run found the cluster. Tasks return counts and
@@ -21,6 +24,7 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -81,27 +85,62 @@ def _sketch(width: int):
     return run
 
 
-def _enter(runs: int):
-    """Every document into the first node of each run."""
-    chosen = [int(x) for x in np.random.default_rng(11).permutation(TOKENS)[:runs]] if runs <= TOKENS else [r % TOKENS for r in range(runs)]
+def _enter(first: int, last: int):
+    """Every document into the first node of the runs from ``first`` to before ``last``; ``used`` has a bit for each token of the path."""
+    order = np.random.default_rng(11).permutation(TOKENS)
+    chosen = [int(order[r % TOKENS]) for r in range(first, last)]
 
     def run(batches):
         for batch in batches:
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            nodes = np.stack([scramble(tokens[:, c].astype(np.uint64) | np.uint64((r + 1) << 40)) for r, c in enumerate(chosen)])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(np.tile(batch.column("rep").to_numpy(), runs))], names=["node", "rep"])
+            nodes = np.stack([scramble(tokens[:, c].astype(np.uint64) | np.uint64((first + i + 1) << 40)) for i, c in enumerate(chosen)])
+            used = np.repeat(np.uint64(1) << np.array(chosen, np.uint64), batch.num_rows)
+            every = lambda c: pa.array(np.tile(batch.column(c).to_numpy(), len(chosen)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(used.view(np.int64)), every("rep"), every("own")], names=["node", "used", "rep", "own"])
 
     return run
 
 
 def _split(batches):
     """The members of a large node move on by one more chosen token; the choice is the node's, so equal tokens meet."""
+    bits = np.arange(TOKENS, dtype=np.uint64)
     for batch in batches:
-        node = batch.column("node").to_numpy().view(np.uint64)
+        node, used = (batch.column(c).to_numpy().view(np.uint64) for c in ("node", "used"))
         tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-        chosen = (scramble(node ^ np.uint64(0x632BE59BD9B4E019)) % np.uint64(TOKENS)).astype(np.int64)
+        draw = scramble(node[:, None] + (bits + np.uint64(1))[None, :] * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        draw[((used[:, None] >> bits[None, :]) & np.uint64(1)) > 0] = 0
+        chosen = draw.argmax(axis=1)
         child = scramble(scramble(node + np.uint64(1)) + tokens[np.arange(len(node)), chosen])
-        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("rep"), batch.column("tokens")], names=["node", "rep", "tokens"])
+        used = used | (np.uint64(1) << chosen.astype(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(used.view(np.int64)), batch.column("rep"), batch.column("own")], names=["node", "used", "rep", "own"])
+
+
+def _missed(similarity: float, runs: int, depth: int):
+    """The chance that a pair at ``similarity`` was in no common last node, from how many of a document's ``runs`` went on through a crowded node at each level.
+
+    Two documents share k of the tokens with the binomial chance; all runs read the same tokens, so
+    k is drawn once for all of them, and after n shared tokens the next is with (k - n) / (64 - n).
+    Paths end early on tokens that few documents have, and so just on those that a pair does not
+    share; therefore the tokens not shared are counted among the paths that end, as far as these go.
+    """
+    k = np.arange(TOKENS + 1)
+    weight = np.array([math.comb(TOKENS, i) * similarity**i * (1 - similarity) ** (TOKENS - i) for i in k.tolist()])
+
+    def run(batches):
+        for batch in batches:
+            entered = np.zeros((batch.num_rows, depth + 2), np.float64)
+            entered[:, 0] = runs
+            for row, counts in enumerate(batch.column("crowded").to_pylist()):
+                for x in counts:
+                    entered[row, x["level"] + 1] = x["m"]
+            together = np.zeros((batch.num_rows, TOKENS + 1))
+            for level in range(depth, -1, -1):
+                shared = np.maximum(0, k - level)[None, :] / (TOKENS - level)
+                on = (entered[:, level + 1] / np.maximum(1, entered[:, level]))[:, None]
+                together = np.maximum(0, shared - on) + np.minimum(shared, on) * together
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array((1 - together) ** runs @ weight)], names=["rep", "missed"])
+
+    return run
 
 
 def _brute(floor: float):
@@ -132,38 +171,57 @@ def _brute(floor: float):
     return run
 
 
-def candidate_clusters(sketches: DataFrame, similarity: float, runs: int, limit: int, depth: int | None = None) -> DataFrame:
+def candidate_clusters(sketches: DataFrame, similarity: float, runs: int, limit: int, depth: int | None = None, recall: float = 0.999) -> DataFrame:
     """(id, component) of the documents that share a cluster with a smaller one; ``sketches`` is (rep, tokens).
 
     Every document is in one node of each run at every level, so rows never exceed documents times
-    runs. Paths may be as long as halving would need to bring all documents below ``limit``.
+    runs; runs after the first ``runs`` are taken only by documents whose paths are too long for
+    ``recall``, and their number doubles. Paths may be as long as halving would need to bring all
+    documents below ``limit``.
     """
     floor = max(0.0, similarity - 5 * (similarity * (1 - similarity) / TOKENS) ** 0.5)
     if depth is None:
         depth = max(2, math.ceil(math.log2(max(2, sketches.count() / limit))))
-    sizes_of = lambda rows: rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low")).where("n > 1")
+    depth = min(depth, TOKENS - 1)
 
-    def brute(rows: DataFrame) -> DataFrame:
+    def brute(rows: DataFrame, tokens: DataFrame) -> DataFrame:
         parts = fill(rows.count(), 20_000)
-        return rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("part").applyInArrow(_brute(floor), "src long, dst long")
-
-    entered = cut(sketches.mapInArrow(_enter(runs), "node long, rep long"))
-    met = cut(entered.join(sizes_of(entered), "node"))
-    links = brute(met.where(F.col("n") <= limit).join(sketches, "rep"))
-    large = met.where(F.col("n") > limit)
-    if large.isEmpty():
-        return component_roots(links)
-    large = cut(large.join(sketches, "rep"))
-    for level in range(1, depth + 1):
-        moved = cut(large.select("node", "rep", "tokens").mapInArrow(_split, "node long, rep long, tokens binary"))
-        met = cut(moved.join(sizes_of(moved), "node"))
-        links = links.unionByName(brute(met.where(F.col("n") <= limit)))
-        large = met.where(F.col("n") > limit)
-        if large.isEmpty():
+        return rows.select("node", "rep").join(tokens.select("rep", "tokens"), "rep").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("part").applyInArrow(_brute(floor), "src long, dst long")
+
+    def descend(entering: DataFrame, first: int, last: int) -> tuple[DataFrame, list[DataFrame]]:
+        """Links from the runs, and per level how many of a document's paths went on through a crowded node."""
+        kinds = "node long, used long, rep long, own long"
+        rows, tokens, links, crowded = cut(entering.mapInArrow(_enter(first, last), kinds)), entering, [], []
+        for level in range(depth + 1):
+            sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1 and a < b").drop("a", "b")
+            met = cut(rows.join(sizes, "node"))
+            links.append(brute(met.where(F.col("n") <= limit), tokens))
+            large = met.where(F.col("n") > limit)
+            if large.isEmpty():
+                break
+            if level == depth:
+                links.append(large.select(F.col("rep").alias("src"), F.col("low").alias("dst")))
+                break
+            crowded.append(large.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).withColumn("level", F.lit(level)))
+            if level == 0:
+                tokens = cut(tokens.select("rep", "tokens").join(large.select("rep").distinct(), "rep", "left_semi"))
+            rows = cut(large.select("node", "used", "rep", "own").join(tokens, "rep").mapInArrow(_split, kinds))
+        return functools.reduce(DataFrame.unionByName, links), crowded
+
+    found, crowded = descend(sketches.withColumn("own", F.col("rep")), 0, runs)
+    roots = component_roots(found)
+    while crowded:
+        paths = functools.reduce(DataFrame.unionByName, crowded).groupBy("rep", "level").agg(F.sum("m").alias("m"))
+        counts = paths.groupBy("rep").agg(F.collect_list(F.struct("level", "m")).alias("crowded"))
+        short = cut(counts.mapInArrow(_missed(similarity, runs, depth), "rep long, missed double").where(F.col("missed") > 1 - recall).select("rep"))
+        if short.isEmpty():
             break
-    else:
-        links = links.unionByName(large.select(F.col("rep").alias("src"), F.col("low").alias("dst")))
-    return component_roots(links)
+        own = roots.select(F.col("id").alias("rep"), F.col("component").alias("own"))
+        again = cut(sketches.join(short, "rep", "left_semi").join(own, "rep", "left").withColumn("own", F.coalesce("own", "rep")))
+        found, more = descend(again, runs, 2 * runs)
+        crowded, runs = crowded + more, 2 * runs
+        roots = component_roots(found.unionByName(roots.select(F.col("id").alias("src"), F.col("component").alias("dst"))))
+    return roots
 
 
 def _sets(width: int):
@@ -241,7 +299,7 @@ def _verify(similarity: float):
 
 
 def near_duplicate_documents(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, runs: int = 10, limit: int = 256, depth: int | None = None, tile: int = 1024
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, runs: int = 10, limit: int = 256, depth: int | None = None, tile: int = 1024, recall: float = 0.999
 ) -> DataFrame:
     """(doc_id, class_id, n_links, kept), one row per input row.
 
@@ -251,7 +309,7 @@ def near_duplicate_documents(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = cut(texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).mapInArrow(_sketch(width), "doc_id long, wa long, wb long, tokens binary"))
     classes = cut(sketched.groupBy("wa", "wb").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("tokens").alias("tokens")))
-    roots = cut(candidate_clusters(classes.select("rep", "tokens"), similarity, runs, limit, depth).withColumnsRenamed({"id": "rep", "component": "cluster"}))
+    roots = cut(candidate_clusters(classes.select("rep", "tokens"), similarity, runs, limit, depth, recall).withColumnsRenamed({"id": "rep", "component": "cluster"}))
     members = roots.unionByName(roots.select(F.col("cluster").alias("rep"), "cluster").distinct()).join(classes.select("rep", "n", "wa", "wb"), "rep")
     whole = texts.withColumn("rep", F.coalesce("doc_id", F.lit(-(2**63)))).join(members, "rep").select("cluster", "rep", "n", "wa", "wb", "text")
     sets = whole.mapInArrow(_sets(width), "cluster long, rep long, n long, shingles binary").dropDuplicates(["rep"])

@@ -107,6 +107,24 @@ def test_near_join_splits_large_nodes_and_tiles(spark):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute.near(rows)
 
 
+def test_near_join_finds_pairs_in_crowded_nodes(spark):
+    """400 pairs just above 0.8; every document has half of 40 passages, so that no shingle is its own and all nodes are crowded."""
+    rng = random.Random(4)
+    passages_ = [[f"p{i}-{j}" for j in range(25)] for i in range(40)]
+    rows, shingles = [], lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i in range(400):
+        one = [w for p in sorted(rng.sample(range(40), 20)) for w in passages_[p]]
+        two = list(one)
+        for j in range(10):
+            two[j * 50 + rng.randrange(10, 40)] = f"v{rng.randrange(10**6)}"
+        a, b = shingles(one), shingles(two)
+        assert 0.8 <= len(a & b) / len(a | b) < 0.83
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nearjoin.near_duplicate_documents(docs, limit=2).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(400)) >= 399
+
+
 @pytest.mark.parametrize("operator", [passages.remove_repeated_windows, suffixes.remove_repeated_strings, nearjoin.near_duplicate_documents])
 def test_empty_documents(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
