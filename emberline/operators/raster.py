@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators.components import label_components
 from emberline.operators.proximity import _near_cells
+from emberline.runtime import cut, fill
 
 #: Land cover classes that count as clear where a scene has no score (fixed values).
 CLEAR_CLASSES = (4, 5, 6, 7, 11)
@@ -181,9 +182,9 @@ def _hull_area(points: list[tuple[float, float]]) -> float:
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, [*hull[1:], hull[0]]))) / 2
 
 
-def hull_areas(patches: DataFrame, keys: list[str]) -> DataFrame:
+def hull_areas(patches: DataFrame, keys: list[str], per: int = 20_000) -> DataFrame:
     """(keys, hull_px): area of the convex hull of each patch's pixel squares. Only the ends of each pixel row leave Spark's own operators."""
-    ends = patches.groupBy(*keys, "row").agg(F.min("col").alias("a"), F.max("col").alias("b"))
+    ends = cut(patches.groupBy(*keys, "row").agg(F.min("col").alias("a"), F.max("col").alias("b")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in patches.schema.fields if f.name in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,8 +194,8 @@ def hull_areas(patches: DataFrame, keys: list[str]) -> DataFrame:
             rows.append((*key, _hull_area(corners)))
         return pd.DataFrame(rows, columns=[*keys, "hull_px"])
 
-    # Many small patches share a task's call; a patch is never split.
-    share = F.pmod(F.xxhash64(*keys), F.lit(256)).alias("share")
+    # Many small patches, of about ``per`` pixel rows, share a task's call; a patch is never split.
+    share = F.pmod(F.xxhash64(*keys), F.lit(fill(ends.count(), per, 256)))
     return ends.withColumn("share", share).groupBy("share").applyInPandas(run, f"{kinds}, hull_px double")
 
 

@@ -140,6 +140,15 @@ def test_hull_and_border(spark):
     assert raster.border(mask, ["patch"]).count() == 4
 
 
+def test_hull_shares_grow_with_the_rows(spark):
+    from pyspark.sql import functions as F
+
+    mask = spark.range(6000).select(F.col("id").alias("patch"), F.lit(0).alias("row"), F.lit(0).alias("col"))
+    areas = raster.hull_areas(mask, ["patch"], per=10)
+    assert {(r.hull_px, r.n) for r in areas.groupBy("hull_px").agg(F.count(F.lit(1)).alias("n")).collect()} == {(1.0, 6000)}
+    assert "), 600)" in areas._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_strict_checks(spark):
     bad = quality.repeated_keys(spark.createDataFrame([(1,), (1,)], "k int"), ["k"])
     with pytest.raises(quality.ContractError, match="repeated_key 1"):
