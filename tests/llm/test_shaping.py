@@ -113,6 +113,30 @@ def test_ids_equal_the_tokenizer(spark, encoders):
     assert fast(texts) == [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_texts_equal_the_tokenizer(spark, encoders):
+    fast, slow = encoders
+    texts = [" " * 1_200_000, " \n" * 600_000, "q" * 1_000_000, "\u00a0\n" * 5000, "a\x1c \x1f!" * 3000, "x <|endoftext|>  y" * 2000]
+    plain = [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+    assert fast(texts) == plain
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert check_packing(packing.pack_documents(docs, keep_ids=False).collect(), {i: x + [0] for i, x in enumerate(plain)}) > 1000
+
+
+def test_other_tokenizer_files_take_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["One two  three\n\nfour", "", "5 six", "  "]
+    assert packing.load_encoder(path)(texts) == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_full_memo_is_emptied(encoders, monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 5)
+    fast = packing.load_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a b c d e f g", "h i j", "a b c " + "z" * 100):
+        assert fast([text, text]) == [encoders[1].encode(text, add_special_tokens=False).ids] * 2
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=st.text(max_size=60))
 def test_ids_equal_the_tokenizer_on_any_text(encoders, text):
@@ -142,10 +166,12 @@ def check_packing(rows, ids, capacity=2048):
 
 def test_packing(spark, sf, encoders):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    ids = {i: x + [0] for i, x in zip(docs, encoders[0]([t or "" for t in docs.values()]))}
+    ids = {i: e.ids + [0] for i, e in zip(docs, encoders[1].encode_batch([t or "" for t in docs.values()], add_special_tokens=False))}
     used = check_packing(QUERIES["op10_large_item_packing"](spark, sf).collect(), ids)
     assert used <= -(-sum(map(len, ids.values())) // 2048) * 1.02 + 1
     some = spark.createDataFrame([(1, None), (2, ""), (3, "x y"), (3, "x y"), (4, "a " * 5000)], "doc_id long, text string")
+    clash = some.selectExpr("*", "'x' AS piece", "'x' AS ids", "1 AS length", "'x' AS offset").unionByName(spark.createDataFrame([(None, "null id")], "doc_id long, text string"), allowMissingColumns=True)
+    assert packing.pack_documents(clash).where("doc_id is null").count() == 1
     got = packing.pack_documents(some).collect()
     assert sorted((r.doc_id, r.length) for r in got if r.doc_id < 4) == [(1, 1), (2, 1), (3, 3), (3, 3)]
     assert all(len(r.ids) == r.length for r in got)
