@@ -3,8 +3,8 @@
 Positions 0, 1 and 3 modulo 7 are a difference cover: for any two positions there is a shift below
 7 that takes both to cover positions. Anchors are the 7-word spans at cover positions only; two
 equal 13-word windows therefore share an aligned anchor. Around anchors that some other document
-has too, whole windows are compared, and a word is removed if it lies in a window that also starts
-in a document with a smaller id.
+has too, whole windows are named by two hashes of their bytes (96 bits), and a word is removed if it
+lies in a window whose name also starts in a document with a smaller id.
 
 Windows are judged on the input. Null texts have no words; texts below 13 words lose none; windows
 never cross documents; rows that repeat a doc_id are one document for the comparison of ids (neither
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from emberline.llm.repeats import Hits, by_bucket, judged_repeats
-from emberline.llm.rolling import Spans, doc_order, pack, scramble, slices, unpack, word_bounds, word_hashes
+from emberline.llm.rolling import Spans, doc_order, pack, slices, unpack, word_bounds, word_hashes
 
 PERIOD, COVER = 7, (0, 1, 3)
 
@@ -37,8 +37,8 @@ class _Windows:
         self.place = np.arange(len(self.doc)) - begin[self.doc]
         self.left = n[self.doc] - self.place
         self.n_words, self.begin = n, begin
-        self.hashes = word_hashes(data, self.starts, self.ends)
-        self.spans = Spans(self.hashes)
+        self.data = data
+        self.spans = Spans(word_hashes(data, self.starts, self.ends))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(np.isin(self.place % PERIOD, COVER) & (self.left >= self.span) & (self.n_words[self.doc] >= self.window))
@@ -53,8 +53,8 @@ class _Windows:
         return whole[mark[whole + PERIOD] > mark[whole]]
 
     def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits that name the windows that start at ``at``."""
-        second = Spans(scramble(self.hashes ^ np.uint64(0xD6E8FEB86659FD93)))
+        """96 bits that name the windows that start at ``at``; the last 32 come from the bytes by another table."""
+        second = Spans(word_hashes(self.data, self.starts, self.ends, second=True))
         return self.spans.at(at, at + self.window), second.at(at, at + self.window).astype(np.uint32)
 
 
@@ -66,7 +66,16 @@ def _anchors(window: int):
             at, fp = w.anchors()
             fps.append(fp)
             owners.append(names[row + w.doc[at]])
-        return np.concatenate(fps), np.concatenate(owners)
+        fps, owners = np.concatenate(fps), np.concatenate(owners)
+        order = np.lexsort((owners, fps))
+        fps, owners = fps[order], owners[order]
+        new = np.ones(len(fps), bool)
+        new[1:] = fps[1:] != fps[:-1]
+        at = np.flatnonzero(new)
+        other = np.zeros(len(fps), np.int64)
+        other[1:] = (owners[1:] != owners[:-1]) & ~new[1:]
+        # Counts twice if two documents of the chunk have it; inside one document alone it is no repeat.
+        return fps[at], 1 + np.minimum(1, np.add.reduceat(other, at)) if len(at) else np.empty(0, np.int64)
 
     return run
 

@@ -1,11 +1,12 @@
 """Repeated passages: what the word-window and the byte-string operators share.
 
-Documents hash to chunks of a few MB; one shuffle of the texts serves all three visits to a chunk.
+Rows hash by doc_id and text to chunks of a few MB, so neither a null nor a repeated doc_id is one
+task's work; one shuffle of the texts serves all three visits to a chunk.
 
 1. A chunk names its anchors, a sample of its short spans such that any long match holds an anchor
-   in both places. Each chunk sends each anchor's fingerprint once (twice if it repeats inside the
-   chunk), so a passage in a third of all documents costs one fingerprint a chunk. Fingerprints
-   meet by hash; those that came twice go back to their chunks.
+   in both places. Each chunk sends each anchor's fingerprint once, with how often it counts, so a
+   passage in a third of all documents costs one fingerprint a chunk. Fingerprints meet by hash;
+   those that count more than once go back to their chunks, apart the crowded ones.
 2. A chunk sends what lies around its repeated anchors, again once per chunk. Equal spans meet and
    it is settled which come earlier elsewhere.
 3. A chunk applies what came back to its documents.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.rolling import ordered
+from emberline.llm.rolling import TIE, ordered, pack
 from emberline.runtime import fill
 
 #: Bits of a fingerprint that travel; the bucket adds its own.
@@ -56,96 +57,118 @@ def blobs(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array(cols[0], pa.int64()), "chunk": pa.array(cols[1], pa.int64()), "kind": pa.array(cols[2], pa.int32()), "blob": pa.array(cols[3], pa.binary())})
 
 
+def _parts(table: pa.Table) -> tuple[list, np.ndarray]:
+    """The three arrays of every blob (fingerprints that count once, those that count more, the counts of these) and the blobs' chunks."""
+    out = []
+    for blob in table.column("blob").to_pylist():
+        n, m = np.frombuffer(blob, "<u4", 2)
+        lo, hi = 8 + int(n) * FP_BITS // 8, 8 + int(n + m) * FP_BITS // 8
+        out.append((from_bytes(blob[8:lo]), from_bytes(blob[lo:hi]), np.frombuffer(blob, np.uint8, len(blob) - hi, hi)))
+    return out, table.column("chunk").to_numpy()
+
+
+def _blob(once: np.ndarray, more: np.ndarray, codes: np.ndarray | None = None) -> bytes:
+    return pack(np.array([len(once), len(more)], "<u4")) + as_bytes(once) + as_bytes(more) + (b"" if codes is None else codes.tobytes())
+
+
+def log_code(counts: np.ndarray) -> np.ndarray:
+    """A count as one byte: c stands for 2**(c - 1) up to twice that."""
+    return np.minimum(60, np.floor(np.log2(np.maximum(counts, 1))) + 1).astype(np.uint8)
+
+
 def _send_anchors(anchors: Callable, buckets: int):
     def run(key, table):
-        fps, twice = anchors(ordered(table))
-        # A fingerprint that repeats inside the chunk is sent twice.
-        values, first, counts = np.unique(fps, return_index=True, return_counts=True) if twice is None else (*_distinct(fps, twice), None)
-        if twice is None:
-            both = np.concatenate([values, values[counts > 1]])
-        else:
-            both = np.concatenate([values, first])
-        bucket, bits = narrow(both, buckets)
+        fps, counts = anchors(ordered(table))
+        bucket, bits = narrow(fps, buckets)
         order, bounds = by_bucket(bucket, buckets)
-        bits = bits[order]
-        chunk = key[0].as_py()
-        return blobs([(b, chunk, 0, as_bytes(bits[lo:hi])) for b, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if hi > lo])
+        bits, codes = bits[order], log_code(counts[order])
+        chunk, out = key[0].as_py(), []
+        for b, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            if hi > lo:
+                own, code = bits[lo:hi], codes[lo:hi]
+                out.append((b, chunk, 0, _blob(own[code == 1], own[code > 1], code[code > 1])))
+        return blobs(out)
 
     return run
 
 
-def _distinct(fps: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, and those that have more than one owner."""
-    order = np.lexsort((owner, fps))
-    fps, owner = fps[order], owner[order]
-    new = np.ones(len(fps), bool)
-    new[1:] = fps[1:] != fps[:-1]
-    more = ~new
-    more[1:] &= owner[1:] != owner[:-1]
-    return fps[new], np.unique(fps[more])
-
-
-def _meet(key, table):
-    """Fingerprints of a bucket that came more than once, back to their chunks."""
-    parts = [from_bytes(b) for b in table.column("blob").to_pylist()]
-    chunk = np.repeat(table.column("chunk").to_numpy(), [len(p) for p in parts])
-    values = np.concatenate(parts)
-    order = np.argsort(values, kind="stable")
-    values, chunk = values[order], chunk[order]
-    same = values[1:] == values[:-1]
-    again = np.zeros(len(values), bool)
-    again[1:] |= same
-    again[:-1] |= same
-    values, chunk = values[again], chunk[again]
-    order = np.lexsort((values, chunk))
-    values, chunk = values[order], chunk[order]
-    names, at = np.unique(chunk, return_index=True)
-    bucket = key[0].as_py()
-    return blobs([(bucket, int(c), 0, as_bytes(np.unique(values[lo:hi]))) for c, lo, hi in zip(names, at, [*at[1:], len(chunk)])])
+def _meet(crowd: int):
+    """Fingerprints of a bucket that count more than once, back to their chunks; apart those that count ``crowd`` or more."""
+
+    def run(key, table):
+        parts, chunks = _parts(table)
+        values = np.concatenate([np.concatenate(p[:2]) for p in parts])
+        counts = np.concatenate([np.concatenate([np.ones(len(p[0]), np.int64), np.int64(1) << (p[2].astype(np.int64) - 1)]) for p in parts])
+        chunk = np.repeat(chunks, [len(p[0]) + len(p[1]) for p in parts])
+        order = np.argsort(values, kind="stable")
+        values, counts, chunk = values[order], counts[order], chunk[order]
+        at = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        total = np.repeat(np.add.reduceat(counts, at), np.diff(np.append(at, len(values))))
+        again = total > 1
+        values, total, chunk = values[again], total[again], chunk[again]
+        order = np.argsort(chunk, kind="stable")
+        values, total, chunk = values[order], total[order], chunk[order]
+        names, at = np.unique(chunk, return_index=True)
+        bucket, out = key[0].as_py(), []
+        for c, lo, hi in zip(names, at, [*at[1:], len(chunk)]):
+            own, full = values[lo:hi], total[lo:hi] >= crowd
+            out.append((bucket, int(c), 0, _blob(np.unique(own[~full]), np.unique(own[full]))))
+        return blobs(out)
+
+    return run
 
 
 class Hits:
-    """The repeated anchors of a chunk, as a membership test."""
+    """The repeated anchors of a chunk, as membership tests."""
 
     def __init__(self, table: pa.Table, buckets: int) -> None:
         self.buckets = buckets
-        parts = [from_bytes(b) | (np.uint64(k) << np.uint64(FP_BITS)) for k, b in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist())]
-        self.known = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-
-    def __contains__(self, _) -> bool:
-        raise TypeError("use has()")
-
-    def has(self, fps: np.ndarray) -> np.ndarray:
+        parts, _ = _parts(table)
+        tops = [np.uint64(k) << np.uint64(FP_BITS) for k in table.column("bucket").to_pylist()]
+        whole = lambda i: np.concatenate([np.empty(0, np.uint64), *[p[i] | top for p, top in zip(parts, tops)]])
+        self.full = np.sort(whole(1))
+        self.known = np.sort(np.concatenate([whole(0), self.full]))
+
+    def _in(self, known: np.ndarray, fps: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(fps), bool)
         bucket, bits = narrow(fps, self.buckets)
         want = bits | (bucket << np.uint64(FP_BITS))
-        if not len(self.known):
-            return np.zeros(len(fps), bool)
-        return self.known[np.minimum(np.searchsorted(self.known, want), len(self.known) - 1)] == want
+        return known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want
+
+    def has(self, fps: np.ndarray) -> np.ndarray:
+        """Which of the anchors are repeated."""
+        return self._in(self.known, fps)
+
+    def crowded(self, fps: np.ndarray) -> np.ndarray:
+        """Which of the anchors count so often that what lies around them is settled apart."""
+        return self._in(self.full, fps)
 
 
 def judged_repeats(
-    docs: DataFrame, anchors: Callable, send: Callable, settle: Callable, apply: Callable, schema: str, chunk_bytes: int = 8 << 20, most_chunk_bytes: int = 128 << 20
+    docs: DataFrame, anchors: Callable, send: Callable, settle: Callable, apply: Callable, schema: str, crowd: int = 1 << 62, chunk_bytes: int = 8 << 20, most_chunk_bytes: int = 128 << 20
 ) -> DataFrame:
     """Run the three visits.
 
-    anchors(table) -> (fingerprints, owners or None); send(chunk, table, hits, buckets) -> blob rows;
+    anchors(table) -> (distinct fingerprints, counts); send(chunk, table, hits, buckets) -> blob rows;
     settle(bucket, table of blobs) -> blob rows for chunks; apply(table, blobs) -> result table.
-    Chunks grow with the corpus up to ``most_chunk_bytes`` so that the rows between chunks and
-    buckets stay few against what they carry.
+    Chunks and, slower, buckets grow with the corpus (to ``most_chunk_bytes`` and four times that), so
+    that the rows between chunks and buckets stay few against what they carry.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    size = min(most_chunk_bytes, max(chunk_bytes, total >> 12))
-    chunks = buckets = fill(total, size)
-    texts = docs.withColumn(_CHUNK, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)))
+    chunks = fill(total, min(most_chunk_bytes, max(chunk_bytes, total >> 12)))
+    buckets = fill(total, min(4 * most_chunk_bytes, max(chunk_bytes, total >> 18)))
+    tied = docs.withColumn(TIE, F.xxhash64("text"))
+    texts = tied.withColumn(_CHUNK, F.pmod(F.xxhash64(F.col("doc_id").cast("long"), TIE), F.lit(chunks)))
     by_chunk = texts.groupBy(_CHUNK)
     sent = by_chunk.applyInArrow(_send_anchors(anchors, buckets), _BLOB)
-    hits = sent.groupBy("bucket").applyInArrow(_meet, _BLOB)
+    hits = sent.groupBy("bucket").applyInArrow(_meet(crowd), _BLOB)
 
     def second(key, left, right):
         return blobs(send(key[0].as_py(), ordered(left), Hits(right, buckets), buckets))
 
     def third(key, left, right):
-        return apply(ordered(left).drop_columns([_CHUNK]), right)
+        return apply(ordered(left).drop_columns([_CHUNK, TIE]), right)
 
     around = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(second, _BLOB)
     verdicts = around.groupBy("bucket").applyInArrow(settle, _BLOB)

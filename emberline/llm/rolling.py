@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+_OTHER = np.random.default_rng(20240301).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -60,15 +61,20 @@ class Spans:
         return scramble((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _TABLE[data]
+def byte_values(data: np.ndarray, second: bool = False) -> np.ndarray:
+    """A number for each byte, of one of two independent tables."""
+    return (_OTHER if second else _TABLE)[data]
+
+
+#: Column of the texts' hashes, by which rows of one doc_id are ordered.
+TIE = "__text_hash"
 
 
 def ordered(table: pa.Table) -> pa.Table:
-    """Rows in one order whatever the shuffle delivered: (doc_id, text), nulls first."""
+    """Rows in one order whatever the shuffle delivered: (doc_id, hash of the text, text), nulls first."""
     if table.num_rows < 2:
         return table
-    keys = [("doc_id", "ascending"), ("text", "ascending")]
+    keys = [("doc_id", "ascending"), (TIE, "ascending"), ("text", "ascending")]
     return table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
 
 
@@ -111,8 +117,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Spans(byte_values(data)).at(starts, ends) ^ (ends - starts).astype(np.uint64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    return Spans(byte_values(data, second)).at(starts, ends) ^ (ends - starts).astype(np.uint64)
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -1,17 +1,23 @@
-"""Repeated byte strings, judged by longest-previous-factor arrays.
+"""Repeated byte strings, removed by longest-previous-factor arrays.
 
 Only suffixes near a repeated anchor are sorted. Anchors are minimizers: of every 51 adjacent
 50-byte spans the one of least hash, so any two equal 100-byte strings share theirs. All 100-byte
 strings with one minimizer occurrence lie in one run; runs whose minimizer repeats go, with their
 bytes, to the minimizer's bucket. There equal runs collapse on the earliest, and the suffixes of
-what differs are sorted. In suffix order the previous and the next smaller position give each
-suffix its longest earlier match; where that is 100 bytes or more, the string is a later copy.
-Suffixes are compared on their first 100 bytes, ties by position, which is all the question needs.
+what differs are put in order (prefix doubling), with the common prefix of each two neighbours. The
+previous and the next entry of smaller position then give each suffix its longest earlier match;
+where that is 100 bytes or more, the string is a later copy.
+
+A minimizer at the edge of a very common passage has a different run in every document. Where a
+minimizer counts ``CROWD`` runs or more that differ, its runs are cut into their 100-byte strings,
+each chunk names each string once (128 bits), and names meet by hash instead: no task gets more of
+them than its share. A group of equal strings has one previous factor, its first string.
 
 "Earlier" is a smaller doc_id (null first), or an earlier start in the same document; rows that repeat
-a doc_id order by text. Strings are judged on the input and never cross documents. Null texts are
-empty; texts below 100 bytes lose none; input columns named like a result column are replaced; an
-empty table gives no rows. A task holds a chunk of documents, so its memory follows the longest one.
+a doc_id order by a hash of their text. Strings are judged on the input and never cross documents.
+Null texts are empty; texts below 100 bytes lose none; input columns named like a result column are
+replaced; an empty table gives no rows. A task holds a chunk of documents, so its memory follows the
+longest one.
 """
 
 from __future__ import annotations
@@ -23,9 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from emberline.llm.repeats import Hits, blobs, by_bucket, judged_repeats
-from emberline.llm.rolling import Spans, byte_values, doc_order, pack, slices, unpack
+from emberline.llm.rolling import TIE, Spans, byte_values, doc_order, pack, scramble, slices, unpack
 
-_MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Runs that differ, from which on a minimizer's strings are settled by name.
+CROWD = 4096
+#: Most string starts of a run, and bytes of runs that are sorted at once.
+MOST, BATCH = 1024, 1 << 20
 
 
 def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -38,6 +47,12 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(now[: len(now) - rest], now[rest:]) if rest else now
 
 
+def _each(starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start, start + 1, .. of ``n`` positions per entry, and the entry of each."""
+    row = np.repeat(np.arange(len(starts)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + starts[row], row
+
+
 class _Runs:
     """Minimizers of a slice, and the runs of string starts that share one."""
 
@@ -71,6 +86,9 @@ class _Runs:
         self.start = np.flatnonzero(new)
         stop = np.flatnonzero(self.valid & ~np.concatenate([self.valid[1:] & ~new[1:], [False]]))
         self.end = stop + 1
+        # A periodic text is one run of any length: cut into pieces, of which the equal ones collapse.
+        at, row = _each(np.zeros(len(self.start), np.int64), -(-(self.end - self.start) // MOST))
+        self.start, self.end = self.start[row] + at * MOST, np.minimum(self.end[row], self.start[row] + (at + 1) * MOST)
         self.key = least[self.start]
 
     def doc(self, at: np.ndarray) -> np.ndarray:
@@ -87,16 +105,31 @@ class _Runs:
 
 
 def _anchors(length: int):
-    def run(table: pa.Table) -> tuple[np.ndarray, None]:
-        found = [np.empty(0, np.uint64)]
+    def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The minimizers of a chunk; each counts the runs that differ, twice if it only occurs twice."""
+        fps, keys, named = ([np.empty(0, np.uint64)] for _ in range(3))
         for _, data, offsets in slices(table.column("text")):
-            found.append(_Runs(data, offsets, length).fp)
-        return np.concatenate(found), None
+            r = _Runs(data, offsets, length)
+            fps.append(r.fp)
+            keys.append(r.key)
+            if len(r.start):
+                named.append(scramble(r.key) ^ r.spans.at(r.start, r.end - 1 + length))
+        values, n = np.unique(np.concatenate(fps), return_counts=True)
+        keys = np.concatenate(keys)
+        _, first = np.unique(np.concatenate(named), return_index=True)
+        runs, differ = np.unique(keys[first], return_counts=True)
+        counts = np.minimum(n, 2)
+        at = np.searchsorted(values, runs)
+        counts[at] = np.maximum(counts[at], differ)
+        return values, counts
 
     return run
 
 
-_HEAD = ("<u8", "<u8", "<i8", "<i8", "<i8", "<i4", "u1")  # minimizer, bytes' hash, doc_id, row, start, string bytes, own repeat
+# Of a run: minimizer, bytes' hash, doc_id, text's hash, row, start, string bytes, own repeat. Of a named string: name (2), doc_id, text's hash, row, start.
+_HEAD = ("<u8", "<u8", "<i8", "<i8", "<i8", "<i8", "<i4", "u1")
+_NAME = ("<u8", "<u8", "<i8", "<i8", "<i8", "<i8")
+RUNS, SETTLED, NAMES = 0, 1, 2
 
 
 def _earliest(keys: list[np.ndarray], order_by: list[np.ndarray]) -> np.ndarray:
@@ -111,96 +144,137 @@ def _earliest(keys: list[np.ndarray], order_by: list[np.ndarray]) -> np.ndarray:
 
 def _send(length: int):
     def run(chunk: int, table: pa.Table, hits: Hits, buckets: int) -> list:
-        names = doc_order(table)
+        ids, ties = doc_order(table), table.column(TIE).to_numpy()
         heads: list[list] = [[np.empty(0, k)] for k in _HEAD]
+        names: list[list] = [[np.empty(0, k)] for k in _NAME]
         texts: list[bytes] = []
+        settled: list[list] = [[np.empty(0, np.int64)] for _ in range(3)]
         for row, data, offsets in slices(table.column("text")):
             r = _Runs(data, offsets, length)
             if not len(r.start):
                 continue
             pick = np.flatnonzero(hits.has(r.key))
+            full = hits.crowded(r.key[pick])
+            if full.any():
+                s, e = r.start[pick[full]], r.end[pick[full]]
+                # Runs repeat much here: one of each goes on, the others' strings are known to be later.
+                run_name = r.spans.at(s, e - 1 + length)
+                first = _earliest([run_name, e - s], [s])
+                d = r.doc(s)
+                for out, v in zip(settled, (row + d, s - offsets[d], e - 1 + length - offsets[d])):
+                    out.append(v[~first])
+                at, _ = _each(s[first], (e - s)[first])
+                other = Spans(byte_values(data, second=True))
+                d = r.doc(at)
+                for out, v in zip(names, (r.spans.at(at, at + length), other.at(at, at + length), ids[row + d], ties[row + d], row + d, at - offsets[d])):
+                    out.append(v)
+                pick = pick[~full]
             s, e = r.start[pick], r.end[pick] - 1 + length
-            doc = r.doc(s)
+            d = r.doc(s)
             own = r.own_repeats(pick)
-            for out, v in zip(heads, (r.key[pick], r.spans.at(s, e), names[row + doc], row + doc, s - offsets[doc], e - s, own)):
+            for out, v in zip(heads, (r.key[pick], r.spans.at(s, e), ids[row + d], ties[row + d], row + d, s - offsets[d], e - s, own)):
                 out.append(v)
             raw = data.tobytes()
             texts += [raw[x:y] for x, y in zip(s.tolist(), e.tolist())]
-        key, named, ids, rows, start, size, own = (np.concatenate(h).astype(k) for h, k in zip(heads, _HEAD))
+        key, named, doc, tie, rows, start, size, own = (np.concatenate(h).astype(k) for h, k in zip(heads, _HEAD))
         first = _earliest([key, named, size], [rows, start])
         later = np.flatnonzero(~first)
-        out = [(chunk % buckets, chunk, 1, pack(rows[later], start[later], (start + size)[later]))] if len(later) else []
+        for o, v in zip(settled, (rows[later], start[later], (start + size)[later])):
+            o.append(v)
+        out = []
         first = np.flatnonzero(first)
         order, bounds = by_bucket(key[first] % np.uint64(buckets), buckets)
         for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
             if hi > lo:
                 at = first[order[lo:hi]]
-                head = pack(*(x[at] for x in (key, named, ids, rows, start, size, own)))
-                out.append((k, chunk, 0, len(at).to_bytes(8, "little") + head + b"".join([texts[i] for i in at])))
-        return out
+                head = pack(*(x[at] for x in (key, named, doc, tie, rows, start, size, own)))
+                out.append((k, chunk, RUNS, len(at).to_bytes(8, "little") + head + b"".join([texts[i] for i in at])))
+        columns = [np.concatenate(c).astype(k) for c, k in zip(names, _NAME)]
+        first = _earliest(columns[:2], columns[4:])
+        for o, v in zip(settled, (columns[4], columns[5], columns[5] + length)):
+            o.append(v[~first])
+        columns = [c[first] for c in columns]
+        order, bounds = by_bucket(columns[0] % np.uint64(buckets), buckets)
+        for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            if hi > lo:
+                out.append((k, chunk, NAMES, pack(*(c[order[lo:hi]] for c in columns))))
+        done = [np.concatenate(c) for c in settled]
+        return out + ([(chunk % buckets, chunk, SETTLED, pack(*done))] if len(done[0]) else [])
 
     return run
 
 
-def truncated_suffix_order(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The suffixes of at least ``length`` bytes in order of their first ``length`` bytes, ties by position.
+def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes of all texts by prefix doubling: their order, the text of each position, its room (bytes to the text's end), and the ranks.
 
-    Returns text number and start of each suffix in position order, the suffix array over these,
-    and for each entry whether its first ``length`` bytes equal those of the entry before.
+    Texts are laid end to end with a separator below every byte; a position is a place in this row,
+    so positions ascend with the texts. Ranks are (width, rank by the first ``width`` symbols).
     """
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts])
-    n = np.maximum(0, sizes - length + 1)
-    text = np.repeat(np.arange(len(texts)), n)
-    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    views = np.lib.stride_tricks.sliding_window_view(data, length)[base[text] + start] if len(text) else np.empty((0, length), np.uint8)
-    keys = np.ascontiguousarray(views).view(f"S{length}").reshape(-1)
-    order = np.argsort(keys, kind="stable")
-    same = np.zeros(len(order), bool)
-    same[1:] = keys[order][1:] == keys[order][:-1]
-    return text, start, order, same
-
-
-def previous_and_next_smaller(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry, the nearest entry before and after it that holds a smaller value; -1 and n where there is none."""
-    n = len(positions)
-    before, after = np.full(n, -1), np.full(n, n)
-    stack: list[int] = []
-    for i, v in enumerate(positions.tolist()):
-        while stack and positions[stack[-1]] > v:
-            after[stack.pop()] = i
-        before[i] = stack[-1] if stack else -1
-        stack.append(i)
-    return before, after
-
-
-def longest_previous_factor(text: bytes) -> np.ndarray:
-    """The whole array for one text: for each position, the longest match that starts earlier."""
-    n = len(text)
-    order = np.array(sorted(range(n), key=lambda i: text[i:]), np.int64)
-    common = np.zeros(n + 1, np.int64)
-    for r in range(1, n):
-        a, b = text[order[r - 1] :], text[order[r] :]
-        common[r] = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    before, after = previous_and_next_smaller(order)
-    out = np.zeros(n, np.int64)
-    for r in range(n):
-        left = common[before[r] + 1 : r + 1].min() if before[r] >= 0 else 0
-        right = common[r + 1 : after[r] + 1].min() if after[r] < n else 0
-        out[order[r]] = max(left, right)
-    return out
-
-
-def has_previous_factor(order: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Which positions have an earlier match of the full compared length.
-
-    Among suffixes that agree on that length positions ascend, so the previous smaller position of
-    an entry inside its group is the entry before it, and a next smaller one is never inside.
+    sizes = np.array([len(t) for t in texts]) + 1
+    ends = np.cumsum(sizes)
+    n = int(ends[-1])
+    symbols = np.zeros(n + 8, np.int64)
+    body = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
+    symbols[:n] = body.astype(np.int64) + 1
+    symbols[ends - 1] = 0
+    text = np.repeat(np.arange(len(texts)), sizes)
+    room = ends[text] - 1 - np.arange(n)
+    key = np.zeros(n, np.int64)
+    for i in range(7):  # seven symbols of nine bits
+        key = (key << 9) | symbols[i : i + n]
+    width, ranks = 7, [(1, symbols[:n])]
+    while True:
+        values, rank = np.unique(key, return_inverse=True)
+        ranks.append((width, rank.astype(np.int32)))
+        if width >= sizes.max() or len(values) == n:
+            return np.argsort(rank, kind="stable"), text, room, ranks
+        key = rank * np.int64(n + 1)
+        key[: n - width] += rank[width:] + 1
+        width *= 2
+
+
+def common_prefixes(a: np.ndarray, b: np.ndarray, room: np.ndarray, ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The longest common prefix of the suffixes at positions ``a`` and ``b``, ending with their texts."""
+    most = np.minimum(room[a], room[b])
+    common = np.zeros(len(a), np.int64)
+    last = len(room) - 1
+    for width, rank in [*ranks[:0:-1], *[ranks[0]] * 6]:
+        open_ = common < most
+        same = open_ & (rank[np.minimum(a + common, last)] == rank[np.minimum(b + common, last)])
+        common += width * same
+    return np.minimum(common, most)
+
+
+def longest_previous_factors(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each entry of a suffix order, the longest match with a suffix of smaller position.
+
+    ``common[r]`` is the common prefix of entries r - 1 and r. The stack holds entries of ascending
+    position: below an entry lies its previous smaller one, and what pops it is its next smaller one.
     """
-    out = np.zeros(len(order), bool)
-    out[order[same]] = True
-    return out
+    factor = np.zeros(len(order), np.int64)
+    stack: list[tuple[int, int, int]] = []
+    for r, (position, height) in enumerate(zip([*order.tolist(), -1], [*common.tolist(), 0])):
+        while stack and stack[-1][0] > position:
+            _, entry, before = stack.pop()
+            factor[entry] = max(before, height)
+            height = min(before, height)
+        stack.append((position, r, height))
+    return factor
+
+
+def later_copies(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of every string of ``length`` bytes that also starts in an earlier text, or earlier in its own."""
+    order, text, room, ranks = suffix_order(texts)
+    order = order[room[order] >= length]
+    common = np.zeros(len(order) + 1, np.int64)
+    if len(order):
+        common[1:-1] = common_prefixes(order[:-1], order[1:], room, ranks)
+    # An entry whose neighbours both share less cannot have a factor of this length.
+    near = np.flatnonzero((common[:-1] >= length) | (common[1:] >= length))
+    factor = longest_previous_factors(order[near], np.where(common[near] >= length, common[near], 0))
+    at = np.sort(order[near][factor >= length])
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    return text[at], at - begin[text[at]]
 
 
 def _settle(length: int):
@@ -208,10 +282,17 @@ def _settle(length: int):
         bucket = key[0].as_py()
         out: list = []
         heads: list[list] = [[np.empty(0, k)] for k in _HEAD]
-        chunk_of, texts = [np.empty(0, np.int64)], []
+        names: list[list] = [[np.empty(0, k)] for k in _NAME]
+        chunk_of, name_chunk, texts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
         for chunk, kind, blob in zip(table.column("chunk").to_pylist(), table.column("kind").to_pylist(), table.column("blob").to_pylist()):
-            if kind == 1:
-                out.append((bucket, chunk, 1, blob))
+            if kind == SETTLED:
+                out.append((bucket, chunk, SETTLED, blob))
+                continue
+            if kind == NAMES:
+                parts = unpack(blob, *_NAME)
+                for h, p in zip(names, parts):
+                    h.append(p)
+                name_chunk.append(np.full(len(parts[0]), chunk))
                 continue
             n = int.from_bytes(blob[:8], "little")
             width = sum(np.dtype(k).itemsize for k in _HEAD) * n
@@ -219,41 +300,43 @@ def _settle(length: int):
             for h, p in zip(heads, parts):
                 h.append(p)
             chunk_of.append(np.full(n, chunk))
-            ends = np.concatenate([[0], np.cumsum(parts[5], dtype=np.int64)]) + 8 + width
+            ends = np.concatenate([[0], np.cumsum(parts[6], dtype=np.int64)]) + 8 + width
             texts += [blob[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        fp, named, ids, rows, start, size, own = (np.concatenate(h) for h in heads)
+        a, b, doc, tie, rows, start = (np.concatenate(h) for h in names)
+        chunks = np.concatenate(name_chunk)
+        late = np.flatnonzero(~_earliest([a, b], [doc, tie, chunks, rows, start]))
+        lo_hi: list[tuple[np.ndarray, ...]] = [(chunks[late], rows[late], start[late], start[late] + length)]
+        fp, named, doc, tie, rows, start, size, own = (np.concatenate(h) for h in heads)
         chunks = np.concatenate(chunk_of)
-        place = np.lexsort((start, rows, ids))  # rows of one doc_id share a chunk
-        fp, named, ids, rows, start, size, own, chunks = (x[place] for x in (fp, named, ids, rows, start, size, own, chunks))
+        place = np.lexsort((start, rows, chunks, tie, doc))
+        fp, named, rows, start, size, own, chunks = (x[place] for x in (fp, named, rows, start, size, own, chunks))
         first = _earliest([fp, named, size], [np.arange(len(fp))])
-        lo_hi: list[tuple[np.ndarray, ...]] = []
         later = np.flatnonzero(~first)
         lo_hi.append((chunks[later], rows[later], start[later], start[later] + size[later]))
         kept = np.flatnonzero(first)
         _, group, n = np.unique(fp[kept], return_inverse=True, return_counts=True)
         sort = kept[(n[group] > 1) | (own[kept] > 0)]
-        # A batch of minimizers at a time, so that memory follows the batch.
+        # A batch of minimizers at a time, so that memory follows the batch; none has 2 * CROWD runs.
         by_fp = sort[np.argsort(fp[sort], kind="stable")]
-        at = 0
+        total, at = np.cumsum(size[by_fp], dtype=np.int64), 0
         while at < len(by_fp):
-            to = min(len(by_fp), at + 4096)
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BATCH)))
             while to < len(by_fp) and fp[by_fp[to]] == fp[by_fp[to - 1]]:
                 to += 1
             batch = np.sort(by_fp[at:to])
-            text, offset, order, same = truncated_suffix_order([texts[place[i]] for i in batch], length)
-            gone = np.flatnonzero(has_previous_factor(order, same))
-            new = np.ones(len(gone), bool)
-            new[1:] = (text[gone][1:] != text[gone][:-1]) | (offset[gone][1:] != offset[gone][:-1] + 1)
-            last = np.append(new[1:], True)[: len(gone)]
-            i = batch[text[gone[new]]]
-            lo_hi.append((chunks[i], rows[i], start[i] + offset[gone[new]], start[i] + offset[gone[last]] + length))
+            text, offset = later_copies([texts[place[i]] for i in batch], length)
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (offset[1:] != offset[:-1] + 1)
+            last = np.append(new[1:], True)[: len(text)]
+            i = batch[text[new]]
+            lo_hi.append((chunks[i], rows[i], start[i] + offset[new], start[i] + offset[last] + length))
             at = to
         chunks, rows, lo, hi = (np.concatenate([x[i] for x in lo_hi]) for i in range(4))
         order = np.argsort(chunks, kind="stable")
         chunks, rows, lo, hi = chunks[order], rows[order], lo[order], hi[order]
-        names, at = np.unique(chunks, return_index=True)
-        for c, x, y in zip(names, at, [*at[1:], len(chunks)]):
-            out.append((bucket, int(c), 0, pack(rows[x:y], lo[x:y].astype(np.int64), hi[x:y].astype(np.int64))))
+        named, at = np.unique(chunks, return_index=True)
+        for c, x, y in zip(named, at, [*at[1:], len(chunks)]):
+            out.append((bucket, int(c), SETTLED, pack(rows[x:y], lo[x:y].astype(np.int64), hi[x:y].astype(np.int64))))
         return blobs(out)
 
     return run
@@ -305,4 +388,5 @@ def remove_repeated_strings(docs: DataFrame, length: int = 100, text_name: str |
     made = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({text_name: "string"} if text_name else {})
     base = docs.select(*[c for c in docs.columns if c not in made or c == "text"])
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields} | made
-    return judged_repeats(base, _anchors(length), _send(length), _settle(length), _apply(length, list(kinds), text_name), ", ".join(f"`{n}` {k}" for n, k in kinds.items()))
+    schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items())
+    return judged_repeats(base, _anchors(length), _send(length), _settle(length), _apply(length, list(kinds), text_name), schema, CROWD)
