@@ -5,6 +5,9 @@ one role share a message; their texts are kept apart by ``<|im_sep|>``. Inside t
 ``&amp;`` and ``<|`` becomes ``&lt;|`` (and a line feed inside a role ``&nl;``), so no text can forge a
 marker and everything is read back as it was.
 
+Running sums and cuts go by blocks, so work grows in proportion to a conversation. The method collects
+a conversation into one row: it has to fit into a task, and its text below Spark's 2 GB for a value.
+
 Null roles and texts read as empty; turns order by (turn, role, text), null turns first; repeated
 rows stay repeated; rows without conv_id form one conversation; other columns are ignored; an
 empty table gives no rows.
@@ -16,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
+#: Lengths that are summed, and code points that are cut, in one block.
+SUMS, CUTS = 256, 4096
 
 
 def escape(text: Column) -> Column:
@@ -34,6 +39,19 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("&nl;"), F.lit("\n")))
 
 
+def _sum(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda total, x: total + x)
+
+
+def _with_starts(rows: DataFrame, lengths: str, out: str) -> DataFrame:
+    """``rows`` plus the running sums before each of the ``lengths``: block sums first, then inside each block."""
+    some = lambda b, n: F.slice(lengths, b * SUMS + 1, n)
+    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / SUMS).cast("int")), lambda b: _sum(some(b, F.lit(SUMS))))
+    before = F.transform("__sums", lambda _, b: _sum(F.slice("__sums", F.lit(1), b)))
+    starts = F.transform(before, lambda base, b: F.transform(some(b, F.lit(SUMS)), lambda _, i: base + _sum(some(b, i))))
+    return rows.withColumn("__sums", sums).withColumn(out, F.flatten(starts)).drop("__sums")
+
+
 def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """(conv_id, formatted, spans): the text and the code point spans (start, length) under the loss mask."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -62,20 +80,15 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
         )
     )
     laid = merged.select("conv_id", pieces.alias("p"))
-    spans = F.aggregate(
+    laid = laid.withColumn("n", F.transform("p", lambda p: (F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).cast("long")))
+    placed = F.zip_with(
         "p",
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).cast("long").alias("at"),
-            F.when(
-                p["loss"],
-                F.array_append(acc["spans"], F.struct((acc["at"] + F.length(p["head"])).cast("long").alias("start"), F.length(p["body"]).cast("long").alias("length"))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+        "at",
+        lambda p, at: F.struct(p["loss"].alias("loss"), F.struct((at + F.length(p["head"])).alias("start"), F.length(p["body"]).cast("long").alias("length")).alias("span")),
     )
+    spans = F.transform(F.filter(placed, lambda x: x["loss"]), lambda x: x["span"])
     text = F.array_join(F.transform("p", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
-    return laid.select("conv_id", text.alias("formatted"), spans.alias("spans"))
+    return _with_starts(laid, "n", "at").select("conv_id", text.alias("formatted"), spans.alias("spans"))
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:
@@ -92,8 +105,13 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.transform("spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return formatted.select("conv_id", "formatted", "spans", turns.alias("turns"), loss.alias("loss_texts"))
+    # A span is cut from the blocks of code points that it touches, never from the front of the whole text.
+    first = lambda s: F.floor(s["start"] / CUTS).cast("int")
+    count = lambda s: F.least(F.floor((s["start"] + s["length"]) / CUTS).cast("int") - first(s) + 1, F.size("blocks"))
+    touched = lambda s: F.array_join(F.slice("blocks", first(s) + 1, count(s)), "")
+    loss = F.transform("spans", lambda s: unescape(F.substr(touched(s), (s["start"] % CUTS + 1).cast("int"), s["length"].cast("int"))))
+    cut = formatted.withColumn("blocks", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CUTS}}}"), F.lit(0)))
+    return cut.select("conv_id", "formatted", "spans", turns.alias("turns"), loss.alias("loss_texts"))
 
 
 def digest(parsed: DataFrame) -> DataFrame:
