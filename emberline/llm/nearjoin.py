@@ -1,16 +1,18 @@
 """Near-duplicate documents: a Jaccard join of word shingles by chosen paths.
 
-Equal word sequences collapse on their smallest doc_id. A document's shingles (five words) give
-64 minimum hashes, sampled shared tokens in the sense that two documents share one with a chance
-of their similarity. In each of ten runs a document enters the node of one chosen token; nodes
-that are too large split again by one more token that the node chooses among those its path has not
-used; small nodes are compared by brute force on the tokens, generously. A pair at similarity 0.8
-shares a given run's first node with chance 0.8 and misses all ten with 1e-7; each further split
-costs it a factor 0.8 in that run. The lengths of a document's paths therefore bound the chance that
-a pair at the threshold was missed in all its runs. Documents for which this chance is above
-1 - ``recall`` take as many runs again, until it is not; a pair is safe as soon as one of its two is.
-Later runs leave nodes whose documents are in one cluster already: nothing is to be found there.
-Nodes that stay large after all splits hold nearly equal documents and are kept whole.
+Equal word sequences collapse to a class. A class's shingles (five words) give 64 minimum hashes,
+sampled shared tokens in the sense that two documents share one with a chance of their similarity.
+In each run a class enters the node of one chosen token. Nodes of at most ``limit`` classes are
+compared by brute force on the tokens, generously; a larger node is crowded and goes on by more
+tokens that it chooses among those its path has not used, into as many children as keep a pair at
+the threshold together in expectation.
+
+How many of a class's paths went through crowded nodes bounds the chance that a pair at the
+threshold was missed in all its runs. Classes for which this chance is above 1 - ``recall`` first
+enter the nodes of all other tokens, which settles those with some tokens of their own, and then
+split their crowded nodes, first those of ``runs`` runs, then, where the bound asks for it, those of
+all tokens; a pair is safe as soon as one of its two is. Nodes whose classes are in one cluster already have nothing more to give. Nodes
+that stay crowded after all splits hold nearly equal documents and are kept whole.
 
 What met in any run, and passed, forms clusters; in each, true similarities of all pairs are computed on the whole
 shingle sets, in tiles, so links are exact whichever run found the cluster. Tasks return counts and
@@ -18,8 +20,8 @@ spanning forests, never pairs.
 
 Texts with fewer words than a shingle have one shingle, all their words; texts without words (null
 or empty) link with nothing; repeated rows and equal texts are links of each other; a null doc_id
-takes part as the smallest id and gives its rows back; rows that repeat a doc_id repeat its text;
-other columns are ignored; an empty table gives no rows.
+takes part as the smallest id, and rows that repeat a doc_id each with their own text; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.rolling import Spans, scramble, slices, word_bounds, word_hashes
+from emberline.llm.classes import smallest_of_components
 from emberline.operators.components import component_roots, spanning_roots
 from emberline.operators.ranking import blocked
 from emberline.runtime import cut, fill
@@ -60,7 +63,7 @@ def shingle_sets(column, width: int):
         whole = np.zeros((len(n), 2), np.uint64)
         some = n > 0
         whole[some, 0] = spans.at(begin[:-1][some], begin[1:][some])
-        whole[some, 1] = Spans(scramble(word_hashes(data, starts, ends) ^ np.uint64(0xA5A5A5A5A5A5A5A5))).at(begin[:-1][some], begin[1:][some]) ^ n[some].astype(np.uint64)
+        whole[some, 1] = Spans(word_hashes(data, starts, ends, second=True)).at(begin[:-1][some], begin[1:][some]) ^ n[some].astype(np.uint64)
         yield row, len(n), values, np.searchsorted(owner, np.arange(len(n) + 1)), whole
 
 
@@ -76,69 +79,108 @@ def _sketch(width: int):
                         x ^= x >> np.uint64(32)
                         x *= _SEEDS[t]
                         least[t] = np.minimum.reduceat(x >> np.uint64(32), bounds[:-1][some]).astype(np.uint32)
-                ids = batch.column("doc_id").slice(row, n).take(pa.array(some))
+                own = [batch.column(c).slice(row, n).take(pa.array(some)) for c in ("doc_id", "row_a", "row_b")]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(whole[some, 0].copy().view(np.int64)), pa.array(whole[some, 1].copy().view(np.int64)), pa.array([r.tobytes() for r in np.ascontiguousarray(least.T)], pa.binary())],
-                    names=["doc_id", "wa", "wb", "tokens"],
+                    [*own, pa.array(whole[some, 0].copy().view(np.int64)), pa.array(whole[some, 1].copy().view(np.int64)), pa.array([r.tobytes() for r in np.ascontiguousarray(least.T)], pa.binary())],
+                    names=["doc_id", "row_a", "row_b", "wa", "wb", "tokens"],
                 )
 
     return run
 
 
 def _enter(first: int, last: int):
-    """Every document into the first node of the runs from ``first`` to before ``last``; ``used`` has a bit for each token of the path."""
-    order = np.random.default_rng(11).permutation(TOKENS)
-    chosen = [int(order[r % TOKENS]) for r in range(first, last)]
+    """Every class into the first node of the runs from ``first`` to before ``last``; ``used`` has a bit for each token of the path."""
+    chosen = np.random.default_rng(11).permutation(TOKENS)[first:last].astype(np.uint64)
 
     def run(batches):
         for batch in batches:
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            nodes = np.stack([scramble(tokens[:, c].astype(np.uint64) | np.uint64((first + i + 1) << 40)) for i, c in enumerate(chosen)])
-            used = np.repeat(np.uint64(1) << np.array(chosen, np.uint64), batch.num_rows)
-            every = lambda c: pa.array(np.tile(batch.column(c).to_numpy(), len(chosen)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(used.view(np.int64)), every("rep"), every("own")], names=["node", "used", "rep", "own"])
+            nodes = np.stack([scramble(tokens[:, int(c)].astype(np.uint64) | ((c + np.uint64(1)) << np.uint64(40))) for c in chosen])
+            used = np.repeat(np.uint64(1) << chosen, batch.num_rows)
+            runs = np.repeat(np.arange(first, last, dtype=np.int32), batch.num_rows)
+            rep = pa.array(np.tile(batch.column("rep").to_numpy(), len(chosen)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(used.view(np.int64)), pa.array(runs), rep, rep], names=["node", "used", "run", "rep", "own"])
 
     return run
 
 
-def _split(batches):
-    """The members of a large node move on by one more chosen token; the choice is the node's, so equal tokens meet."""
+def _split(similarity: float, floor: float):
+    """The members of a crowded node move on by more chosen tokens; the choice is the node's, so equal tokens meet.
+
+    A node chooses one token, or two so often that it has 1 / similarity children on average. Those
+    who pass with the node's smallest member are linked to it (dst) and take over its cluster.
+    """
     bits = np.arange(TOKENS, dtype=np.uint64)
-    for batch in batches:
-        node, used = (batch.column(c).to_numpy().view(np.uint64) for c in ("node", "used"))
-        tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-        draw = scramble(node[:, None] + (bits + np.uint64(1))[None, :] * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        draw[((used[:, None] >> bits[None, :]) & np.uint64(1)) > 0] = 0
-        chosen = draw.argmax(axis=1)
-        child = scramble(scramble(node + np.uint64(1)) + tokens[np.arange(len(node)), chosen])
-        used = used | (np.uint64(1) << chosen.astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(used.view(np.int64)), batch.column("rep"), batch.column("own")], names=["node", "used", "rep", "own"])
-
-
-def _missed(similarity: float, runs: int, depth: int):
-    """The chance that a pair at ``similarity`` was in no common last node, from how many of a document's ``runs`` went on through a crowded node at each level.
-
-    Two documents share k of the tokens with the binomial chance; all runs read the same tokens, so
-    k is drawn once for all of them, and after n shared tokens the next is with (k - n) / (64 - n).
-    Paths end early on tokens that few documents have, and so just on those that a pair does not
-    share; therefore the tokens not shared are counted among the paths that end, as far as these go.
+
+    def run(batches):
+        for batch in batches:
+            node, used = (batch.column(c).to_numpy().view(np.uint64) for c in ("node", "used"))
+            rep, own, low = (batch.column(c).to_numpy() for c in ("rep", "own", "low"))
+            tokens, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, TOKENS) for c in ("tokens", "pivot"))
+            near = (tokens == pivot).mean(axis=1) >= floor
+            own = np.where(near, batch.column("low_own").to_numpy(), own)
+            draw = scramble(node[:, None] + (bits + np.uint64(1))[None, :] * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+            draw[((used[:, None] >> bits[None, :]) & np.uint64(1)) > 0] = 0
+            chosen = np.argsort(draw, axis=1)[:, -2:]
+            twice = np.flatnonzero(scramble(node + np.uint64(77)) < np.uint64(int((1 / similarity - 1) * 2**64)))
+            row = np.concatenate([np.arange(len(node)), twice])
+            token = np.concatenate([chosen[:, 1], chosen[twice, 0]])
+            child = scramble(scramble(node[row] + np.uint64(1) + token.astype(np.uint64)) + tokens[row, token])
+            used = used[row] | (np.uint64(1) << token.astype(np.uint64))
+            link = np.flatnonzero(near & (rep != low))
+            none = pa.nulls(len(link), pa.int64())
+            columns = [
+                pa.concat_arrays([pa.array(child.view(np.int64)), none]), pa.concat_arrays([pa.array(used.view(np.int64)), none]),
+                pa.array(np.concatenate([rep[row], rep[link]])), pa.array(np.concatenate([own[row], own[link]])),
+                pa.concat_arrays([pa.nulls(len(row), pa.int64()), pa.array(low[link])]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "used", "rep", "own", "dst"])
+
+    return run
+
+
+def _binomial(n: int, p: float) -> np.ndarray:
+    return np.array([math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)])
+
+
+def most_crowded(similarity: float, runs: int, recall: float) -> int:
+    """Of ``runs`` first nodes, how many may be crowded so that a pair at ``similarity`` shares one of the others with ``recall``; -1 if none.
+
+    The pair shares a binomial number of the runs' tokens; at worst all of these are in crowded nodes.
+    """
+    chance = np.cumsum(_binomial(runs, similarity))
+    return int(np.searchsorted(chance, 1 - recall, "right")) - 1
+
+
+def _missed(similarity: float, depth: int):
+    """The chance that a pair at ``similarity`` met in no node, from how many first nodes of a class are
+    crowded, how many of them were split, and how many of the paths were in crowded nodes at each level.
+
+    The pair shares k of the tokens; to be missed, all k are among the crowded ones. A path that was
+    split at a shared token goes on by a token that is shared with (k - n) / (64 - n) at level n, into
+    a node that is crowded as often as the class's paths of that level are; a node has two children
+    with 1 / similarity - 1. Paths end early on tokens that few documents have, and so just on those
+    that a pair does not share; therefore the tokens not shared are counted among the paths that end.
     """
     k = np.arange(TOKENS + 1)
-    weight = np.array([math.comb(TOKENS, i) * similarity**i * (1 - similarity) ** (TOKENS - i) for i in k.tolist()])
+    weight, two = _binomial(TOKENS, similarity), 1 / similarity - 1
 
     def run(batches):
         for batch in batches:
-            entered = np.zeros((batch.num_rows, depth + 2), np.float64)
-            entered[:, 0] = runs
-            for row, counts in enumerate(batch.column("crowded").to_pylist()):
-                for x in counts:
-                    entered[row, x["level"] + 1] = x["m"]
+            crowded, split = (batch.column(c).to_numpy().astype(np.float64)[:, None] for c in ("crowded", "split"))
+            paths = np.zeros((batch.num_rows, depth + 2))
+            paths[:, :1] = split
+            for row, counts in enumerate(batch.column("paths").to_pylist()):
+                for x in counts or []:
+                    paths[row, x["level"]] = x["m"]
             together = np.zeros((batch.num_rows, TOKENS + 1))
-            for level in range(depth, -1, -1):
+            for level in range(depth, 0, -1):
                 shared = np.maximum(0, k - level)[None, :] / (TOKENS - level)
-                on = (entered[:, level + 1] / np.maximum(1, entered[:, level]))[:, None]
-                together = np.maximum(0, shared - on) + np.minimum(shared, on) * together
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array((1 - together) ** runs @ weight)], names=["rep", "missed"])
+                on = np.minimum(1, paths[:, level] / np.maximum(1e-9, paths[:, level - 1] * (1 + two)))[:, None]
+                together = np.maximum(0, shared - on) + np.minimum(shared, on) * together * (1 + two - two * together)
+            start = np.minimum(1, k[None, :] / np.maximum(1, crowded)) * together * (1 + two - two * together)
+            missed = np.where(k[None, :] <= crowded, (1 - start) ** split, 0)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(missed @ weight)], names=["rep", "missed"])
 
     return run
 
@@ -160,8 +202,9 @@ def _brute(floor: float):
                     src.append(rep[lo + 1 : hi])
                     dst.append(rep[lo : lo + 1])
                 continue
-            same = np.stack([(own[i] == own).mean(axis=1) >= floor for i in range(n)])
-            i, j = np.nonzero(np.triu(same, 1))
+            least = math.ceil(floor * TOKENS - 1e-9)
+            later = [np.flatnonzero(np.count_nonzero(own[i + 1 :] == own[i], axis=1) >= least) + i + 1 for i in range(n - 1)]
+            i, j = np.repeat(np.arange(n - 1), [len(x) for x in later]), np.concatenate(later)
             root = spanning_roots(n, i, j)
             apart = np.flatnonzero(root != np.arange(n))
             src.append(rep[lo + apart])
@@ -171,57 +214,71 @@ def _brute(floor: float):
     return run
 
 
-def candidate_clusters(sketches: DataFrame, similarity: float, runs: int, limit: int, depth: int | None = None, recall: float = 0.999) -> DataFrame:
-    """(id, component) of the documents that share a cluster with a smaller one; ``sketches`` is (rep, tokens).
-
-    Every document is in one node of each run at every level, so rows never exceed documents times
-    runs; runs after the first ``runs`` are taken only by documents whose paths are too long for
-    ``recall``, and their number doubles. Paths may be as long as halving would need to bring all
-    documents below ``limit``.
-    """
+def candidate_clusters(sketches: DataFrame, similarity: float, runs: int, limit: int, depth: int = 16, recall: float = 0.999) -> DataFrame:
+    """(id, component) of the classes that share a cluster with a smaller one; ``sketches`` is (rep, tokens)."""
     floor = max(0.0, similarity - 5 * (similarity * (1 - similarity) / TOKENS) ** 0.5)
-    if depth is None:
-        depth = max(2, math.ceil(math.log2(max(2, sketches.count() / limit))))
-    depth = min(depth, TOKENS - 1)
 
     def brute(rows: DataFrame, tokens: DataFrame) -> DataFrame:
         parts = fill(rows.count(), 20_000)
         return rows.select("node", "rep").join(tokens.select("rep", "tokens"), "rep").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("part").applyInArrow(_brute(floor), "src long, dst long")
 
-    def descend(entering: DataFrame, first: int, last: int) -> tuple[DataFrame, list[DataFrame]]:
-        """Links from the runs, and per level how many of a document's paths went on through a crowded node."""
-        kinds = "node long, used long, rep long, own long"
-        rows, tokens, links, crowded = cut(entering.mapInArrow(_enter(first, last), kinds)), entering, [], []
-        for level in range(depth + 1):
-            sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1 and a < b").drop("a", "b")
-            met = cut(rows.join(sizes, "node"))
-            links.append(brute(met.where(F.col("n") <= limit), tokens))
-            large = met.where(F.col("n") > limit)
-            if large.isEmpty():
+    def meet(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of nodes with classes of several clusters: small ones and crowded ones. Sizes are cut first, so that a hot node is a plain join."""
+        sizes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.min("own").alias("a"), F.max("own").alias("b")).where("n > 1 and a < b").drop("a", "b"))
+        met = cut(rows.join(sizes, "node"))
+        return met.where(F.col("n") <= limit), met.where(F.col("n") > limit)
+
+    def many(frames: list[DataFrame]) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, frames)
+
+    entered = cut(sketches.mapInArrow(_enter(0, runs), _ENTERED))
+    small, crowded = meet(entered)
+    links = [brute(small, sketches)]
+    count = lambda: crowded.groupBy("rep").agg(F.count(F.lit(1)).cast("int").alias("crowded"))
+    short = cut(count().where(F.col("crowded") > most_crowded(similarity, runs, recall)).select("rep"))
+    if short.isEmpty():
+        return component_roots(many(links))
+    tokens = cut(sketches.join(short, "rep", "left_semi"))
+    small, more = meet(cut(tokens.mapInArrow(_enter(runs, TOKENS), _ENTERED)))
+    links.append(brute(small, tokens))
+    crowded = crowded.unionByName(more)
+    short = cut(count().where(F.col("crowded") > most_crowded(similarity, TOKENS, recall)))
+    first, last, split, paths = 0, runs, [], []
+    while first < TOKENS and not short.isEmpty():
+        links = [cut(many(links))]
+        roots = component_roots(links[0]).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+        rows = crowded.where((F.col("run") >= first) & (F.col("run") < last)).join(short.select("rep"), "rep", "left_semi").join(roots, "rep", "left")
+        # Nodes that one cluster fills by now are left aside, but their paths count as split.
+        rows = cut(rows.select("node", "used", "rep", F.coalesce("cluster", "own").alias("own")))
+        split.append(rows.groupBy("rep").agg(F.count(F.lit(1)).alias("m")))
+        for level in range(1, depth + 1):
+            ends = cut(rows.groupBy("node").agg(F.min(F.struct("rep", "own")).alias("low"), F.max("own").alias("b"), F.min("own").alias("a")).where("a < b").select("node", F.col("low.rep").alias("low"), F.col("low.own").alias("low_own")))
+            if ends.isEmpty():
                 break
-            if level == depth:
-                links.append(large.select(F.col("rep").alias("src"), F.col("low").alias("dst")))
+            pivots = ends.join(tokens.select(F.col("rep").alias("low"), F.col("tokens").alias("pivot")), "low")
+            out = cut(rows.join(cut(pivots), "node").join(tokens, "rep").select("node", "used", "rep", "own", "low", "low_own", "tokens", "pivot").mapInArrow(_split(similarity, floor), "node long, used long, rep long, own long, dst long"))
+            links.append(out.where("dst is not null").select(F.col("rep").alias("src"), "dst"))
+            small, rows = meet(out.where("node is not null").drop("dst"))
+            links.append(brute(small, tokens))
+            if rows.isEmpty():
                 break
-            crowded.append(large.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).withColumn("level", F.lit(level)))
-            if level == 0:
-                tokens = cut(tokens.select("rep", "tokens").join(large.select("rep").distinct(), "rep", "left_semi"))
-            rows = cut(large.select("node", "used", "rep", "own").join(tokens, "rep").mapInArrow(_split, kinds))
-        return functools.reduce(DataFrame.unionByName, links), crowded
-
-    found, crowded = descend(sketches.withColumn("own", F.col("rep")), 0, runs)
-    roots = component_roots(found)
-    while crowded:
-        paths = functools.reduce(DataFrame.unionByName, crowded).groupBy("rep", "level").agg(F.sum("m").alias("m"))
-        counts = paths.groupBy("rep").agg(F.collect_list(F.struct("level", "m")).alias("crowded"))
-        short = cut(counts.mapInArrow(_missed(similarity, runs, depth), "rep long, missed double").where(F.col("missed") > 1 - recall).select("rep"))
-        if short.isEmpty():
-            break
-        own = roots.select(F.col("id").alias("rep"), F.col("component").alias("own"))
-        again = cut(sketches.join(short, "rep", "left_semi").join(own, "rep", "left").withColumn("own", F.coalesce("own", "rep")))
-        found, more = descend(again, runs, 2 * runs)
-        crowded, runs = crowded + more, 2 * runs
-        roots = component_roots(found.unionByName(roots.select(F.col("id").alias("src"), F.col("component").alias("dst"))))
-    return roots
+            paths.append(rows.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).withColumn("level", F.lit(level)))
+            rows = rows.select("node", "used", "rep", "own")
+        else:
+            links.append(rows.groupBy("node").agg(F.min("rep").alias("dst")).join(rows, "node").select(F.col("rep").alias("src"), "dst"))
+        known = short.join(many(split).groupBy("rep").agg(F.sum("m").alias("split")), "rep")
+        if paths:
+            counts = many(paths).groupBy("rep", "level").agg(F.sum("m").alias("m")).groupBy("rep").agg(F.collect_list(F.struct("level", "m")).alias("paths"))
+            known = known.join(counts, "rep", "left")
+        else:
+            known = known.withColumn("paths", F.expr("cast(null as array<struct<level:int,m:bigint>>)"))
+        left = known.mapInArrow(_missed(similarity, depth), "rep long, missed double").where(F.col("missed") > 1 - recall)
+        short = cut(short.join(left.select("rep"), "rep", "left_semi"))
+        first, last = last, TOKENS
+    return component_roots(many(links))
+
+
+_ENTERED = "node long, used long, run int, rep long, own long"
 
 
 def _sets(width: int):
@@ -298,20 +355,29 @@ def _verify(similarity: float):
     return run
 
 
+def row_key() -> list:
+    """Two numbers that name a row by its doc_id and text; rows that repeat both share them."""
+    return [F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64("text", F.lit(1), "doc_id").alias("row_b")]
+
+
 def near_duplicate_documents(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, runs: int = 10, limit: int = 256, depth: int | None = None, tile: int = 1024, recall: float = 0.999
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, runs: int = 10, limit: int = 1024, depth: int = 16, tile: int = 1024, recall: float = 0.999
 ) -> DataFrame:
-    """(doc_id, class_id, n_links, kept), one row per input row.
+    """(doc_id, class_id, n_links, kept, row_a, row_b), one row per input row.
 
     n_links counts the other documents with similarity >= ``similarity``, equal texts included;
-    class_id is the smallest doc_id reachable by links; kept marks one row of each class.
+    class_id is the smallest doc_id reachable by links (null is the smallest); kept marks one row of
+    each class, one that has this doc_id. ``row_a`` and ``row_b`` are the row's ``row_key()``.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = cut(texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).mapInArrow(_sketch(width), "doc_id long, wa long, wb long, tokens binary"))
-    classes = cut(sketched.groupBy("wa", "wb").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("tokens").alias("tokens")))
+    keyed = texts.select("doc_id", "text", *row_key())
+    sketched = cut(keyed.mapInArrow(_sketch(width), "doc_id long, row_a long, row_b long, wa long, wb long, tokens binary").withColumn("row", F.monotonically_increasing_id()))
+    # Classes have numbers of their own; the first row of a class, null ids first, stands for its text.
+    order = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "row_a", "row_b", "row")
+    classes = cut(sketched.groupBy("wa", "wb").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), F.min("tokens").alias("tokens")).withColumn("rep", F.monotonically_increasing_id()))
     roots = cut(candidate_clusters(classes.select("rep", "tokens"), similarity, runs, limit, depth, recall).withColumnsRenamed({"id": "rep", "component": "cluster"}))
-    members = roots.unionByName(roots.select(F.col("cluster").alias("rep"), "cluster").distinct()).join(classes.select("rep", "n", "wa", "wb"), "rep")
-    whole = texts.withColumn("rep", F.coalesce("doc_id", F.lit(-(2**63)))).join(members, "rep").select("cluster", "rep", "n", "wa", "wb", "text")
+    members = roots.unionByName(roots.select(F.col("cluster").alias("rep"), "cluster").distinct()).join(classes.select("rep", "n", "wa", "wb", "first.row_a", "first.row_b"), "rep")
+    whole = keyed.join(members, ["row_a", "row_b"]).select("cluster", "rep", "n", "wa", "wb", "text")
     sets = whole.mapInArrow(_sets(width), "cluster long, rep long, n long, shingles binary").dropDuplicates(["rep"])
     ranked = blocked(members.select("cluster", "rep"), ["cluster"], F.pmod(F.xxhash64("rep"), F.lit(64)), [F.col("rep")], rank="at").withColumn("block", F.floor(F.col("at") / tile))
     counts = ranked.groupBy("cluster").agg(F.max("block").alias("last"))
@@ -321,12 +387,12 @@ def near_duplicate_documents(
     pairs = sets.join(placed, "rep").withColumn("part", F.pmod(F.xxhash64("cluster", "a", "b"), F.lit(parts)))
     found = cut(pairs.groupBy("part").applyInArrow(_verify(similarity), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    merged = component_roots(found, "rep", "root").withColumnsRenamed({"id": "rep", "component": "root"})
-    judged = classes.select("wa", "wb", "rep", "n").join(links, "rep", "left").join(merged, "rep", "left").select(
-        "wa", "wb", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("class_id")
+    least = smallest_of_components(component_roots(found, "rep", "root"), classes.select("rep", F.col("first").alias("value")))
+    judged = cut(
+        classes.join(links, "rep", "left").join(least, "rep", "left")
+        .select("wa", "wb", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("value", "first").alias("least"))
     )
-    worded = sketched.select("doc_id", "wa", "wb").join(judged, ["wa", "wb"]).select("doc_id", "class_id", "n_links")
-    # Rows without words were not sketched; of rows that repeat the kept doc_id one stays.
-    none = texts.where(~F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").alias("x")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    real = lambda c: F.nullif(F.col(c), F.lit(-(2**63))).alias(c)
-    return worded.unionByName(none).withColumn("kept", F.col("doc_id") == F.col("class_id")).select(real("doc_id"), real("class_id"), "n_links", "kept")
+    worded = sketched.drop("tokens").join(judged, ["wa", "wb"]).select("doc_id", F.col("least.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("least.row")).alias("kept"), "row_a", "row_b")
+    # Rows without words were not sketched.
+    none = keyed.where(~F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
+    return worded.unionByName(none.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "row_a", "row_b"))

@@ -8,8 +8,9 @@ cannot reach the threshold. Survivors are checked on the original numbers in dou
 task returns link counts and a spanning forest, not pairs.
 
 Null labels and null, zero, null-holding or non-finite vectors link with nothing; vectors of another
-length never link; a repeated vec_id is a row of its own; other columns are ignored; an empty table
-gives no rows.
+length never link; a row without vec_id links with nothing; rows that repeat a vec_id link each by
+their own vector, and all of them that have their component's smallest vec_id are kept; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.operators.components import component_roots, spanning_roots
+from emberline.llm.classes import smallest_of_components
 from emberline.llm.topk import finite, matrix
 from emberline.operators.ranking import blocked
 from emberline.runtime import cut
@@ -120,12 +122,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, tile: in
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     nonzero = F.exists("embedding", lambda x: x != 0)
     whole = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite(F.col("embedding")) & nonzero)
-    classes = cut(whole.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("dims", F.size("embedding")))
+    # Classes have numbers of their own, so that a vec_id may repeat with other vectors.
+    classes = cut(
+        whole.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("dims", F.size("embedding")).withColumn("rep", F.monotonically_increasing_id())
+    )
     axes = principal_axes(classes)
     near = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
     placed = cut(
         blocked(
-            classes.mapInArrow(_project(axes), "label long, embedding array<double>, rep long, n long, dims int, pc double"),
+            classes.select("label", "embedding", "rep", "n", "dims").mapInArrow(_project(axes), "label long, embedding array<double>, rep long, n long, dims int, pc double"),
             ["label", "dims"], F.floor(F.col("pc") * 512), [F.col("pc"), F.col("rep")], rank="at",
         ).withColumn("tile", F.floor(F.col("at") / tile))
     )
@@ -136,11 +141,12 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, tile: in
     both = side("tile_a", 0).unionByName(side("tile_b", 1).where("tile_a <> tile_b"))
     found = cut(both.groupBy("label", "dims", "tile_a", "tile_b").applyInArrow(_tile_pair(axes, threshold), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = component_roots(found, "rep", "root").withColumnsRenamed({"id": "rep", "component": "root"})
-    judged = classes.join(links, "rep", "left").join(roots, "rep", "left").select(
-        "label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id")
+    least = smallest_of_components(component_roots(found, "rep", "root"), classes.select("rep", F.col("first").alias("value")))
+    judged = classes.join(links, "rep", "left").join(least, "rep", "left").select(
+        "label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("value", "first").alias("component_id")
     )
     out = rows.join(judged, ["label", "embedding"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
+        "vec_id", F.when(F.col("vec_id").isNotNull(), F.col("n_links")).alias("links"), F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component")
     )
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

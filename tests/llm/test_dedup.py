@@ -121,7 +121,7 @@ def test_near_join_finds_pairs_in_crowded_nodes(spark):
         assert 0.8 <= len(a & b) / len(a | b) < 0.83
         rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in nearjoin.near_duplicate_documents(docs, limit=2).collect()}
+    got = {r.doc_id: r.class_id for r in nearjoin.near_duplicate_documents(docs, limit=16).collect()}
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(400)) >= 399
 
 
