@@ -4,11 +4,15 @@ Every source has a target. Time is cut into slots of one block of words each; th
 of t times the golden ratio, mapped through the cumulative targets, name each slot's source, so any
 stretch of the schedule has nearly the right shares. A source's documents, shuffled by a hash, form
 a stream that repeats; it is cut into blocks of the same number of words. The kth slot of a source
-takes the kth block, by a join of slot ranks and block numbers.
+takes the kth block, by a join of slot ranks and block numbers. The stream ends at the target, so a
+last block may be short; sources that the schedule left below their target get closing slots, which
+also serves sources far smaller than a block.
 
-Null or empty texts have size 0 and are taken as 0 words; a null source is a source of its own and
-comes last; repeated rows each count; other columns are ignored unless asked for; an empty table
-gives no rows. Order depends on a seeded hash only, so reruns agree.
+Targets take one small job per round, each filling a source at least; the running shares sort the sources in pieces by the
+head of their names. Both are meant for up to millions of sources. Null or empty texts have size 0
+and are taken as 0 words; a null source is a source of its own and comes last; null and repeated
+doc_ids, and repeated rows, each count as documents of their own; columns are carried only if asked
+for; an empty table gives no rows. Order depends on a seeded hash of id, source and text, so reruns agree.
 """
 
 from __future__ import annotations
@@ -50,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float
 
 
 def schedule(goals: DataFrame, words: int, block: int) -> DataFrame:
-    """(slot, source, rank): the source of each block of the mix, and the slot's number within the source."""
+    """(slot, source, rank): the source of each block of the mix, and the slot's number within the source; closing slots come after all others."""
     spark = goals.sparkSession
     slots = -(-words // block)
     # Millionths of a word, so that the running sum is exact and each share ends where the next begins.
@@ -64,15 +68,22 @@ def schedule(goals: DataFrame, words: int, block: int) -> DataFrame:
     cells = cells.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") % SPAN) * STEP % SPAN).alias("u")).withColumn("cell", F.floor(F.col("u") / width))
     named = points.join(cells, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "source")
-    return blocked(named, ["source"], F.floor(F.col("slot") / 65536), [F.col("slot")], rank="rank")
+    ranked = blocked(named, ["source"], F.floor(F.col("slot") / 65536), [F.col("slot")], rank="rank")
+    had = named.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("had"))
+    wanted = goals.join(had, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.coalesce("had", F.lit(0)).alias("had"), F.ceil(F.floor(F.col("target") + 0.5) / block).alias("all"))
+    closing = wanted.where("had < all").select("source", F.explode(F.sequence(F.col("had"), F.col("all") - 1)).alias("rank"))
+    return ranked.select("slot", "source", "rank").unionByName(closing.select(F.lit(slots).cast("long").alias("slot"), "source", "rank"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.0, block: int = 256, seed: int = 17, size: Column | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, nth), one row per document.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.0, block: int = 256, seed: int = 17, size: Column | None = None, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, nth, *carry), one row per document.
 
     ``taken`` counts the words that the schedule's blocks take from the document, repeats counted.
     """
-    rows = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id", "source", F.lit(seed)), 1).alias("h"))
+    words_of = (word_count(F.col("text")) if size is None else size).alias("size")
+    named = [c for c in ("doc_id", "source", "text") if c in docs.columns]
+    rows = docs.select("doc_id", "source", words_of, F.shiftrightunsigned(F.xxhash64(*named, F.lit(seed)), 1).alias("h"), *carry)
+    carried = rows.columns[4:]
     rows = cut(rows)
     goals = cut(targets(rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, limit))
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).first()
@@ -81,11 +92,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.
     # The stream of a source repeats up to `limit` times; each turn gives the document an interval of positions.
     sized = streams.join(goals.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     turns = sized.where("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("target") / F.col("source_size")).cast("int")))))
-    placed = turns.withColumn("from", F.col("turn") * F.col("source_size") + F.col("start")).withColumn("to", F.least(F.col("from") + F.col("size"), (F.col("source_size") * limit).cast("long"))).where("from < to")
+    placed = turns.withColumn("from", F.col("turn") * F.col("source_size") + F.col("start")).withColumn("to", F.least(F.col("from") + F.col("size"), F.floor(F.col("target") + 0.5))).where("from < to")
     cuts = placed.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     words = F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block)
     slots = schedule(goals, totals["words"] or 0, block).withColumnsRenamed({"source": "s", "rank": "r"})
     taken = cuts.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r"))).groupBy("source", "nth").agg(F.sum(words).alias("taken"))
     taken = taken.withColumnsRenamed({"source": "s", "nth": "k"})
     out = sized.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("nth") == F.col("k")), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "nth")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "nth", *carried)

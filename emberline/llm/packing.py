@@ -16,6 +16,7 @@ included, are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import os
 import re
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.operators.ranking import blocked
-from emberline.runtime import cut, spread
+from emberline.runtime import cut, spread, store
 
 CAPACITY = 2048
 
@@ -41,12 +42,15 @@ _SEGMENT = re.compile(rf"{_SPACE}*[\S\x1c-\x1f]+|{_SPACE}+")
 MEMO, MEMO_CHARS = 1 << 18, 48
 
 
-def load_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """A function from texts to lists of ids: the tokenizers library's own, without added specials.
+@functools.lru_cache(maxsize=1)
+def load_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """A function from texts to arrays of ids: the tokenizers library's own, without added specials.
 
     A byte-level file without normalizer never joins a visible character with the white space after
-    it, so there a text is encoded in segments (white space, then what is visible) and the ids of
-    segments met before are kept, MEMO and those of one batch at most. Other files take whole texts.
+    it, so there a text is encoded in segments (white space, then what is visible). New segments are
+    encoded laid end to end, and cut by the bytes that each id stands for; the ids of segments met
+    before are kept, MEMO and those of one batch at most. Other files take whole texts. A worker
+    process keeps its encoder from task to task.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task per core already
     from tokenizers import Tokenizer
@@ -54,21 +58,40 @@ def load_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    plain = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    ids_of = lambda texts: [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     split = spec.get("pre_tokenizer") or {}
     apart = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
     marks = [t for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])]
     if not apart or marks or spec.get("normalizer") or spec.get("truncation") or spec.get("padding"):
-        return plain
-    memo: dict[str, list[int]] = {}
-
-    def encode(texts: list[str]) -> list[list[int]]:
+        return ids_of
+    # In a byte-level vocabulary a token has one character for each of its bytes.
+    stands_for = {i: len(t) for t, i in spec["model"]["vocab"].items()} | {t["id"]: len(t["content"].encode()) for t in spec["added_tokens"]}
+    width = np.zeros(max(stands_for) + 1, np.int64)
+    width[list(stands_for)] = list(stands_for.values())
+    memo: dict[str, bytes] = {}
+
+    def learn(new: list[str]) -> None:
+        joined = [s for s in new if s[0] in " \n\t\r" and not s[-1].isspace()]
+        alone = set(new).difference(joined)
+        ends = np.cumsum([len(s.encode()) for s in joined])
+        ids = ids_of(["".join(joined)])[0]
+        reach = np.cumsum(width[ids])
+        cuts = np.searchsorted(reach, ends)
+        if len(joined) and not (np.array_equal(reach[cuts], ends)):
+            raise ValueError("ids do not end where their segments end")
+        raw, at = ids.tobytes(), 0
+        for s, to in zip(joined, ((cuts + 1) * 4).tolist()):
+            memo[s] = raw[at:to]
+            at = to
+        memo.update(zip(alone, (x.tobytes() for x in ids_of(list(alone)))))
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
         if len(memo) > MEMO:
             memo.clear()
         segments = [_SEGMENT.findall(t) for t in texts]
-        new = list({s for own in segments for s in own if s not in memo})
-        memo.update(zip(new, plain(new)))
-        out = [list(chain.from_iterable(map(memo.__getitem__, own))) for own in segments]
+        new = [s for s in set(chain.from_iterable(segments)) if s not in memo]
+        learn(new)
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, own)), "<u4") for own in segments]
         for s in new:
             if len(s) > MEMO_CHARS:
                 del memo[s]
@@ -87,11 +110,10 @@ def _pieces(path: str | None, end: int, capacity: int, keep_ids: bool):
                 some = batch.slice(at, 256)
                 out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []} | ({"ids": []} if keep_ids else {})
                 for doc, ids in zip(some.column("doc_id").to_pylist(), encode([t or "" for t in some.column("text").to_pylist()])):
-                    ids.append(end)
-                    raw = np.array(ids, "<u4")
-                    stop = len(ids) % capacity or capacity
+                    raw = np.append(ids, np.uint32(end)).astype("<u4", copy=False)
+                    stop = len(raw) % capacity or capacity
                     start = piece = 0
-                    while start < len(ids):
+                    while start < len(raw):
                         part = raw[start:stop]
                         out["doc_id"].append(doc)
                         out["piece"].append(piece)
@@ -218,4 +240,5 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str | None = None, end: int = 0, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset), one row per piece."""
-    return pack_pieces(cut(token_pieces(docs, path, end, capacity, keep_ids)), capacity)
+    pieces = token_pieces(docs, path, end, capacity, keep_ids)
+    return pack_pieces(store(pieces) if keep_ids else cut(pieces), capacity)

@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from emberline.llm import nearjoin, passages, suffixes, vectors
 from emberline.llm.registry import QUERIES
+from emberline.llm.rolling import TIE
 from emberline.operators.components import spanning_roots
 from tests.llm import brute
 
@@ -71,15 +73,79 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.n_links) for r in near) == [(0, 2), (1, 2), (1, 2)]
 
 
-def test_longest_previous_factor():
-    assert suffixes.longest_previous_factor(b"abaabab").tolist() == [0, 0, 1, 3, 2, 2, 1]
-    text = b"mississippi mississippi"
-    lpf = suffixes.longest_previous_factor(text)
-    for i in range(len(text)):
-        assert lpf[i] == max((n for j in range(i) for n in range(len(text) - i + 1) if text[j : j + n] == text[i : i + n]), default=0)
-    for length in (3, 5):
-        _, start, order, same = suffixes.truncated_suffix_order([text], length)
-        assert [bool(x) for x in suffixes.has_previous_factor(order, same)] == [bool(lpf[i] >= length) for i in start]
+def plain_factors(texts):
+    """For each position of texts laid end to end, the longest match that starts earlier; matches end with their texts."""
+    suffixes_ = [t[i:] for t in texts for i in range(len(t))]
+    same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return [max((same(s, e) for e in suffixes_[:n]), default=0) for n, s in enumerate(suffixes_)]
+
+
+def test_longest_previous_factors():
+    rng = random.Random(1)
+    cases = [[b"abaabab"], [b"mississippi mississippi"], [b"\0\0a\0", b"\0a\0\0"], [b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"] * 2]
+    cases += [[bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 6))] for _ in range(60)]
+    for texts in cases:
+        order, text, room, ranks = suffixes.suffix_order(texts)
+        order = order[room[order] > 0]
+        common = np.concatenate([[0], suffixes.common_prefixes(order[:-1], order[1:], room, ranks)])
+        factor = np.empty(len(order), np.int64)
+        factor[np.argsort(np.argsort(order))] = suffixes.longest_previous_factors(order, common)
+        by_place = dict(zip(order.tolist(), factor.tolist()))
+        expected = plain_factors(texts)
+        assert [by_place[p] for p in sorted(by_place)] == expected
+        for length in (1, 3, 5):
+            at, start = suffixes.later_copies(texts, length)
+            places = [(i, p) for i, t in enumerate(texts) for p in range(len(t))]
+            assert list(zip(at.tolist(), start.tolist())) == [w for w, f in zip(places, expected) if f >= length]
+
+
+def test_crowded_minimizers_are_settled_by_name(spark, monkeypatch):
+    """One passage in a third of the documents, each time with other surroundings, and a long periodic text."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(260)
+    rows = [(i, letters(150) + (passage if i % 3 == 0 else "") + letters(150)) for i in range(150)] + [(500, "xy" * 3000), (501, "x" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    expected = {i: v[:4] for i, v in brute.strings(rows).items()}
+    for crowd in (suffixes.CROWD, 8):
+        monkeypatch.setattr(suffixes, "CROWD", crowd)
+        got = suffixes.remove_repeated_strings(docs)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == expected
+
+
+def test_a_crowded_minimizer_spreads_over_buckets():
+    """The runs at the edges of a common passage all differ; their strings go to all buckets, no run goes to one."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(260))
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(120)) + passage for _ in range(300)]
+    table = pa.table({"doc_id": list(range(300)), "text": texts, TIE: list(range(300))})
+    values, counts = suffixes._anchors(100)(table)
+    assert counts.max() >= 250
+
+    class AllHits:
+        has = staticmethod(lambda fps: np.isin(fps, values))
+        crowded = staticmethod(lambda fps: np.isin(fps, values[counts >= 50]))
+
+    sent = suffixes._send(100)(0, table, AllHits, 64)
+    names = [len(blob) for _, _, kind, blob in sent if kind == suffixes.NAMES]
+    assert len(names) == 64 and max(names) < 3 * sum(names) / 64
+    runs = sum(int.from_bytes(blob[:8], "little") for _, _, kind, blob in sent if kind == suffixes.RUNS)
+    assert runs < len(values) + 50 * (counts >= 50).sum()
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    """Classes are no ids: of the null rows and of the two rows of id 9, only the near copies are linked."""
+    rng = random.Random(2)
+    words = lambda: [f"w{rng.randrange(99999)}" for _ in range(60)]
+    base = words()
+    near = lambda i: " ".join(base[:i] + ["other"] + base[i + 1 :])
+    rows = [(1, near(0)), (2, near(59)), (9, near(1)), (9, " ".join(words())), (None, near(58)), (None, " ".join(words())), (None, " ".join(words()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_links, r.class_id or 0, r.kept) for r in nearjoin.near_duplicate_documents(docs).collect())
+    assert got == [(0, 0, 0, True), (0, 0, 0, True), (0, 3, 0, True), (1, 3, 0, False), (2, 3, 0, False), (9, 0, 9, True), (9, 3, 0, False)]
+    table = spark.createDataFrame([(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [1.0, 0.001], 1), (None, [1.0, 0.0], 1), (8, [1.0, 0.0], 2), (8, [1.0, 0.0], 2)], "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in vectors.near_duplicate_vectors(table.withColumn("rep", F.lit("x")).withColumn("n_links", F.lit("x"))).collect())
+    assert got == [(0, 0, 0), (5, 0, 5), (5, 1, 5), (7, 1, 5), (8, 1, 8), (8, 1, 8)]
 
 
 def test_near_join_matches_brute_force(spark, sf):
@@ -121,7 +187,7 @@ def test_near_join_finds_pairs_in_crowded_nodes(spark):
         assert 0.8 <= len(a & b) / len(a | b) < 0.83
         rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in nearjoin.near_duplicate_documents(docs, limit=16).collect()}
+    got = {r.doc_id: r.class_id for r in nearjoin.near_duplicate_documents(docs, limit=64).collect()}
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(400)) >= 399
 
 
