@@ -88,9 +88,7 @@ def test_longest_previous_factors():
         order, text, room, ranks = suffixes.suffix_order(texts)
         order = order[room[order] > 0]
         common = np.concatenate([[0], suffixes.common_prefixes(order[:-1], order[1:], room, ranks)])
-        factor = np.empty(len(order), np.int64)
-        factor[np.argsort(np.argsort(order))] = suffixes.longest_previous_factors(order, common)
-        by_place = dict(zip(order.tolist(), factor.tolist()))
+        by_place = dict(zip(order.tolist(), suffixes.longest_previous_factors(order, common).tolist()))
         expected = plain_factors(texts)
         assert [by_place[p] for p in sorted(by_place)] == expected
         for length in (1, 3, 5):
