@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,20 +52,32 @@ def event_names(members: DataFrame) -> DataFrame:
     return members.groupBy("configuration_id", "component").agg(F.concat(F.lit("event-"), F.first("configuration_id"), F.lit("-"), F.substring(digest, 1, 16)).alias("event_id"))
 
 
+#: Directions in which the width of an event bounds its largest distance from below, to within 0.5 %.
+DIRECTIONS = 16
+
+
 def extents(members: DataFrame, keys: list[str]) -> DataFrame:
     """Per event the largest distance of two members, and of a member from the projected centroid.
 
-    A point that is farthest from another is a hull vertex, so only the lowest and highest point of
-    each abscissa, and of those the first and last of each ordinate, are paired.
+    Both ends of the largest distance lie at least that distance less the radius from the middle, so
+    only points near the rim are paired: first the event's widths in some directions are taken, then
+    its radius. Of the rim only the lowest and highest point of each abscissa, and of those the
+    first and last of each ordinate, can be hull vertices.
     """
-    middle = members.groupBy(*keys).agg(F.avg("x_m").alias("mx"), F.avg("y_m").alias("my"))
     points = members.select(*keys, "x_m", "y_m")
-    by_x = points.groupBy(*keys, "x_m").agg(F.array_distinct(F.array(F.min("y_m"), F.max("y_m"))).alias("ys")).select(*keys, "x_m", F.explode("ys").alias("y_m"))
+    angles = [(math.cos(math.pi * i / DIRECTIONS), math.sin(math.pi * i / DIRECTIONS)) for i in range(DIRECTIONS)]
+    widths = [F.max(F.col("x_m") * c + F.col("y_m") * s) - F.min(F.col("x_m") * c + F.col("y_m") * s) for c, s in angles]
+    shape = points.groupBy(*keys).agg(
+        F.avg("x_m").alias("mx"), F.avg("y_m").alias("my"), ((F.min("x_m") + F.max("x_m")) / 2).alias("bx"), ((F.min("y_m") + F.max("y_m")) / 2).alias("by"), F.greatest(*widths).alias("width")
+    )
+    placed = points.join(shape, keys).withColumn("from_middle", planar_m(F.col("x_m"), F.col("y_m"), F.col("bx"), F.col("by")))
+    far = placed.groupBy(*keys).agg(F.max(planar_m(F.col("x_m"), F.col("y_m"), F.col("mx"), F.col("my"))).alias("max_distance_to_centroid_m"), F.max("from_middle").alias("radius"))
+    rim = placed.join(far, keys).where(F.col("from_middle") >= F.col("width") - F.col("radius") - 1e-6 * (1 + F.col("radius")))
+    by_x = rim.groupBy(*keys, "x_m").agg(F.array_distinct(F.array(F.min("y_m"), F.max("y_m"))).alias("ys")).select(*keys, "x_m", F.explode("ys").alias("y_m"))
     hull = by_x.groupBy(*keys, "y_m").agg(F.array_distinct(F.array(F.min("x_m"), F.max("x_m"))).alias("xs")).select(*keys, F.explode("xs").alias("x1"), F.col("y_m").alias("y1"))
     pairs = hull.join(hull.withColumnsRenamed({"x1": "x2", "y1": "y2"}), keys)
     widest = pairs.groupBy(*keys).agg(F.max(planar_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).alias("max_pairwise_distance_m"))
-    far = points.join(middle, keys).groupBy(*keys).agg(F.max(planar_m(F.col("x_m"), F.col("y_m"), F.col("mx"), F.col("my"))).alias("max_distance_to_centroid_m"))
-    return widest.join(far, keys)
+    return widest.join(far.drop("radius"), keys)
 
 
 def value_counts_map(rows: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:

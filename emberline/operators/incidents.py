@@ -21,17 +21,25 @@ def cohort_distributions(events: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def percentile_ranks(cohort: DataFrame, wanted: DataFrame, key: str, metric: str, slack: float = 1e-12) -> DataFrame:
-    """(key, value, percentile, inclusive_rank) of wanted rows in the cohort.
+    """(key, value, percentile, inclusive_rank) of wanted rows in the cohort: how many values are at most theirs plus ``slack``.
 
-    The cohort is first counted by value, so the running count is over distinct values, in ranges.
+    The cohort is first counted by value. Counts and wanted rows stand in one order, cut into ranges
+    of equal width, and a running sum over it gives each wanted row the values up to its own.
     """
     from emberline.operators.ranking import blocked
-
-    values = cohort.where(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = blocked(values, [], F.floor(F.col("v")), [F.col("v")], rank="i", value=F.col("n"), total="before").withColumn("upto", F.col("before") + F.col("n")).select("v", "upto")
-    total = cohort.agg(F.count(metric).alias("t"))
-    out = wanted.select(key, F.col(metric).alias("value")).join(ranked, (F.col("value") == F.col("v"))).crossJoin(total)  # one row
-    return out.select(key, "value", (100.0 * F.col("upto") / F.col("t")).alias("percentile"), F.col("upto").alias("inclusive_rank"))
+    from emberline.runtime import spread
+
+    values = cohort.where(F.col(metric).isNotNull()).groupBy(F.col(metric).cast("double").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    ends = values.agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("n").alias("t"), F.count(F.lit(1)).alias("k")).first()
+    if not ends["t"]:
+        return wanted.select(key, F.col(metric).cast("double").alias("value"), F.lit(None).cast("double").alias("percentile"), F.lit(0).cast("long").alias("inclusive_rank")).where("value is not null")
+    lo, width = ends["lo"], (ends["hi"] - ends["lo"]) / spread(ends["k"]) or 1.0
+    empty = F.lit(None).cast(wanted.schema[key].dataType).alias(key)
+    counts = values.select("at", "n", F.lit(0).alias("kind"), empty, F.lit(None).cast("double").alias("value"))
+    asked = wanted.where(F.col(metric).isNotNull()).select((F.col(metric).cast("double") + slack).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("kind"), key, F.col(metric).cast("double").alias("value"))
+    piece = F.greatest(F.lit(-1.0), F.least(F.floor((F.col("at") - lo) / width).cast("double"), F.lit((ends["hi"] - lo) / width + 1)))
+    ranked = blocked(counts.unionByName(asked), [], piece, [F.col("at"), F.col("kind")], rank="i", value=F.col("n"), total="upto").where("kind = 1")
+    return ranked.select(key, "value", (100.0 * F.col("upto") / ends["t"]).alias("percentile"), F.col("upto").alias("inclusive_rank"))
 
 
 def match_summary(references: DataFrame, matches: DataFrame) -> DataFrame:

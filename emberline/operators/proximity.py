@@ -35,20 +35,24 @@ def space_time_edges(points: DataFrame, radius_m: float, hours: float, id_col: s
     return met.select("src", "dst", distance.alias("distance_m"), (gap / 3.6e9).alias("gap_hours"))
 
 
-def cross_source_pairs(points: DataFrame, km: float, minutes: float, id_col: str = "detection_id", source: str = "firms_source", ts: str = "ts", most_latitude: float = 60.0) -> DataFrame:
+def cross_source_pairs(points: DataFrame, km: float, minutes: float, id_col: str = "detection_id", source: str = "firms_source", ts: str = "ts") -> DataFrame:
     """(a, b, distance_km, gap_minutes): pairs of different sources within ``km`` and ``minutes``, both inclusive.
 
-    Longitude cells are as wide as ``km`` is at ``most_latitude``, so no true neighbour is missed up to there.
+    Each band of latitude has a whole number of longitude cells around the globe, fewer towards the
+    poles, each as wide as ``km`` can reach there; so neighbours meet at any latitude and across the
+    date line.
     """
-    import math
-
-    lat_cell, lon_cell = km / 110.0, km / (110.0 * math.cos(math.radians(most_latitude)))
+    lat_cell = km / 110.0
     base = points.select(F.col(id_col).alias("id"), F.col(source).alias("s"), "lon", "lat", F.unix_micros(ts).alias("t"))
-    cells = base.withColumns({"cx": F.floor(F.col("lon") / lon_cell), "cy": F.floor(F.col("lat") / lat_cell), "ct": F.floor(F.col("t") / (minutes * 6e7 + 1))})
-    left = cells.select(*[F.col(c).alias(f"{c}1") for c in ("id", "s", "lon", "lat", "t")], "cx", "cy", "ct")
-    spread = cells.select(*[F.col(c).alias(f"{c}2") for c in ("id", "s", "lon", "lat", "t")], "cx", "cy", "ct")
-    for c in ("cx", "cy", "ct"):
-        spread = spread.withColumn(c, _near_cells(c))
+    cells = base.withColumns({"cy": F.floor(F.col("lat") / lat_cell), "ct": F.floor(F.col("t") / (minutes * 6e7 + 1))})
+    # 70 km a degree instead of 111: chords and their angles differ by up to pi / 2.
+    far = F.least(F.lit(90.0), F.greatest(F.abs(F.col("cy") - 1), F.abs(F.col("cy") + 2)) * lat_cell)
+    around = F.greatest(F.lit(1), F.floor(360 * 70.0 * F.cos(F.radians(far)) / km)).cast("long")
+    place = F.pmod(F.floor((F.col("lon") + 180) / 360 * F.col("n")), F.col("n"))
+    left = cells.withColumn("n", around).withColumn("cx", place).select(*[F.col(c).alias(f"{c}1") for c in ("id", "s", "lon", "lat", "t")], "cx", "cy", "ct")
+    spread = cells.withColumn("ct", _near_cells("ct")).withColumn("cy", _near_cells("cy")).withColumn("n", around).withColumn("cx", place)
+    spread = spread.withColumn("cx", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("cx") + d, F.col("n")) for d in (-1, 0, 1)]))))
+    spread = spread.select(*[F.col(c).alias(f"{c}2") for c in ("id", "s", "lon", "lat", "t")], "cx", "cy", "ct")
     distance = haversine_km(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
     gap = F.abs(F.col("t1") - F.col("t2"))
     met = left.join(spread, ["cx", "cy", "ct"]).where((F.col("s1") < F.col("s2")) & (gap <= int(minutes * 6e7)) & (distance <= km))

@@ -264,6 +264,14 @@ def relief(points: DataFrame, grid: DataFrame, key: str, west: float, north: flo
     return bilinear(around, grid, "__p", west, north, step).groupBy(F.col(f"__p.{key}").alias(key)).agg((F.max("value") - F.min("value")).alias("relief"))
 
 
+def pixels_around(members: DataFrame, keys: list[str], buffer_m: float, step: float, west: float, south: float) -> DataFrame:
+    """(keys, row, col, x_m, y_m): the pixels whose centre can lie within ``buffer_m`` of a member, on the grid from (west, south)."""
+    reach = lambda c, o: F.explode(F.sequence(F.ceil((F.col(c) - buffer_m - o) / step), F.floor((F.col(c) + buffer_m - o) / step)))
+    places = members.select(*keys, "x_m", "y_m").distinct()
+    cells = places.withColumn("row", reach("y_m", south)).select(*keys, "x_m", "row").distinct().withColumn("col", reach("x_m", west)).select(*keys, "row", "col").distinct()
+    return cells.withColumns({"x_m": west + F.col("col") * step, "y_m": south + F.col("row") * step})
+
+
 def support_pixels(grid: DataFrame, members: DataFrame, keys: list[str], buffer_m: float) -> DataFrame:
     """Grid pixels whose centre lies within ``buffer_m`` of any member point, by cells of that size."""
     cell = lambda c: F.floor(F.col(c) / buffer_m)

@@ -36,11 +36,11 @@ def optical_status(spark, sf_dir):
     return selection.three_way_status(events, m.where("status = 'usable_both'"), events.where("event_id % 3 = 0"))
 
 
-@BOOK.query(f"""{_one}, {_events} SELECT component AS event_id, count(*) AS members, string_agg(detection_id, ',' ORDER BY ts, detection_id) AS ids, true AS count_agrees FROM joined WHERE component LIKE '%3' GROUP BY 1""")
+@BOOK.query(f"""{_one}, {_events} SELECT component AS event_id, count(*) AS members, string_agg(detection_id, ',' ORDER BY ts, detection_id) AS ids, true AS count_agrees FROM joined GROUP BY 1""")
 def sampled_members(spark, sf_dir):
     members = _members(spark, sf_dir, [ONE]).withColumn("event_id", F.col("component"))
     events = _events_of(spark, sf_dir)
-    out = selection.sampled_members(events.where(F.col("event_id").endswith("3")), events, members)
+    out = selection.sampled_members(events.select("event_id"), events, members)
     return out.select("event_id", F.size("members").cast("long").alias("members"), F.array_join(F.transform("members", lambda m: m["detection_id"]), ",").alias("ids"), "count_agrees")
 
 
@@ -67,13 +67,14 @@ def pixel_contract(spark, sf_dir):
     return selection.pixel_contract(rows, "scene_id", 8, 8, {"b8": (-2.0, 2.0)}).select("check", "key")
 
 
-@BOOK.query(f"""WITH {DETECTIONS}, m AS (SELECT firms_source AS k, x_m, y_m FROM det WHERE frp > 250), grid AS (SELECT 500000 + c * 500.0 AS x_m, 940000 + r * 500.0 AS y_m, r, c FROM range(12) a(r), range(140) b(c)), s AS (SELECT DISTINCT k, r, c FROM m JOIN grid g ON sqrt((m.x_m - g.x_m) ** 2 + (m.y_m - g.y_m) ** 2) <= 1500)
+@BOOK.query(f"""WITH {DETECTIONS}, m AS (SELECT DISTINCT firms_source AS k, x_m, y_m FROM det),
+near AS (SELECT k, x_m, y_m, CAST(floor((y_m - 940000) / 500) AS BIGINT) + a.i AS r, CAST(floor((x_m - 500000) / 500) AS BIGINT) + b.i AS c FROM m, range(-4, 5) a(i), range(-4, 5) b(i)),
+s AS (SELECT DISTINCT k, r, c FROM near WHERE sqrt((x_m - 500000 - c * 500.0) ** 2 + (y_m - 940000 - r * 500.0) ** 2) <= 1500)
 SELECT firms_source, any_value(a) AS aoi_area_m2, count(*) AS detections FROM det LEFT JOIN (SELECT k, count(*) * 250000.0 AS a FROM s GROUP BY 1) ON k = firms_source GROUP BY 1""")
 def aoi_area_lookup(spark, sf_dir):
     det = detections(spark, sf_dir)
-    members = det.where("frp > 250").select("firms_source", "x_m", "y_m")
-    cells = spark.range(12 * 140).select((F.col("id") % 12).alias("row"), F.floor(F.col("id") / 12).alias("col"))
-    grid = cells.crossJoin(members.select("firms_source").distinct()).select("firms_source", "row", "col", (500000 + F.col("col") * 500.0).alias("x_m"), (940000 + F.col("row") * 500.0).alias("y_m"))
+    members = det.select("firms_source", "x_m", "y_m").distinct()
+    grid = raster.pixels_around(members, ["firms_source"], 1500.0, 500.0, 500000.0, 940000.0)
     areas = selection.aoi_areas(members, grid, ["firms_source"], 1500.0, 500.0)
     return selection.with_area(det, areas, ["firms_source"]).groupBy("firms_source").agg(F.max("aoi_area_m2").alias("aoi_area_m2"), F.count(F.lit(1)).alias("detections"))
 

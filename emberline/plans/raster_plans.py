@@ -203,13 +203,12 @@ def bilinear_samples(spark, sf_dir):
     return _rounded(raster.bilinear(points, grid, "event_id", 0.0, 0.0, 1.0))
 
 
-@BOOK.query(f"""WITH {DETECTIONS}, m AS (SELECT firms_source AS k, x_m, y_m FROM det WHERE frp > 250), grid AS (SELECT CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col, 500000 + c * 500.0 AS x_m, 940000 + r * 500.0 AS y_m FROM range(12) a(r), range(140) b(c))
-SELECT DISTINCT k, row, col FROM m JOIN grid g ON sqrt((m.x_m - g.x_m) ** 2 + (m.y_m - g.y_m) ** 2) <= 1000""")
+@BOOK.query(f"""WITH {DETECTIONS}, m AS (SELECT DISTINCT firms_source AS k, x_m, y_m FROM det),
+near AS (SELECT k, x_m, y_m, CAST(floor((y_m - 940000) / 500) AS BIGINT) + a.i AS row, CAST(floor((x_m - 500000) / 500) AS BIGINT) + b.i AS col FROM m, range(-3, 4) a(i), range(-3, 4) b(i))
+SELECT DISTINCT k, row, col FROM near WHERE sqrt((x_m - 500000 - col * 500.0) ** 2 + (y_m - 940000 - row * 500.0) ** 2) <= 1000""")
 def aoi_support(spark, sf_dir):
-    members = detections(spark, sf_dir).where("frp > 250").select(F.col("firms_source").alias("k"), "x_m", "y_m")
-    cells = spark.range(12 * 140).select((F.col("id") % 12).alias("row"), F.floor(F.col("id") / 12).alias("col"))
-    grid = cells.crossJoin(members.select("k").distinct()).select("k", "row", "col", (500000 + F.col("col") * 500.0).alias("x_m"), (940000 + F.col("row") * 500.0).alias("y_m"))
-    return raster.support_pixels(grid, members, ["k"], 1000.0)
+    members = detections(spark, sf_dir).select(F.col("firms_source").alias("k"), "x_m", "y_m").distinct()
+    return raster.support_pixels(raster.pixels_around(members, ["k"], 1000.0, 500.0, 500000.0, 940000.0), members, ["k"], 1000.0)
 
 
 @BOOK.query(f"""{_mask}, s AS (SELECT scene_id, patch, count(*) AS pixels, count(*) / ((max(row) - min(row) + 1) * (max(col) - min(col) + 1)) AS box_fill, max(nbr) - min(nbr) AS span FROM pat GROUP BY ALL), k AS (SELECT *, pixels * 0.04 * (1 + least(1.0, span * 500 / 200)) * CASE WHEN scene_id % 3 = 0 THEN 1.5 ELSE 1.0 END * CASE WHEN box_fill > 0.8 THEN 0.5 ELSE 1.0 END AS score FROM s WHERE pixels >= 4)

@@ -20,8 +20,8 @@ OPTIONAL = {"daynight": ("daynight", "day_night"), "version": ("version",), "typ
 
 
 def header_key(name: str) -> str:
-    """A header without byte order mark, case and punctuation."""
-    return re.sub(r"[^a-z0-9]+", "_", name.lstrip("﻿").strip().lower()).strip("_")
+    """A header's runs of letters and digits in lower case, joined by underscores; marks and punctuation fall away."""
+    return "_".join(re.findall("[a-z0-9]+", name.lower()))
 
 
 def resolve_header(headers: list[str]) -> tuple[dict[str, int], str | None]:
@@ -74,9 +74,10 @@ def scan_detection_files(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
         "path", "sha256", "size_bytes", F.coalesce("record_count", F.lit(0)).alias("record_count"), (F.col("error").isNull() & F.col("header").isNotNull() & ~F.col("looks_like_html")).alias("schema_valid"),
         F.when(F.col("looks_like_html"), "html body").when(F.col("header").isNull(), "empty file").otherwise(F.col("error")).alias("error"), F.sha2(F.regexp_replace("header", ",", "\x00"), 256).alias("schema_sha256"),
     )
-    parts = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(64))))
+    widest = max((width for _, _, width, _ in known), default=1)
+    parts = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(widest))))
     cells = numbered.where("n > 0").join(heads.where("error is null"), "path").join(contents.select("path", "sha256"), "path").withColumn("c", parts)
-    values = F.array(*[F.col(f"c.c{i}") for i in range(64)])
+    values = F.array(*[F.col(f"c.c{i}") for i in range(widest)])
     field = lambda f: F.coalesce(F.get(values, F.element_at("places", F.lit(f))), F.lit("")).alias(f)
     ident = F.concat(F.lit("firms-"), F.sha2(F.concat_ws("\x00", "path", "sha256", F.col("n").cast("string")), 256))
     rows = cells.select(ident.alias("detection_id"), *[field(f) for f in (*FIELDS, *OPTIONAL)], F.col("path").alias("raw_file"), F.col("sha256").alias("raw_sha256"), F.col("n").cast("long").alias("source_row_number"))
@@ -192,10 +193,12 @@ def write_json_lines(rows: DataFrame, path: str, order: list[str], mode: str = "
     rows.repartitionByRange(*[F.col(o) for o in order]).sortWithinPartitions(*order).write.mode(mode).json(path)
 
 
-def fingerprint(rows: DataFrame) -> tuple[int, int]:
-    """Row count and an order-free hash of all values."""
-    r = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*[F.col(c) for c in sorted(rows.columns)])), F.lit(0)).alias("h")).first()
-    return r["n"], r["h"]
+def fingerprint(rows: DataFrame) -> tuple[int, int, int]:
+    """Row count and two order-free sums of hashes of all values; a repeated row counts each time."""
+    columns = [F.col(c) for c in sorted(rows.columns)]
+    total = lambda *more: F.coalesce(F.sum(F.xxhash64(*columns, *more).cast("decimal(38,0)")), F.lit(0))
+    r = rows.agg(F.count(F.lit(1)).alias("n"), total().alias("a"), total(F.lit(1)).alias("b")).first()
+    return r["n"], int(r["a"]), int(r["b"])
 
 
 def set_fingerprint(rows: DataFrame, key: str) -> DataFrame:

@@ -1,11 +1,14 @@
 import datetime as dt
 import json
+import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import clean, geo
-from emberline.operators import polygons, quality, raster, sampling
+from emberline.operators import events, incidents, polygons, proximity, quality, raster, sampling
 from emberline.operators.ranking import blocked
 from emberline.plans.event_plans import golden_distance
 from emberline.sources import files
@@ -219,3 +222,72 @@ def test_sinks(spark, tmp_path):
     files.write_json_lines(rows, str(tmp_path / "l"), ["id"])
     files.typed_empty(spark, "a int, b string", str(tmp_path / "e"))
     assert spark.read.parquet(str(tmp_path / "e")).columns == ["a", "b"] and spark.read.json(str(tmp_path / "l")).count() == 2
+
+
+def test_write_once_counts_repeated_rows(spark, tmp_path):
+    path = str(tmp_path / "once")
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "a int")
+    assert files.write_once(rows(1, 1, 3), path) == "written"
+    assert files.write_once(rows(3, 1, 1), path) == "same"
+    with pytest.raises(ValueError):
+        files.write_once(rows(2, 2, 3), path)
+    with pytest.raises(ValueError):
+        files.write_once(rows(1, 3), path)
+
+
+def test_fields_beyond_the_64th_column_are_read(spark, tmp_path):
+    names = [f"extra{i}" for i in range(70)] + ["Latitude ", "﻿longitude", "Acq Date", "acq-time", "satellite", "instrument", "confidence", "FRP"]
+    cells = ["x"] * 70 + ["8.5", "-79.5", "2025-01-02", "0345", "N20", "VIIRS", "n", "12.5"]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(cells) + "\n", encoding="utf-8")
+    rows, found = files.scan_detection_files(spark, str(tmp_path))
+    assert found.first()["schema_valid"]
+    (r,) = rows.collect()
+    assert (r.latitude, r.longitude, r.acq_date, r.acq_time, r.frp) == ("8.5", "-79.5", "2025-01-02", "0345", "12.5")
+
+
+def test_ranks_count_values_within_the_slack(spark):
+    cohort = spark.createDataFrame([(str(i), v) for i, v in enumerate([1.0, 1.0 + 1e-13, 1.0 + 1e-9, 5.0, 2.0, None, -3.0, 2.0 - 1e-13])], "k string, v double")
+    got = {r.k: r.inclusive_rank for r in incidents.percentile_ranks(cohort, cohort, "k", "v").collect()}
+    assert got == {"6": 1, "0": 3, "1": 3, "2": 4, "4": 6, "7": 6, "3": 7}
+    few = spark.createDataFrame([("a", 1.5), ("b", 99.0), ("c", -99.0)], "k string, v double")
+    assert {r.k: r.inclusive_rank for r in incidents.percentile_ranks(cohort, few, "k", "v").collect()} == {"a": 4, "b": 7, "c": 0}
+
+
+def test_cross_source_pairs_at_any_latitude(spark):
+    rng = random.Random(6)
+    places = [(rng.uniform(-180, 180), rng.choice([-1, 1]) * rng.uniform(55, 90)) for _ in range(150)] + [(179.995, 10.0), (-179.99, 89.9), (100.0, 89.95)]
+    rows = []
+    for i, (lon, lat) in enumerate(places):
+        rows.append((f"a{i}", "s1", lon, lat))
+        lon2 = (lon + rng.uniform(-0.03, 0.03) / max(0.001, math.cos(math.radians(lat))) + 540) % 360 - 180
+        rows.append((f"b{i}", "s2", lon2, max(-90.0, min(90.0, lat + rng.uniform(-0.01, 0.01)))))
+
+    def apart(p, q):
+        a, b = math.radians(p[3]), math.radians(q[3])
+        h = math.sin((a - b) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(p[2] - q[2]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(math.sqrt(min(1.0, h)))
+
+    table = spark.createDataFrame(rows, "detection_id string, firms_source string, lon double, lat double").withColumn("ts", F.lit("2025-01-01").cast("timestamp"))
+    got = sorted((r.a, r.b) for r in proximity.cross_source_pairs(table, 2.0, 90.0).collect())
+    assert got == sorted((p[0], q[0]) for p in rows for q in rows if p[1] < q[1] and apart(p, q) <= 2.0) and len(got) > 30
+
+
+def test_extents_of_scattered_points(spark):
+    """No two points share a coordinate; only the rim may be paired."""
+    rng = np.random.default_rng(3)
+    shapes = {"disk": rng.normal(size=(20_000, 2)), "line": np.outer(rng.random(3000), [1000.0, 1.0]) + rng.random((3000, 2)), "one": np.array([[5.0, 5.0]]), "two": np.array([[0.0, 0.0], [3.0, 4.0]])}
+    rows = [(k, float(x), float(y)) for k, p in shapes.items() for x, y in p]
+    got = {r.k: r for r in events.extents(spark.createDataFrame(rows, "k string, x_m double, y_m double"), ["k"]).collect()}
+    for k, p in shapes.items():
+        widest = max(float(np.sqrt(((p - q) ** 2).sum(axis=1)).max()) for q in p[np.argsort(-np.sqrt(((p - p.mean(axis=0)) ** 2).sum(axis=1)))[:300]])
+        assert got[k].max_pairwise_distance_m == pytest.approx(widest)
+        assert got[k].max_distance_to_centroid_m == pytest.approx(float(np.sqrt(((p - p.mean(axis=0)) ** 2).sum(axis=1)).max()))
+
+
+def test_support_covers_every_member(spark):
+    members = spark.createDataFrame([("a", 500_000.0 + 137 * i, 900_000.0 - 7919 * i) for i in range(40)], "k string, x_m double, y_m double")
+    grid = raster.pixels_around(members, ["k"], 1000.0, 500.0, 500000.0, 940000.0)
+    got = raster.support_pixels(grid, members, ["k"], 1000.0).withColumns({"px": 500000 + F.col("col") * 500.0, "py": 940000 + F.col("row") * 500.0}).collect()
+    for m in members.collect():
+        near = sum(math.hypot(r.px - m.x_m, r.py - m.y_m) <= 1000.0 for r in got)
+        assert near >= 11
