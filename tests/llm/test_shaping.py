@@ -361,8 +361,48 @@ def test_quality_edges(spark):
 
 
 def test_features_do_not_depend_on_cuts(monkeypatch):
-    text = "Some words, with é and\nlines.\tAnd more " * 40
-    whole = np.sort(quality.features(text))
+    text = "Some words, words, words, with é and and\nlines.\tAnd more " * 40 + "so " * 100
+    whole = np.sort(np.concatenate(list(quality.document_features(text))))
+    names, counts = quality.bag(text)
     monkeypatch.setattr(quality, "PART", 50)
     assert len(list(quality.parts(text))) > 10
-    assert np.array_equal(np.sort(np.concatenate([quality.features(p) for p in quality.parts(text)])), whole)
+    assert np.array_equal(np.sort(np.concatenate(list(quality.document_features(text)))), whole)
+    again = quality.bag(text)
+    assert np.array_equal(again[0], names) and np.array_equal(again[1], counts)
+    assert (np.bincount(whole)[names] == counts).all() and len(quality.bag(None)[0]) == 0
+
+
+def plain_score(text, weights):
+    """The definition, word by word: mean of the numbers of words, repeats and n-grams, through the logistic function."""
+    words_ = WORD.findall(text)
+    one = lambda s: quality.Spans(quality.scramble(np.array([ord(c) for c in s], np.uint64) + np.uint64(1))).at(np.array([0]), np.array([len(s)]))[0]
+    hashes = []
+    for i, w in enumerate(words_):
+        hashes.append(one(w))
+        if i and words_[i - 1] == w:
+            hashes.append(quality.AGAIN)
+        edged = f" {w} "
+        hashes += [one(edged[j : j + n]) + np.uint64(n) for n in quality.GRAMS for j in range(len(edged) - n + 1)]
+    buckets = [(int(h) >> 20) % quality.BUCKETS for h in hashes]
+    return 1 / (1 + np.exp(-np.mean(weights[buckets]))) if buckets else 0.5
+
+
+def test_scores_equal_the_plain_definition():
+    weights = np.random.default_rng(1).normal(size=quality.BUCKETS) * 3
+    for text in ("a", "one two two\ttwo é\u00a0x", "  ", "", "long " * 30, "x\n\nx x"):
+        assert quality.score_text(text, weights, 0.0) == pytest.approx(plain_score(text, weights), abs=1e-12)
+
+
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(2)
+    out, mean = rng.normal(size=(2, 5)), rng.normal(size=5)
+    loss = lambda o, m, y: -np.log(quality.forward(o, m)[y])
+    for y in (0, 1):
+        by_out, by_mean = quality.gradients(out, mean, y)
+        for i in range(5):
+            d = np.eye(5)[i] * 1e-6
+            assert by_mean[i] == pytest.approx((loss(out, mean + d, y) - loss(out, mean - d, y)) / 2e-6, abs=1e-6)
+            for j in range(2):
+                e = np.zeros((2, 5))
+                e[j, i] = 1e-6
+                assert by_out[j, i] == pytest.approx((loss(out + e, mean, y) - loss(out - e, mean, y)) / 2e-6, abs=1e-6)
