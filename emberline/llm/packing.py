@@ -39,7 +39,7 @@ CAPACITY = 2048
 _SPACE = r"[^\S\x1c-\x1f]"
 _SEGMENT = re.compile(rf"{_SPACE}*[\S\x1c-\x1f]+|{_SPACE}+")
 #: Segments whose ids a task keeps, and the longest it keeps.
-MEMO, MEMO_CHARS = 1 << 18, 48
+MEMO, MEMO_CHARS = 1 << 20, 48
 
 
 @functools.lru_cache(maxsize=1)
