@@ -190,3 +190,11 @@ def source_rollup(manifest: DataFrame) -> DataFrame:
 def gaps_by(rows: DataFrame, key: str, ts: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(ts)
     return rows.withColumn("gap_days", F.datediff(F.col(ts), F.lag(ts).over(w)))
+
+
+def examples(rows: DataFrame, keys: list[str], order: list[Column], show: str, most: int = 100) -> DataFrame:
+    """(keys, total, examples): how many rows each key has, and the first ``most`` of them by name; no list grows beyond that."""
+    total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= most)
+    listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__n", F.col(show).cast("string").alias("v")))).alias("l"))
+    return total.join(listed, keys).select(*keys, "total", F.array_join(F.transform("l", lambda x: x["v"]), ",").alias("examples"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import clean
@@ -76,3 +76,9 @@ def pixel_contract(pixels: DataFrame, scene: str, rows: int, columns: int, bands
     sums = pixels.groupBy(scene).agg(*[c.alias(k) for k, c in checks.items()])
     failed = F.array_compact(F.array(*[F.when(F.coalesce(F.col(k), F.lit(False)), k) for k in checks]))
     return sums.select(F.col(scene).cast("string").alias("key"), F.explode(failed).alias("check")).select("check", "key", F.concat(F.lit("violates "), "check").alias("message"))
+
+
+def work_items(items: DataFrame, wanted: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The items of the wanted keys, at most ``most`` of each in the given order."""
+    own = items.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    return own.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= most).drop("__n")

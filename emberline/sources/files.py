@@ -226,6 +226,14 @@ def hash_manifest(spark: SparkSession, path: str) -> DataFrame:
     return file_table(spark, path).select("path", "sha256", "size_bytes").orderBy("path")
 
 
+def verify_manifest(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """(path, verdict) of the files of a folder against a manifest (path, sha256, size_bytes) taken before."""
+    from emberline.operators.quality import reconcile_files
+
+    uncounted = lambda d: d.select("path", "sha256", "size_bytes", F.lit(None).cast("long").alias("record_count"))
+    return reconcile_files(uncounted(file_table(spark, path)), uncounted(manifest))
+
+
 def keyed_replace(existing: DataFrame, new: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """``existing`` without the rows of ``keys``, plus ``new``."""
     return existing.join(keys.select(*on).distinct(), on, "left_anti").unionByName(new)
