@@ -1,17 +1,24 @@
 """Exact top-k inner products by Fagin's threshold algorithm, in blocks.
 
-Candidates are cut into blocks by a hash of the id. A block sorts one list per dimension; a query
+Candidates are cut into blocks by a hash of id and vector. A block sorts one list per dimension; a query
 walks all lists from their better end, scores what it meets for the first time, and stops when the
 sum of the frontier values, an upper bound for everything not met, is below its kth score. The
 blocks' best k meet in a small final ranking. Ties go to the smaller id.
 
+The number of blocks and their size both grow as a root of the rows, and a block is sorted once for
+each ``query_block`` queries, so copies of queries grow as rows * root(rows), and those of candidates
+by one for each ``query_block`` queries.
+
 Null vectors and vectors with null, NaN or infinite components take no part; vectors of another
-length are not candidates; rows that repeat an id are all ranked, but never for a query of that id;
+length are not candidates; rows that repeat an id are all ranked, but never for a query of that id, and
+query rows that repeat an id share its k places;
 other columns are ignored; an empty table gives no rows. Scores that leave 64 bits saturate.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -95,15 +102,15 @@ def _search_block(k: int):
     return run
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = 4096, query_block: int = 2048) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int | None = None, query_block: int = 1 << 16) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of every row for which ``is_query`` holds."""
     whole = vectors.where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select(
         "vec_id", is_query.alias("asks"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("q"), F.size("embedding").alias("dims")
     )
     counts = whole.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("m")).first()
-    blocks, asks = fill(counts["n"], block), fill(counts["m"], query_block)
+    blocks, asks = fill(counts["n"], block or max(1024, 6 * math.isqrt(counts["n"]))), fill(counts["m"], query_block)
     spread = lambda of, seed, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if of is None else F.pmod(F.xxhash64(of, F.lit(seed)), F.lit(n)).cast("int")
-    candidates = whole.select("vec_id", "q", "dims", F.lit(False).alias("ask"), spread("vec_id", 1, blocks).alias("c"), spread(None, 0, asks).alias("a"))
+    candidates = whole.select("vec_id", "q", "dims", F.lit(False).alias("ask"), F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks)).cast("int").alias("c"), spread(None, 0, asks).alias("a"))
     queries = whole.where("asks").select("vec_id", "q", "dims", F.lit(True).alias("ask"), spread("vec_id", 2, asks).alias("a"), spread(None, 0, blocks).alias("c"))
     found = candidates.unionByName(queries).groupBy("dims", "c", "a").applyInArrow(_search_block(k), _OUT)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

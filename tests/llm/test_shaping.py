@@ -308,7 +308,7 @@ def test_topk_matches_brute_force(spark, sf):
     rows[100] = (100, None)
     rows[7] = (7, [float("nan")] * 6)
     rows += [(900, [1.0, 2.0]), (901, [3.0, 4.0]), (950, [5.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS q", "'x' AS rank", "'x' AS score", "'x' AS c", "'x' AS asks")
     got = sorted(tuple(r) for r in topk.exact_topk(table, F.col("vec_id") % 50 == 0, block=64, query_block=3).collect())
     assert got == plain_topk(rows)
     assert topk.exact_topk(table.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
