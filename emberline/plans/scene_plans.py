@@ -194,10 +194,16 @@ def scene_counts(spark, sf_dir):
     return scenes.scene_counts(scene_candidates(spark, sf_dir))
 
 
-@BOOK.query(f"""WITH {SCENES}, l AS (SELECT event_id, rule_id, status, unnest(['buffer_id', 'window_id', 'segment']) AS dimension, unnest([buffer_id, window_id, segment]) AS value FROM matrix)
+@BOOK.query(f"""WITH {SCENES}, d AS (SELECT event_id, strftime(start_ts, '%Y-%m') AS month, CASE WHEN event_id % 5 = 0 THEN 'single' WHEN event_id % 5 < 3 THEN 'small' ELSE 'large' END AS size_class, CASE event_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'noaa20' ELSE 'snpp' END AS source_class, CAST(end_ts - start_ts > to_hours(3) AS VARCHAR) AS chain FROM evs),
+l AS (SELECT event_id, rule_id, status, unnest(['buffer_id', 'window_id', 'segment', 'month', 'size_class', 'source_class', 'chain']) AS dimension, unnest([buffer_id, window_id, segment, month, size_class, source_class, chain]) AS value FROM matrix JOIN d USING (event_id))
 SELECT dimension, value, rule_id, count(*) AS rows, count(DISTINCT event_id) AS events, count(DISTINCT event_id) FILTER (status = 'usable_both') AS usable_events FROM l GROUP BY ALL""")
 def dimension_report(spark, sf_dir):
-    return scenes.dimension_report(_matrix(spark, sf_dir), ["buffer_id", "window_id", "segment"])
+    k, hours = F.col("event_id"), (F.unix_seconds("end_ts") - F.unix_seconds("start_ts")) / 3600
+    sizes = F.when(k % 5 == 0, "single").when(k % 5 < 3, "small").otherwise("large")
+    events = scene_events(spark, sf_dir).select(
+        "event_id", F.date_format("start_ts", "yyyy-MM").alias("month"), sizes.alias("size_class"), F.when(k % 3 == 0, "both").when(k % 3 == 1, "noaa20").otherwise("snpp").alias("source_class"), (hours > 3).cast("string").alias("chain")
+    )
+    return scenes.dimension_report(_matrix(spark, sf_dir).join(events, "event_id"), ["buffer_id", "window_id", "segment", "month", "size_class", "source_class", "chain"])
 
 
 @BOOK.query(f"WITH {SCENES} SELECT buffer_id, window_id, rule_id, count(*) AS events, count(*) FILTER (status = 'usable_both') AS usable_events, round(count(*) FILTER (status = 'usable_both') / count(*), 6) AS usable_rate FROM matrix GROUP BY ALL")
