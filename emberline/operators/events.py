@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from emberline.functions.clean import hours_between
 from emberline.functions.geo import planar_m
 from emberline.operators.components import label_components
-from emberline.operators.proximity import space_time_edges
+from emberline.operators.proximity import linking_edges
 from emberline.runtime import cut
 
 
@@ -34,11 +34,12 @@ def settings_frame(spark, settings: list[Setting]) -> DataFrame:
 def memberships(detections: DataFrame, settings: list[Setting]) -> DataFrame:
     """(configuration_id, detection_id, component) for every setting.
 
-    Edges are found once, at the largest radius and window; each setting keeps those within its own
-    bounds, and the components of all settings are solved in one loop.
+    Linking edges are found once, for all radii up to the largest and the widest window; each setting
+    keeps those within its own bounds, and the components of all settings are solved in one loop.
     """
     spark = detections.sparkSession
-    edges = cut(space_time_edges(detections, max(s.radius_m for s in settings), max(s.hours for s in settings)))
+    radii = [s.radius_m for s in settings]
+    edges = cut(linking_edges(detections, min(radii), max(radii), max(s.hours for s in settings)))
     grid = F.broadcast(settings_frame(spark, settings))  # one row per setting
     own = edges.join(grid, (edges.distance_m <= grid.radius_m * (1 + 1e-12)) & (edges.gap_hours <= grid.hours)).select("configuration_id", "src", "dst")
     rows = detections.select("detection_id").crossJoin(grid.select("configuration_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,40 @@ def space_time_edges(points: DataFrame, radius_m: float, hours: float, id_col: s
     return met.select("src", "dst", distance.alias("distance_m"), (gap / 3.6e9).alias("gap_hours"))
 
 
+def linking_edges(points: DataFrame, least_m: float, radius_m: float, hours: float, id_col: str = "detection_id", ts: str = "ts") -> DataFrame:
+    """(src, dst, distance_m, gap_hours): fewer edges than all pairs, with the same components under every radius from ``least_m`` to ``radius_m`` and every window up to ``hours``.
+
+    Points of one cell of side ``least_m`` / sqrt(2) are always near enough, so there only each two
+    consecutive in time are linked: of any two within a window, so are all between them. Cells are
+    cut into slabs of time, sorted one by one, and a slab's last point is linked to the next one's
+    first. Points of different cells are paired as they are, cell by cell with its occupied
+    neighbours. Rows with a null coordinate or time have no edges.
+    """
+    side, span = least_m / math.sqrt(2) * (1 - 1e-9), int(hours * 3.6e9) + 1
+    base = points.select(F.col(id_col).alias("id"), F.col("x_m").alias("x"), F.col("y_m").alias("y"), F.unix_micros(ts).alias("t")).where("x is not null and y is not null and t is not null")
+    base = base.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side), "ct": F.floor(F.col("t") / span)})
+    point = F.struct("t", "id", "x", "y")
+    order = Window.partitionBy("cx", "cy", "ct").orderBy("t", "id")
+    inside = base.select(point.alias("a"), F.lag(point).over(order).alias("b")).where("b is not null")
+    slabs = base.groupBy("cx", "cy", "ct").agg(F.min(point).alias("first"), F.max(point).alias("last"))
+    between = slabs.select("cx", "cy", (F.col("ct") + 1).alias("ct"), F.col("last").alias("b")).join(slabs.select("cx", "cy", "ct", F.col("first").alias("a")), ["cx", "cy", "ct"]).select("a", "b")
+    reach = math.ceil(radius_m / side)
+    gap_cells = lambda d: max(0, abs(d) - 1) * side
+    ahead = [(dx, dy) for dx in range(reach + 1) for dy in range(-reach, reach + 1) if (dx, dy) > (0, 0) and math.hypot(gap_cells(dx), gap_cells(dy)) <= radius_m * (1 + 1e-9)]
+    offsets = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ahead]))
+    cells = slabs.select("cx", "cy").distinct()
+    occupied = cells.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"))
+    beside = cells.withColumn("o", offsets).select("cx", "cy", (F.col("cx") + F.col("o.dx")).alias("nx"), (F.col("cy") + F.col("o.dy")).alias("ny")).join(occupied, ["nx", "ny"])
+    left = base.select(point.alias("a"), "cx", "cy", "ct").join(beside, ["cx", "cy"]).select("a", "nx", "ny", "ct")
+    right = base.select(point.alias("b"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), _near_cells("ct").alias("ct"))
+    across = left.join(right, ["nx", "ny", "ct"]).select("a", "b")
+    pairs = inside.unionByName(between).unionByName(across)
+    distance = planar_m(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
+    gap = F.abs(F.col("a.t") - F.col("b.t"))
+    met = pairs.where((gap <= int(hours * 3.6e9)) & (distance <= radius_m * (1 + SLACK)))
+    return met.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"), distance.alias("distance_m"), (gap / 3.6e9).alias("gap_hours"))
+
+
 def cross_source_pairs(points: DataFrame, km: float, minutes: float, id_col: str = "detection_id", source: str = "firms_source", ts: str = "ts") -> DataFrame:
     """(a, b, distance_km, gap_minutes): pairs of different sources within ``km`` and ``minutes``, both inclusive.
 

@@ -1,13 +1,14 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from emberline.operators import components
 from emberline.operators import events as E
 from emberline.operators.components import component_roots
-from emberline.operators.proximity import radius_interval_matches, space_time_edges
+from emberline.operators.proximity import linking_edges, radius_interval_matches, space_time_edges
 
 T0 = dt.datetime(2025, 1, 10, 12)
 
@@ -123,3 +124,22 @@ def test_incident_bounds(spark):
     events = spark.createDataFrame([(i, x, 0.0, a, b) for i, x, a, b in cases], "event_id string, x_m double, y_m double, start_ts timestamp, end_ts timestamp")
     got = {r.event_id: r.overlap_hours for r in radius_interval_matches(events, refs, 5000).collect()}
     assert set(got) == {"on_radius", "last_us", "before"} and got["on_radius"] == 1.0 and got["before"] == 0.0
+
+
+def test_linking_edges_give_the_same_components(spark):
+    rng = np.random.default_rng(11)
+    n = 400
+    rows = [(f"d{i:04d}", float(x), float(y), int(t)) for i, (x, y, t) in enumerate(zip(rng.uniform(0, 9000, n), rng.uniform(0, 9000, n), rng.uniform(0, 40 * 3600, n)))]
+    rows += [(f"e{i:04d}", 3000.0 + float(rng.uniform(0, 60)), 3000.0, int(i * 3600)) for i in range(60)] + [("f", None, 1.0, 5)]
+    points = spark.createDataFrame(rows, "detection_id string, x_m double, y_m double, s long").withColumn("ts", F.timestamp_seconds("s"))
+    few = linking_edges(points, 375, 1500, 6).cache()
+    for radius, hours in ((375, 3), (750, 6), (1500, 2), (1500, 6)):
+        whole = component_roots(space_time_edges(points, radius, hours)).collect()
+        some = component_roots(few.where((F.col("distance_m") <= radius * (1 + 1e-12)) & (F.col("gap_hours") <= hours))).collect()
+        assert sorted(tuple(r) for r in whole) == sorted(tuple(r) for r in some)
+
+
+def test_a_crowded_place_has_one_edge_for_each_point(spark):
+    points = spark.range(200_000).select(F.format_string("d%07d", "id").alias("detection_id"), (F.col("id") % 97).cast("double").alias("x_m"), (F.col("id") % 89).cast("double").alias("y_m"), F.timestamp_seconds(F.col("id") % 5000 * 60).alias("ts"))
+    edges = linking_edges(points, 375, 1500, 6)
+    assert edges.count() == 199_999
