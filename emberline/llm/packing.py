@@ -38,18 +38,18 @@ CAPACITY = 2048
 #: White space of byte-level pre-tokenizers: Unicode white space without the four separators 0x1C-0x1F.
 _SPACE = r"[^\S\x1c-\x1f]"
 _SEGMENT = re.compile(rf"{_SPACE}*[\S\x1c-\x1f]+|{_SPACE}+")
-#: Segments whose ids a task keeps, and the longest it keeps.
+#: Segments whose ids a worker keeps (about 200 bytes each), and the longest it keeps.
 MEMO, MEMO_CHARS = 1 << 20, 48
 
 
 @functools.lru_cache(maxsize=1)
-def load_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+def load_encoder(path: str, most: int = MEMO) -> Callable[[list[str]], list[np.ndarray]]:
     """A function from texts to arrays of ids: the tokenizers library's own, without added specials.
 
     A byte-level file without normalizer never joins a visible character with the white space after
     it, so there a text is encoded in segments (white space, then what is visible). New segments are
     encoded laid end to end, and cut by the bytes that each id stands for; the ids of segments met
-    before are kept, MEMO and those of one batch at most. Other files take whole texts. A worker
+    before are kept, ``most`` and those of one batch at most. Other files take whole texts. A worker
     process keeps its encoder from task to task.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task per core already
@@ -86,7 +86,7 @@ def load_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
         memo.update(zip(alone, (x.tobytes() for x in ids_of(list(alone)))))
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        if len(memo) > MEMO:
+        if len(memo) > most:
             memo.clear()
         segments = [_SEGMENT.findall(t) for t in texts]
         new = [s for s in set(chain.from_iterable(segments)) if s not in memo]
@@ -100,11 +100,11 @@ def load_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     return encode
 
 
-def _pieces(path: str | None, end: int, capacity: int, keep_ids: bool):
+def _pieces(path: str | None, end: int, capacity: int, keep_ids: bool, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode = load_encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
+        encode = load_encoder(path or public_tokenizers.path("byte_bpe_50k.json"), most)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -129,10 +129,10 @@ def _pieces(path: str | None, end: int, capacity: int, keep_ids: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, end: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str | None = None, end: int = 0, capacity: int = CAPACITY, keep_ids: bool = False, most: int = MEMO) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path, end, capacity, keep_ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path, end, capacity, keep_ids, most), schema)
 
 
 def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -238,7 +238,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*kinds, "rank").mapInArrow(_assign(runs), ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, end: int = 0, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, end: int = 0, capacity: int = CAPACITY, keep_ids: bool = True, most: int = MEMO) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset), one row per piece."""
-    pieces = token_pieces(docs, path, end, capacity, keep_ids)
+    pieces = token_pieces(docs, path, end, capacity, keep_ids, most)
     return pack_pieces(store(pieces) if keep_ids else cut(pieces), capacity)

@@ -176,9 +176,8 @@ def test_other_tokenizer_files_take_whole_texts():
     assert [x.tolist() for x in packing.load_encoder(path)(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
-def test_a_full_memo_is_emptied(encoders, monkeypatch):
-    monkeypatch.setattr(packing, "MEMO", 5)
-    fast = packing.load_encoder.__wrapped__(public_tokenizers.path("byte_bpe_50k.json"))
+def test_a_full_memo_is_emptied(encoders):
+    fast = packing.load_encoder(public_tokenizers.path("byte_bpe_50k.json"), 5)
     for text in ("a b c d e f g", "h i j", "a b c " + "z" * 100):
         assert [x.tolist() for x in fast([text, text])] == [encoders[1].encode(text, add_special_tokens=False).ids] * 2
 
