@@ -22,24 +22,56 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm.rolling import Spans, byte_values, separators, slices
 from emberline.operators.ranking import blocked
 from emberline.runtime import cut, spread, store
 
 CAPACITY = 2048
 
 
-#: White space of byte-level pre-tokenizers: Unicode white space without the four separators 0x1C-0x1F.
-_SPACE = r"[^\S\x1c-\x1f]"
-_SEGMENT = re.compile(rf"{_SPACE}*[\S\x1c-\x1f]+|{_SPACE}+")
-#: Segments whose ids a worker keeps (about 200 bytes each), and the longest it keeps.
-MEMO, MEMO_CHARS = 1 << 20, 48
+#: Segments whose ids a worker keeps; of ids it keeps eight times as many.
+MEMO = 1 << 21
+
+
+def _segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut for a byte-level file: before an ASCII blank that follows no white space, and at each text's begin."""
+    blank = separators(data)
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    at = np.flatnonzero(blank[1:] & ~blank[:-1] & ~first[1:-1]) + 1
+    one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    # The last bytes of U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+    wide = (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three == 0xE1) & (two == 0x9A) & (one == 0x80) | (three == 0xE3) & (two == 0x80) & (one == 0x80)
+    wide |= (three == 0xE2) & ((two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF)) | (two == 0x81) & (one == 0x9F))
+    return np.sort(np.concatenate([at[~wide], offsets[:-1][np.diff(offsets) > 0]]), kind="stable")
+
+
+class _Memo:
+    """Ids of segments by two hashes of their bytes."""
+
+    def __init__(self) -> None:
+        self.name, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.start, self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def find(self, name: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of segments, and which are there."""
+        if not len(self.name):
+            return np.zeros(len(name), np.int64), np.zeros(len(name), bool)
+        at = np.minimum(np.searchsorted(self.name, name), len(self.name) - 1)
+        return at, (self.name[at] == name) & (self.check[at] == check)
+
+    def add(self, name: np.ndarray, check: np.ndarray, ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        """Segments with ascending names that are new, and where each one's ids lie in ``ids``."""
+        at = np.searchsorted(self.name, name)
+        start = start + len(self.ids)
+        self.name, self.check, self.start, self.count = (np.insert(old, at, new) for old, new in ((self.name, name), (self.check, check), (self.start, start), (self.count, count)))
+        self.ids = np.concatenate([self.ids, ids])
 
 
 @functools.lru_cache(maxsize=1)
@@ -49,8 +81,8 @@ def load_encoder(path: str, most: int = MEMO) -> Callable[[list[str]], list[np.n
     A byte-level file without normalizer never joins a visible character with the white space after
     it, so there a text is encoded in segments (white space, then what is visible). New segments are
     encoded laid end to end, and cut by the bytes that each id stands for; the ids of segments met
-    before are kept, ``most`` and those of one batch at most. Other files take whole texts. A worker
-    process keeps its encoder from task to task.
+    before are found by 128 bits, ``most`` and those of about a megabyte of text at most. Other files take whole
+    texts. A worker process keeps its encoder from task to task.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task per core already
     from tokenizers import Tokenizer
@@ -68,33 +100,53 @@ def load_encoder(path: str, most: int = MEMO) -> Callable[[list[str]], list[np.n
     stands_for = {i: len(t) for t, i in spec["model"]["vocab"].items()} | {t["id"]: len(t["content"].encode()) for t in spec["added_tokens"]}
     width = np.zeros(max(stands_for) + 1, np.int64)
     width[list(stands_for)] = list(stands_for.values())
-    memo: dict[str, bytes] = {}
-
-    def learn(new: list[str]) -> None:
-        joined = [s for s in new if s[0] in " \n\t\r" and not s[-1].isspace()]
-        alone = set(new).difference(joined)
-        ends = np.cumsum([len(s.encode()) for s in joined])
-        ids = ids_of(["".join(joined)])[0]
+    state = [_Memo()]
+
+    def learn(new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and each segment's place in them; segments that begin with a blank and end visibly are encoded in one go."""
+        plain = np.array([s[0] in " \n\t\r" and not s[-1].isspace() for s in new], bool)
+        joined, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ends = np.cumsum([len(new[i].encode()) for i in joined.tolist()], dtype=np.int64)
+        ids = ids_of(["".join([new[i] for i in joined.tolist()])])[0]
         reach = np.cumsum(width[ids])
-        cuts = np.searchsorted(reach, ends)
-        if len(joined) and not (np.array_equal(reach[cuts], ends)):
+        cuts = np.searchsorted(reach, ends) + 1
+        if len(joined) and not np.array_equal(reach[cuts - 1], ends):
             raise ValueError("ids do not end where their segments end")
-        raw, at = ids.tobytes(), 0
-        for s, to in zip(joined, ((cuts + 1) * 4).tolist()):
-            memo[s] = raw[at:to]
-            at = to
-        memo.update(zip(alone, (x.tobytes() for x in ids_of(list(alone)))))
+        own = ids_of([new[i] for i in alone.tolist()])
+        stop = np.empty(len(new), np.int64)
+        count = np.empty(len(new), np.int64)
+        stop[joined], count[joined] = cuts, np.diff(cuts, prepend=0)
+        count[alone] = [len(x) for x in own]
+        stop[alone] = len(ids) + np.cumsum(count[alone])
+        return np.concatenate([ids, *own]), stop - count, count
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        if len(memo) > most:
-            memo.clear()
-        segments = [_SEGMENT.findall(t) for t in texts]
-        new = [s for s in set(chain.from_iterable(segments)) if s not in memo]
-        learn(new)
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, own)), "<u4") for own in segments]
-        for s in new:
-            if len(s) > MEMO_CHARS:
-                del memo[s]
+        out: list[np.ndarray] = []
+        for _, data, offsets in slices(pa.array(texts, pa.large_string())):
+            memo = state[0]
+            if len(memo.name) > most or len(memo.ids) > 8 * most:
+                memo = state[0] = _Memo()
+            start = _segment_starts(data, offsets)
+            end = np.append(start[1:], len(data))[: len(start)]
+            size = (end - start).astype(np.uint64)
+            name, check = (Spans(byte_values(data, second)).at(start, end) ^ size for second in (False, True))
+            at, there = memo.find(name, check)
+            if not there.all():
+                miss = np.flatnonzero(~there)
+                by_name = miss[np.argsort(name[miss], kind="stable")]
+                new = by_name[np.append(True, name[by_name[1:]] != name[by_name[:-1]])]
+                new = new[memo.name[at[new]] != name[new]] if len(memo.name) else new
+                raw = data.tobytes()
+                memo.add(name[new], check[new], *learn([raw[x:y].decode() for x, y in zip(start[new].tolist(), end[new].tolist())]))
+                at, there = memo.find(name, check)
+                if not there.all():  # two segments with one name
+                    raw_of = lambda i: raw[offsets[i] : offsets[i + 1]].decode()
+                    out += ids_of([raw_of(i) for i in range(len(offsets) - 1)])
+                    continue
+            count = memo.count[at]
+            total = np.concatenate([[0], np.cumsum(count)])
+            ids = memo.ids[np.repeat(memo.start[at] - total[:-1], count) + np.arange(total[-1])]
+            out += np.split(ids, total[np.searchsorted(start, offsets[1:-1])])
         return out
 
     return encode
