@@ -57,8 +57,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their ids, placed into sequences of 2048 tokens."""
-    return packing.pack_documents(docs, end=0, capacity=2048, keep_ids=True)
+    """Token pieces with their ids, placed into sequences of 2048 tokens.
+
+    Workers come from other stages and hold ids, so they remember fewer segments than by default.
+    """
+    return packing.pack_documents(docs, end=0, capacity=2048, keep_ids=True, most=1 << 19)
 
 
 STAGES = [
