@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat, mixing, nearjoin, packing, passages, quality, sharding, suffixes, topk, vectors
+from emberline.llm import archives, chat, mixing, nearjoin, packing, passages, phrases, quality, sharding, spelling, suffixes, topk, vectors
 from emberline.runtime import read_table
 
 
@@ -60,9 +60,23 @@ def op10_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), end=0, capacity=2048, keep_ids=False)
 
 
+def op11_prefix_free_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(read_table(spark, sf_dir, "documents"), most=4, least=30, scale=2_000_000, inside=80, top=2000)
+
+
+def op12_spelling_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"), shortest=6, least=5, every=199, times=5)
+
+
+def op13_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = archives.round_trip(spark, read_table(spark, sf_dir, "pages"), least=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_differencing_shards, op2_difference_cover_passages, op3_previous_factor_strings, op4_low_discrepancy_mix, op5_subword_quality,
     op6_pca_tile_vectors, op7_relational_chat, op8_chosen_path_join, op9_threshold_topk, op10_large_item_packing,
+    op11_prefix_free_phrases, op12_spelling_tiles, op13_zip_warc,
 )}
 
 ORACLES = {
@@ -91,4 +105,53 @@ s AS (
   FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_prefix_free_phrases": r"""
+WITH RECURSIVE pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, unnest(flatten([[ws[i : i + m - 1] for i in range(1, len(ws) - m + 2)] for m in [1, 2, 3, 4]])) AS p FROM w),
+f AS (SELECT lang, p, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 :]),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (SELECT lang, unnest(flatten([[p[i : i + m - 1] for i in range(1, len(p) - m + 2)] for m in range(2, len(p))])) AS p, f FROM f WHERE len(p) > 2),
+longest AS (SELECT lang, p, max(f) AS f FROM inside GROUP BY ALL),
+kept AS (
+  SELECT s.lang, array_to_string(s.p, ' ') AS phrase, a, l, r, score FROM weakest s LEFT JOIN longest o ON o.lang = s.lang AND o.p = s.p
+  WHERE o.f IS NULL OR 100 * o.f < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""",
+    "op12_spelling_tiles": r"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, CAST(i AS UBIGINT) AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT run, c, xor(list_reduce([CAST(4294967295 AS UBIGINT)] || [CAST(('0x' || hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)[2 * j + 1 : 2 * j + 2]) AS UBIGINT) for j in range(strlen(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run))],
+    lambda h, b: xor(h // 256, t[CAST(xor(h % 256, b) AS INTEGER) + 1])), 4294967295) AS h FROM counted, crc),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5),
+holes AS (SELECT word, n, i, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT x.word, y.word AS other, y.n FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM holes x JOIN words y ON y.word = x.a || x.b
+  UNION SELECT y.word, x.word, x.n FROM holes x JOIN words y ON y.word = x.a || x.b),
+best AS (SELECT word, count(*) AS n_near, min((-n, other)) AS first FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -first[1] >= 5 * w.n THEN first[2] END AS form, CASE WHEN -first[1] >= 5 * w.n THEN -first[1] END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+paths AS (SELECT word, word AS here, 0 AS d FROM forms UNION ALL SELECT p.word, f.form, d + 1 FROM paths p JOIN forms f ON f.word = p.here WHERE f.form IS NOT NULL),
+roots AS (SELECT word, max_by(here, d) AS root FROM paths GROUP BY word)
+SELECT word, n, CAST(n_near AS BIGINT) AS n_near, form, CAST(form_n AS BIGINT) AS form_n, root FROM forms JOIN roots USING (word)""",
+    "op13_zip_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id) AS k, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string([substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substring(hex, 5 * (j // 4) + 1, 5) AS INTEGER) >> CAST(15 - 5 * (j % 4) AS INTEGER)) % 32 AS INTEGER) + 1, 1) for j in range(32)], '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to
+FROM f""",
 }
