@@ -63,7 +63,7 @@ def shingle_sets(column, width: int):
         whole = np.zeros((len(n), 2), np.uint64)
         some = n > 0
         whole[some, 0] = spans.at(begin[:-1][some], begin[1:][some])
-        whole[some, 1] = Spans(word_hashes(data, starts, ends, second=True)).at(begin[:-1][some], begin[1:][some]) ^ n[some].astype(np.uint64)
+        whole[some, 1] = Spans(word_hashes(data, starts, ends, second=True), second=True).at(begin[:-1][some], begin[1:][some]) ^ n[some].astype(np.uint64)
         yield row, len(n), values, np.searchsorted(owner, np.arange(len(n) + 1)), whole
 
 

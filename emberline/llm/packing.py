@@ -52,26 +52,70 @@ def _segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([at[~wide], offsets[:-1][np.diff(offsets) > 0]]), kind="stable")
 
 
-class _Memo:
-    """Ids of segments by two hashes of their bytes."""
+class _Column:
+    """An array that grows at its end."""
 
-    def __init__(self) -> None:
-        self.name, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.start, self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+    def __init__(self, kind: str) -> None:
+        self.size, self.room = 0, np.empty(1 << 10, kind)
+
+    def add(self, values: np.ndarray) -> None:
+        while self.size + len(values) > len(self.room):
+            self.room = np.concatenate([self.room, np.empty_like(self.room)])
+        self.room[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
 
-    def find(self, name: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of segments, and which are there."""
-        if not len(self.name):
-            return np.zeros(len(name), np.int64), np.zeros(len(name), bool)
-        at = np.minimum(np.searchsorted(self.name, name), len(self.name) - 1)
-        return at, (self.name[at] == name) & (self.check[at] == check)
 
-    def add(self, name: np.ndarray, check: np.ndarray, ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
-        """Segments with ascending names that are new, and where each one's ids lie in ``ids``."""
-        at = np.searchsorted(self.name, name)
-        start = start + len(self.ids)
-        self.name, self.check, self.start, self.count = (np.insert(old, at, new) for old, new in ((self.name, name), (self.check, check), (self.start, start), (self.count, count)))
-        self.ids = np.concatenate([self.ids, ids])
+class _Memo:
+    """Ids of segments, found by a hash of their bytes and held against the bytes themselves."""
+
+    def __init__(self) -> None:
+        self.slots = np.full(1 << 12, -1, np.int32)
+        self.name, self.first, self.count, self.begin, self.size = (_Column(k) for k in ("<u8", "<i8", "<i4", "<i8", "<i4"))
+        self.ids, self.bytes = _Column("<u4"), _Column("<u1")
+
+    def _place(self, name: np.ndarray, entry: np.ndarray) -> None:
+        """Put entries with different names into free slots, each after those that its first ones hold."""
+        slot = (name & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        while len(entry):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entry[free]  # of several at one slot the last stays
+            left = self.slots[slot] != entry
+            entry, slot = entry[left], (slot[left] + 1) % len(self.slots)
+
+    def find(self, name: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the segments of ``data`` by name (-1: none), and which of them hold the same bytes."""
+        found, open_ = np.full(len(name), -1, np.int64), np.arange(len(name))
+        slot = (name & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        while len(open_):
+            entry = self.slots[slot[open_]]
+            hit = (entry >= 0) & (self.name[entry] == name[open_])
+            found[open_[hit]] = entry[hit]
+            open_ = open_[(entry >= 0) & ~hit]
+            slot[open_] = (slot[open_] + 1) % len(self.slots)
+        same = (found >= 0) & (self.size[found] == end - start)
+        some = np.flatnonzero(same)
+        size = end[some] - start[some]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        each = np.arange(upto[-1])
+        differ = self.bytes[np.repeat(self.begin[found[some]] - upto[:-1], size) + each] != data[np.repeat(start[some] - upto[:-1], size) + each]
+        same[some[np.searchsorted(upto, np.flatnonzero(differ), "right") - 1]] = False
+        return found, same
+
+    def add(self, name: np.ndarray, segments: list[bytes], ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        """New segments of different names, and where each one's ids lie in ``ids``."""
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        entry = np.arange(self.name.size, self.name.size + len(name), dtype=np.int32)
+        for column, values in ((self.first, first + self.ids.size), (self.begin, self.bytes.size + np.cumsum(size) - size), (self.name, name), (self.count, count), (self.size, size)):
+            column.add(values)
+        self.ids.add(ids)
+        self.bytes.add(np.frombuffer(b"".join(segments), np.uint8))
+        if 2 * self.name.size > len(self.slots):
+            self.slots = np.full(1 << (4 * self.name.size).bit_length(), -1, np.int32)
+            entry = np.arange(self.name.size, dtype=np.int32)
+        self._place(self.name[entry], entry)
 
 
 @functools.lru_cache(maxsize=1)
@@ -81,7 +125,7 @@ def load_encoder(path: str, most: int = MEMO) -> Callable[[list[str]], list[np.n
     A byte-level file without normalizer never joins a visible character with the white space after
     it, so there a text is encoded in segments (white space, then what is visible). New segments are
     encoded laid end to end, and cut by the bytes that each id stands for; the ids of segments met
-    before are found by 128 bits, ``most`` and those of about a megabyte of text at most. Other files take whole
+    before are found by their bytes, ``most`` and those of about a megabyte of text at most. Other files take whole
     texts. A worker process keeps its encoder from task to task.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task per core already
@@ -124,28 +168,27 @@ def load_encoder(path: str, most: int = MEMO) -> Callable[[list[str]], list[np.n
         out: list[np.ndarray] = []
         for _, data, offsets in slices(pa.array(texts, pa.large_string())):
             memo = state[0]
-            if len(memo.name) > most or len(memo.ids) > 8 * most:
+            if memo.name.size > most or memo.ids.size > 8 * most or memo.bytes.size > 32 * most:
                 memo = state[0] = _Memo()
             start = _segment_starts(data, offsets)
             end = np.append(start[1:], len(data))[: len(start)]
-            size = (end - start).astype(np.uint64)
-            name, check = (Spans(byte_values(data, second)).at(start, end) ^ size for second in (False, True))
-            at, there = memo.find(name, check)
+            name = Spans(byte_values(data)).at(start, end) ^ (end - start).astype(np.uint64)
+            at, there = memo.find(name, data, start, end)
             if not there.all():
-                miss = np.flatnonzero(~there)
-                by_name = miss[np.argsort(name[miss], kind="stable")]
-                new = by_name[np.append(True, name[by_name[1:]] != name[by_name[:-1]])]
-                new = new[memo.name[at[new]] != name[new]] if len(memo.name) else new
+                miss = np.flatnonzero(at < 0)
+                new = miss[np.unique(name[miss], return_index=True)[1]]
                 raw = data.tobytes()
-                memo.add(name[new], check[new], *learn([raw[x:y].decode() for x, y in zip(start[new].tolist(), end[new].tolist())]))
-                at, there = memo.find(name, check)
-                if not there.all():  # two segments with one name
+                segments = [raw[x:y] for x, y in zip(start[new].tolist(), end[new].tolist())]
+                if segments:
+                    memo.add(name[new], segments, *learn([x.decode() for x in segments]))
+                at, there = memo.find(name, data, start, end)
+                if not there.all():  # another segment has the name of one of these
                     raw_of = lambda i: raw[offsets[i] : offsets[i + 1]].decode()
                     out += ids_of([raw_of(i) for i in range(len(offsets) - 1)])
                     continue
-            count = memo.count[at]
+            count = memo.count[at].astype(np.int64)
             total = np.concatenate([[0], np.cumsum(count)])
-            ids = memo.ids[np.repeat(memo.start[at] - total[:-1], count) + np.arange(total[-1])]
+            ids = memo.ids[np.repeat(memo.first[at] - total[:-1], count) + np.arange(total[-1])]
             out += np.split(ids, total[np.searchsorted(start, offsets[1:-1])])
         return out
 

@@ -53,8 +53,8 @@ class _Windows:
         return whole[mark[whole + PERIOD] > mark[whole]]
 
     def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits that name the windows that start at ``at``; the last 32 come from the bytes by another table."""
-        second = Spans(word_hashes(self.data, self.starts, self.ends, second=True))
+        """96 bits that name the windows that start at ``at``; the last 32 come from the bytes by other primes."""
+        second = Spans(word_hashes(self.data, self.starts, self.ends, second=True), second=True)
         return self.spans.at(at, at + self.window), second.at(at, at + self.window).astype(np.uint32)
 
 

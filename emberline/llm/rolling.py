@@ -10,9 +10,11 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; a longer document is a slice of its own.
 SLICE = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
-_OTHER = np.random.default_rng(20240301).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: Two pairs of primes below 2**32, so that products of two residues fit 64 bits; each has a random base.
+_PRIMES = ((4294967291, 4294967279), (4294967231, 4294967197))
+_BASES = np.random.default_rng(20240229).integers(1 << 31, 4294967197, (2, 2)).tolist()
+_TABLE = np.random.default_rng(20240301).integers(0, 1 << 64, 256, dtype=np.uint64)
+_32 = np.uint64(32)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -26,44 +28,55 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of a base and of its inverse modulo a prime, grown on demand."""
 
-    def __init__(self) -> None:
+    def __init__(self, prime: int, base: int) -> None:
+        self.prime = np.uint64(prime)
+        self.bases = base, pow(base, -1, prime)
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            size = max(n, SLICE + 4096)
-            full = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
-            self.up, self.down = full(_BASE), full(inverse)
+        while len(self.up) < n:
+            for name, base in zip(("up", "down"), self.bases):
+                have = getattr(self, name)
+                setattr(self, name, np.concatenate([have, have * np.uint64(pow(base, len(have), int(self.prime))) % self.prime]))
         return self.up[:n], self.down[:n]
 
 
-_POWERS = _Powers()
+_POWERS = tuple(tuple(_Powers(p, b) for p, b in zip(*both)) for both in zip(_PRIMES, _BASES))
 
 
 class Spans:
-    """Hashes of any spans of a sequence of 64-bit values, from one prefix sum."""
+    """Hashes of any spans of a sequence of 64-bit values, from prefix sums modulo two primes: about 63 bits, and as many independent ones with ``second``.
 
-    def __init__(self, values: np.ndarray) -> None:
+    A polynomial modulo a power of two would collide for words that anybody can write down, whatever its base.
+    """
+
+    def __init__(self, values: np.ndarray, second: bool = False) -> None:
         n = len(values)
-        up, self.down = _POWERS.get(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * up[:n], out=self.sums[1:])
+        self.parts = []
+        for powers in _POWERS[second]:
+            up, down = powers.get(n + 1)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(values % powers.prime * up[:n] % powers.prime, out=sums[1:])
+            self.parts.append((powers.prime, down, sums))
+
+    def _hash(self, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+        high, low = ((sums[ends] - sums[starts]) % prime * down[starts] % prime for prime, down, sums in self.parts)
+        return scramble(high << _32 | low)
 
     def every(self, width: int) -> np.ndarray:
         """The span of ``width`` from each position that has one."""
-        n = max(0, len(self.sums) - width)
-        return scramble((self.sums[width : width + n] - self.sums[:n]) * self.down[:n])
+        n = max(0, len(self.parts[0][2]) - width)
+        return self._hash(slice(0, n), slice(width, width + n))
 
     def at(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return scramble((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        return self._hash(starts, ends)
 
 
-def byte_values(data: np.ndarray, second: bool = False) -> np.ndarray:
-    """A number for each byte, of one of two independent tables."""
-    return (_OTHER if second else _TABLE)[data]
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """A number for each byte."""
+    return _TABLE[data]
 
 
 #: Column of the texts' hashes, by which rows of one doc_id are ordered.
@@ -118,7 +131,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
-    return Spans(byte_values(data, second)).at(starts, ends) ^ (ends - starts).astype(np.uint64)
+    return Spans(byte_values(data), second).at(starts, ends) ^ (ends - starts).astype(np.uint64)
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -164,7 +164,7 @@ def _send(length: int):
                 for out, v in zip(settled, (row + d, s - offsets[d], e - 1 + length - offsets[d])):
                     out.append(v[~first])
                 at, _ = _each(s[first], (e - s)[first])
-                other = Spans(byte_values(data, second=True))
+                other = Spans(byte_values(data), second=True)
                 d = r.doc(at)
                 for out, v in zip(names, (r.spans.at(at, at + length), other.at(at, at + length), ids[row + d], ties[row + d], row + d, at - offsets[d])):
                     out.append(v)

@@ -72,3 +72,9 @@ def near(docs: list[tuple], similarity: float = 0.8, width: int = 5) -> dict:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (find(i), links[i]) for i in ids}
+
+
+def thue_morse(n: int = 10) -> tuple[str, str]:
+    """The word of 2**n letters and its complement, which collide in any polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

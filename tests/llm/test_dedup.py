@@ -27,10 +27,12 @@ def odd():
     passage, base = text(60), text(200)
     near = base.split(" ")
     near[50] = "changed"
+    dozen, (morse, other) = text(12), brute.thue_morse()
     rows = [
         (1, base), (2, base), (3, " ".join(near)), (4, text(30) + "\n" + passage + "\t" + text(25)), (5, text(9) + " " + passage), (6, None), (7, ""), (8, "  \n "), (9, "few words"),
         (10, "few words"), (11, "x" * 400), (12, "ab" * 260), (13, passage + passage), (14, text(12)), (15, "one  two\tthree\x0bfour five six seven eight nine ten eleven twelve thirteen"),
         (16, "one two three four five six seven eight nine ten eleven twelve thirteen"), (17, "y" + "x" * 150), (18, "ß" * 80), (19, base[:150] + text(5)), (20, text(3000)),
+        (21, dozen + " " + morse), (22, dozen + " " + other), (23, morse), (24, other),
     ]
     return rows
 

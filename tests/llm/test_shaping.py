@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm import chat, mixing, packing, quality, sharding, topk
 from emberline.llm.registry import QUERIES
-from tests.llm.brute import WORD
+from tests.llm.brute import WORD, thue_morse
 
 DOCS = "doc_id long, text string, source string, size string, slot string"
 
@@ -176,6 +176,20 @@ def test_other_tokenizer_files_take_whole_texts():
     assert [x.tolist() for x in packing.load_encoder(path)(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_segments_with_one_hash_keep_their_ids(encoders, monkeypatch):
+    """Words that collide in polynomials modulo 2**64, and a hash that is the same for all segments."""
+    one, other = thue_morse()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f" x {one} y", f" x {other} y", f" {one}{one} {other}", "a b", "a c", "a d b"]
+    packing.load_encoder.cache_clear()
+    expected = [encoders[1].encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [[x.tolist() for x in packing.load_encoder(path)([t])][0] for t in texts] == expected
+        monkeypatch.setattr(packing.Spans, "at", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+        packing.load_encoder.cache_clear()
+    packing.load_encoder.cache_clear()
+
+
 def test_a_full_memo_is_emptied(encoders):
     fast = packing.load_encoder(public_tokenizers.path("byte_bpe_50k.json"), 5)
     for text in ("a b c d e f g", "h i j", "a b c " + "z" * 100):
