@@ -291,8 +291,8 @@ def _read_records(batches) -> Iterator[pa.RecordBatch]:
 
 def read_packages(paths: DataFrame) -> DataFrame:
     """The records of all packages of (path): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in a revisit)."""
-    ranges = paths.select("path").mapInArrow(_find_records, "path string, start long, lengths array<long>")
-    return ranges.repartition("path", "start").mapInArrow(_read_records, _RECORD)
+    ranges = cut(paths.select("path").mapInArrow(_find_records, "path string, start long, lengths array<long>"))
+    return ranges.repartition(fill(ranges.count(), 1), "path", "start").mapInArrow(_read_records, _RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
