@@ -37,7 +37,7 @@ _SEEN[ord("A") : ord("Z") + 1] += 32
 _SEEN[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = _BREAK
 _SEEN[9] = _SPACE
 #: About how many words a chunk owns, and the bytes of chunks that a task combines at once.
-PERIOD, COMBINE = 16, 64 << 20
+PERIOD, COMBINE = 16, 16 << 20
 _BLOB = "bucket long, chunk long, kind int, blob binary"
 _DICTIONARY = "part long, langs array<string>, marks binary, data binary"
 _COUNTS = "lang string, phrase string, words int, f long"
@@ -69,22 +69,41 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number by each word's length and first and last eight bytes; words may share one, which only shapes chunks."""
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    size = np.minimum(ends - starts, 8).astype(np.uint64)
+    within = ~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * size)
+    return scramble(eight[starts] & within ^ scramble((eight[np.maximum(starts, ends - 8)] & within) + (ends - starts).astype(np.uint64)))
+
+
+def _numbered(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of equal keys by first sight, and each number's first place."""
+    number = keys.dictionary_encode().indices.to_numpy()
+    first = np.empty(number.max() + 1 if len(number) else 0, np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    return number, first
+
+
 def parse(data: np.ndarray, offsets: np.ndarray, reach: int, period: int = PERIOD) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(chunks, words each holds beyond its own, their texts' numbers, hashes of their words) of a slice of texts."""
     data = _SEEN[data]
     starts, ends, text, last = _words(data, offsets)
     if not len(starts):
         return pa.array([], pa.large_binary()), *(np.empty(0, t) for t in (np.uint8, np.int64, np.uint64))
-    named = Spans(byte_values(data)).at(starts, ends)
+    named = _word_names(data, starts, ends)
     opens = np.flatnonzero((named % np.uint64(period) == 0) | np.append(True, text[1:] != text[:-1]))
     own = np.append(opens[1:], len(starts)) - 1
     tail = np.minimum(last[own] - own, reach)
     return _gather(data, starts[opens], ends[own + tail]), tail.astype(np.uint8), text[opens], scramble(np.add.reduceat(named, opens))
 
 
-def _combined(chunks: pa.ChunkedArray | pa.Array, tail: np.ndarray, lang: np.ndarray, part: np.ndarray, n: np.ndarray) -> pa.Table:
-    table = pa.table({"chunk": chunks, "tail": tail, "lang": lang, "part": part, "n": n})
-    return table.group_by(["part", "lang", "tail", "chunk"]).aggregate([("n", "sum")])
+def _combined(chunks: pa.LargeBinaryArray, tail: np.ndarray, lang: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct (chunk, tail, lang), and the sum of its n."""
+    same, _ = _numbered(chunks)
+    span = (int(lang.max()) + 1 if len(lang) else 1) << 8
+    number, first = _numbered(pa.array(same.astype(np.int64) * span + (lang << 8) + tail))
+    return first, np.rint(np.bincount(number, n, len(first))).astype(np.int64)
 
 
 def _parse_texts(reach: int, parts: int):
@@ -94,17 +113,17 @@ def _parse_texts(reach: int, parts: int):
         size = 0
 
         def out() -> pa.RecordBatch:
-            columns = [pa.chunked_array([h[0] for h in held]), *(np.concatenate([h[i] for h in held]) for i in (1, 2, 3))]
-            table = _combined(*columns, np.ones(len(columns[1]), np.int64)).sort_by("part").combine_chunks()
-            names, rows = list(langs), []
-            of = table["part"].to_numpy()
-            at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            for lo, hi in zip(at, [*at[1:], len(of)]):
-                own = table.slice(lo, hi - lo)
-                code, lang = np.unique(own["lang"].to_numpy(), return_inverse=True)
-                data, ends = _bytes(own["chunk"].combine_chunks())
-                marks = pack(np.diff(ends).astype("<u4"), own["n_sum"].to_numpy().astype("<i8"), lang.astype("<u4"), own["tail"].to_numpy())
-                rows.append((int(of[lo]), [names[c] for c in code], marks, data.tobytes()))
+            chunks = pa.concat_arrays([h[0] for h in held])
+            tail, lang, part = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+            first, n = _combined(chunks, tail, lang, np.ones(len(tail), np.int64))
+            order = np.argsort(part[first], kind="stable")
+            first, n, names, rows = first[order], n[order], list(langs), []
+            data, ends = _bytes(chunks.take(pa.array(first)))
+            at = np.flatnonzero(np.append(True, part[first][1:] != part[first][:-1]))
+            for lo, hi in zip(at, [*at[1:], len(first)]):
+                code, own = np.unique(lang[first[lo:hi]], return_inverse=True)
+                marks = pack(np.diff(ends[lo : hi + 1]).astype("<u4"), n[lo:hi].astype("<i8"), own.astype("<u4"), tail[first[lo:hi]])
+                rows.append((int(part[first[lo]]), [names[c] for c in code], marks, data[ends[lo] : ends[hi]].tobytes()))
             kinds = (pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "langs", "marks", "data"])
 
@@ -141,15 +160,16 @@ class Dictionary:
                 column.append(values)
         self.langs = list(known)
         tail, lang, n = (np.concatenate(c) for c in columns)
-        whole = _combined(pa.chunked_array(chunks), tail, lang, np.zeros(len(n), np.int64), n)
-        data, offsets = _bytes(whole["chunk"].combine_chunks())
+        texts = pa.concat_arrays(chunks)
+        distinct, n = _combined(texts, tail, lang, n)
+        data, offsets = _bytes(texts.take(pa.array(distinct)))
         starts, ends, of, self.last = _words(data, offsets)
-        held = np.bincount(of, minlength=len(n))[: whole.num_rows]
+        held = np.bincount(of, minlength=len(distinct))
         first = np.concatenate([[0], np.cumsum(held)[:-1]])
-        own = np.arange(len(of)) - first[of] < (held - whole["tail"].to_numpy())[of]
+        own = np.arange(len(of)) - first[of] < (held - tail[distinct])[of]
         #: How often each word place counts: as its chunk, where the chunk owns it.
-        self.weight = np.where(own, whole["n_sum"].to_numpy()[of], 0)
-        lang = whole["lang"].to_numpy()[of]
+        self.weight = np.where(own, n[of], 0)
+        lang = lang[distinct][of]
         spelled = _gather(data, starts, ends).dictionary_encode()
         key = pa.array(lang * len(spelled.dictionary) + spelled.indices.to_numpy()).dictionary_encode()
         #: Word numbers at each place; per number its spelling and language.
@@ -161,9 +181,8 @@ class Dictionary:
         """Pair numbers at each place that has a next word in its piece (else -1), and the place of each number's first."""
         has = np.flatnonzero(self.last > np.arange(len(self.last)))
         number = np.full(len(self.word), -1, np.int64)
-        coded = pa.array(self.word[has].astype(np.int64) * len(self.text) + self.word[has + 1]).dictionary_encode().indices.to_numpy()
-        number[has] = coded
-        return number, has[np.unique(coded, return_index=True)[1]]
+        number[has], first = _numbered(pa.array(self.word[has].astype(np.int64) * len(self.text) + self.word[has + 1]))
+        return number, has[first]
 
     def totals(self, number: np.ndarray, size: int) -> np.ndarray:
         """The weight of each number; places without one have -1."""
@@ -172,8 +191,9 @@ class Dictionary:
 
     def fingerprints(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of all words and of the pairs that stand at ``first``."""
-        span = lambda values: np.fromiter((xxhash.xxh3_64_intdigest(v) for v in values), np.uint64, len(values))
-        words = scramble(span(self.text.to_pylist()) ^ scramble(span([v.encode() for v in self.langs])[self.lang]))
+        data, ends = _bytes(self.text)
+        langs = np.fromiter((xxhash.xxh3_64_intdigest(v) for v in self.langs), np.uint64, len(self.langs))
+        words = scramble(Spans(byte_values(data)).at(ends[:-1], ends[1:]) ^ (np.diff(ends).astype(np.uint64)) ^ langs[self.lang])
         return words, scramble(words[self.word[first]] * np.uint64(3) + words[self.word[first + 1]])
 
     def spell(self, at: np.ndarray, length: int) -> pa.Array:
@@ -246,10 +266,9 @@ def _spell_out(buckets: int, most: int):
             if length > 2:
                 # A longer phrase is the shorter one at its place and the pair at its end.
                 at = np.flatnonzero((number[: max(0, len(number) - length + 2)] >= 0) & often[length - 2 :])
-                coded = pa.array(number[at] * (len(pairs) + 1) + pair[at + length - 2]).dictionary_encode().indices.to_numpy()
-                number = np.full(len(pair), -1, np.int64)
+                coded, first = _numbered(pa.array(number[at] * (len(pairs) + 1) + pair[at + length - 2]))
+                number, place = np.full(len(pair), -1, np.int64), at[first]
                 number[at] = coded
-                place = at[np.unique(coded, return_index=True)[1]]
             totals = own.totals(number, len(place))
             keep = place[totals > 0]
             emit(own.lang[own.word[keep]], own.spell(keep, length), length, totals[totals > 0])
