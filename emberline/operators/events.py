@@ -12,6 +12,7 @@ from emberline.functions.clean import hours_between
 from emberline.functions.geo import planar_m
 from emberline.operators.components import label_components
 from emberline.operators.proximity import linking_edges
+from emberline.operators.quantiles import with_quantiles
 from emberline.runtime import cut
 
 
@@ -112,7 +113,9 @@ def summarise(members: DataFrame, keys: list[str], both: tuple[str, str] = ("VII
 
 def chain_flags(events: DataFrame, grid: DataFrame) -> DataFrame:
     """``events`` (with max_pairwise_distance_m) plus share, chain_merge_reasons, possible_chain_merge and mega."""
-    whole = events.groupBy("configuration_id").agg(F.sum("detection_count").alias("__total"), F.median(F.when(F.col("max_pairwise_distance_m") > 0, F.col("max_pairwise_distance_m"))).alias("__typical"))
+    events = cut(events)
+    whole = events.groupBy("configuration_id").agg(F.sum("detection_count").alias("__total"))
+    whole = with_quantiles(whole, events.where("max_pairwise_distance_m > 0"), ["configuration_id"], {"__typical": ("max_pairwise_distance_m", 0.5, "linear")})
     rows = events.join(whole, "configuration_id").join(grid, "configuration_id")
     share, extent = F.col("detection_count") / F.col("__total"), F.col("max_pairwise_distance_m")
     rules = {
@@ -132,16 +135,18 @@ def chain_flags(events: DataFrame, grid: DataFrame) -> DataFrame:
 def configuration_summary(events: DataFrame) -> DataFrame:
     """One row per setting over flagged events."""
     n, d, h, e = F.count(F.lit(1)), F.col("detection_count"), F.col("duration_hours"), F.col("max_pairwise_distance_m")
-    p95 = lambda c: F.expr(f"percentile_disc(0.95) within group (order by {c})")
-    return events.groupBy("configuration_id", "radius_m", "hours").agg(
+    measures = {"detection_count": "detection_count", "duration_hours": "duration_hours", "spatial_extent_m": "max_pairwise_distance_m"}
+    ranks = {f"{q}_{n}": (c, p, kind) for n, c in measures.items() for q, p, kind in (("median", 0.5, "linear"), ("p95", 0.95, "nearest"))}
+    events = cut(events)
+    out = events.groupBy("configuration_id", "radius_m", "hours").agg(
         n.alias("event_count"), F.count_if(d == 1).alias("singleton_count"), (100.0 * F.count_if(d == 1) / n).alias("singleton_rate_pct"),
-        F.min(d).alias("min_detection_count"), F.median(d).alias("median_detection_count"), F.avg(d).alias("mean_detection_count"), p95("detection_count").alias("p95_detection_count"), F.max(d).alias("max_detection_count"),
-        F.median(h).alias("median_duration_hours"), p95("duration_hours").alias("p95_duration_hours"), F.max(h).alias("max_duration_hours"),
-        F.median(e).alias("median_spatial_extent_m"), p95("max_pairwise_distance_m").alias("p95_spatial_extent_m"), F.max(e).alias("max_spatial_extent_m"),
+        F.min(d).alias("min_detection_count"), F.avg(d).alias("mean_detection_count"), F.max(d).alias("max_detection_count"),
+        F.max(h).alias("max_duration_hours"), F.max(e).alias("max_spatial_extent_m"),
         F.count_if("multi_source").alias("events_multiple_sources"), F.count_if("both_sensors").alias("events_both_sensors"), F.count_if("crosses_midnight").alias("events_cross_midnight"),
         F.count_if("multi_day").alias("events_multi_day"), F.count_if("possible_chain_merge").alias("events_possible_chain_merge"),
         (100.0 * F.max(d) / F.sum(d)).alias("largest_event_share_pct"), F.sum(d).alias("detection_count_total"), F.bool_or("mega").alias("mega_cluster_detected"),
     )
+    return with_quantiles(out, events, ["configuration_id", "radius_m", "hours"], ranks).withColumn("p95_detection_count", F.col("p95_detection_count").cast("long"))
 
 
 def coassigned_pairs(members: DataFrame) -> DataFrame:

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from emberline.functions.clean import hours_between
 from emberline.operators.profile import unpivoted
+from emberline.operators.quantiles import with_quantiles
+from emberline.runtime import cut
 
 
 def cohort_distributions(events: DataFrame, metrics: list[str]) -> DataFrame:
     """One row per metric: extremes, median, nearest-rank quartiles and tails."""
-    long = unpivoted(events.select(*[F.col(m).cast("double").alias(m) for m in metrics]), metrics, "metric", "v").where("v is not null")
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by v)")
-    out = long.groupBy("metric").agg(
-        F.count("v").alias("cohort_count"), F.min("v").alias("minimum"), F.median("v").alias("median"), disc(0.25).alias("q25"), disc(0.75).alias("q75"),
-        disc(0.9).alias("p90"), disc(0.95).alias("p95"), disc(0.99).alias("p99"), F.max("v").alias("maximum"),
-    )
+    long = cut(unpivoted(events.select(*[F.col(m).cast("double").alias(m) for m in metrics]), metrics, "metric", "v").where("v is not null"))
+    out = long.groupBy("metric").agg(F.count("v").alias("cohort_count"), F.min("v").alias("minimum"), F.max("v").alias("maximum"))
+    tails = {"q25": 0.25, "q75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    out = with_quantiles(out, long, ["metric"], {"median": ("v", 0.5, "linear")} | {n: ("v", p, "nearest") for n, p in tails.items()})
     return out.withColumn("iqr", F.col("q75") - F.col("q25"))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.quantiles import with_quantiles
+from emberline.runtime import cut
+
 # The baseline combination and the order in which fallbacks are tried.
 BASELINE = "b0500_pre30_post45"
 FALLBACKS = (
@@ -25,7 +28,7 @@ def policy_matrix(matrix: DataFrame, segments: list[str]) -> DataFrame:
     """
     dims = [F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("value"))] + [F.struct(F.lit(s).alias("dimension"), F.col(s).cast("string").alias("value")) for s in segments]
     good = F.col("status") == "usable_both"
-    long = matrix.withColumn("__d", F.explode(F.array(*dims))).select("*", "__d.dimension", "__d.value").withColumn("__good", good)
+    long = cut(matrix.withColumn("__d", F.explode(F.array(*dims))).select("*", "__d.dimension", "__d.value").withColumn("__good", good).drop("__d"))
     cell = ["dimension", "value", "rule_id"]
     per_event = long.groupBy(*cell, "event_id").agg(F.count_if("__good").alias("__ways"), F.bool_or(F.col("__good") & (F.col("combination_id") == BASELINE)).alias("__base"))
     sizes = long.where("__good").groupBy(*cell, "combination_id").agg(F.count(F.lit(1)).alias("n"))
@@ -34,14 +37,15 @@ def policy_matrix(matrix: DataFrame, segments: list[str]) -> DataFrame:
     total = envelope.groupBy(*cell).agg(F.count(F.lit(1)).alias("__best"))
     rows = long.join(per_event, [*cell, "event_id"]).join(envelope.withColumn("__in", F.lit(True)), [*cell, "event_id"], "left")
     if_good = lambda c: F.when(F.col("__good"), F.col(c))
-    q = lambda c, p: F.percentile(if_good(c), F.lit(p))
-    out = rows.groupBy(*cell, "combination_id", "buffer_m", "window_id").agg(
+    sides, keys = ("pre", "post"), [*cell, "combination_id", "buffer_m", "window_id"]
+    ranks = {f"{s}_{m}_median": (f"{s}_{m}", 0.5, "linear") for s in sides for m in ("coverage", "clear", "gap_days", "usable")}
+    ranks |= {f"{s}_{m}_p10": (f"{s}_{m}", 0.1, "linear") for s in sides for m in ("coverage", "clear")} | {f"{s}_gap_days_p90": (f"{s}_gap_days", 0.9, "linear") for s in sides}
+    out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("events"), F.count_if("__good").alias("usable_pairs"),
-        *[F.median(if_good(f"{s}_{m}")).alias(f"{s}_{m}_median") for s in ("pre", "post") for m in ("coverage", "clear", "gap_days", "usable")],
-        *[q(f"{s}_{m}", 0.1).alias(f"{s}_{m}_p10") for s in ("pre", "post") for m in ("coverage", "clear")], *[q(f"{s}_gap_days", 0.9).alias(f"{s}_gap_days_p90") for s in ("pre", "post")],
         F.count_if(F.col("__good") & (F.col("__ways") == 1)).alias("exclusive"), F.count_if(F.col("__good") & ~F.col("__base")).alias("rescued"), F.count_if(F.col("__good") & F.coalesce("__in", F.lit(False))).alias("__kept"),
         (F.sum("pre_scenes") + F.sum("post_scenes")).alias("inventory_rows"), F.count_distinct(if_good("pre_scene")).alias("distinct_pre"), F.count_distinct(if_good("post_scene")).alias("distinct_post"),
     )
+    out = with_quantiles(out, long.where("__good"), keys, ranks)
     cost = F.pow(F.col("buffer_m") / 500.0, F.lit(2.0)) * F.col("window_span_days") / 75.0
     return out.join(total, cell, "left").withColumn("lost", F.coalesce("__best", F.lit(0)) - F.col("__kept")).withColumn("window_span_days", _span_days()).withColumn("relative_cost", cost).drop("__best", "__kept")
 

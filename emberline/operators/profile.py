@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import clean
+from emberline.operators.quantiles import with_quantiles
+from emberline.runtime import cut
 
 
 def canonical(raw: DataFrame) -> DataFrame:
@@ -57,11 +59,9 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
 
 def numeric_distribution(rows: DataFrame, column: str) -> DataFrame:
     """Count, missing, extremes and linear percentiles of a numeric column."""
-    c = F.col(column)
-    q = F.percentile(c, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.9)]))
-    return rows.agg(F.count(c).alias("present"), F.count_if(c.isNull()).alias("missing"), F.min(c).alias("minimum"), F.max(c).alias("maximum"), q.alias("q")).select(
-        "present", "missing", "minimum", "maximum", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90"))]
-    )
+    c, values = F.col(column), cut(rows.select(column))
+    out = values.agg(F.count(c).alias("present"), F.count_if(c.isNull()).alias("missing"), F.min(c).alias("minimum"), F.max(c).alias("maximum"))
+    return with_quantiles(out, values, [], {f"p{round(p * 100)}": (column, p, "linear") for p in (0.25, 0.5, 0.75, 0.9)})
 
 
 def missing_counts(rows: DataFrame, columns: list[str], source: str) -> DataFrame:

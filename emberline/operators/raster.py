@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators.components import label_components
 from emberline.operators.proximity import _near_cells
+from emberline.operators.quantiles import quantiles
 from emberline.runtime import cut, fill
 
 #: Land cover classes that count as clear where a scene has no score (fixed values).
@@ -113,7 +114,7 @@ def period_differences(periods: DataFrame) -> DataFrame:
 def global_stretch(pixels: DataFrame, bands: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
     """(band, low, high): one pair of percentiles a band over all pixels valid in every band."""
     whole = pixels.where(" and ".join(f"{b} is not null" for b in bands))
-    return whole.select(*bands).unpivot([], bands, "band", "v").groupBy("band").agg(F.percentile("v", F.lit(low)).alias("low"), F.percentile("v", F.lit(high)).alias("high"))
+    return quantiles(whole.select(*bands).unpivot([], bands, "band", "v"), ["band"], {"low": ("v", low, "linear"), "high": ("v", high, "linear")})
 
 
 def to_byte(value: Column, low: Column, high: Column, gamma: float = 1.0) -> Column:
