@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.clean import hours_between
 from emberline.functions.geo import haversine_km, planar_m
+from emberline.runtime import cut
 
 #: Both bounds are inclusive up to this relative slack; cells are wider by more than it.
 SLACK = 1e-12
@@ -115,31 +116,99 @@ def radius_interval_matches(events: DataFrame, references: DataFrame, radius_m:
     return met.select(reference, event, distance.alias("distance_m"), overlap.alias("overlap_hours"), "start_ts", "end_ts")
 
 
-def nearest(events: DataFrame, references: DataFrame, k: int = 10, temporal: bool = False) -> DataFrame:
+#: Cells with more events than this are counted again at a quarter of their side, so many times at most.
+CROWD, FINER = 4096, 10
+
+
+def _windowed(references: DataFrame) -> DataFrame:
+    """References with half-open times; no row is dropped."""
+    return references.select("reference_id", F.col("x_m").alias("rx"), F.col("y_m").alias("ry"), F.col("window_start").cast("timestamp").alias("ws"), F.date_add("window_end", 1).cast("timestamp").alias("we"))
+
+
+def _at(side: float | Column, x: str = "x_m", y: str = "y_m") -> dict[str, Column]:
+    return {"cx": F.floor(F.col(x) / side), "cy": F.floor(F.col(y) / side)}
+
+
+def _first_sides(places: DataFrame, refs: DataFrame, side: float, k: int, crowd: int) -> tuple[DataFrame, list[float]]:
+    """``refs`` plus ``first``, the side of cells with which each begins, and the sides below ``side`` that occur.
+
+    A reference in a crowded cell begins with twice the side of the smallest counted cell around it that has k events.
+    """
+    sides, inside, at = [], places, side
+    refs = refs.withColumn("first", F.lit(side))
+    counts = cut(inside.withColumns(_at(at)).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")))
+    for _ in range(FINER):
+        crowded = counts.where(F.col("n") > crowd)
+        if crowded.isEmpty():
+            break
+        inside = inside.withColumns(_at(at)).join(crowded.select("cx", "cy"), ["cx", "cy"], "left_semi").select(places.columns)
+        at /= 4
+        counts = cut(inside.withColumns(_at(at)).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")))
+        known = counts.where(F.col("n") >= k).select("cx", "cy", F.lit(2 * at).alias("finer"))
+        refs = cut(refs.withColumns(_at(at, "rx", "ry")).join(known, ["cx", "cy"], "left").withColumn("first", F.coalesce("finer", "first")).drop("cx", "cy", "finer"))
+        sides.append(2 * at)
+    return refs, sorted(sides)
+
+
+def nearest(events: DataFrame, references: DataFrame, k: int = 10, temporal: bool = False, crowd: int = CROWD) -> DataFrame:
     """(reference_id, event_id, distance_m, rank): the k nearest events of every reference, ties by id.
 
-    A bounded list of references meets every event; a first ranking inside pieces of the events
-    leaves k rows per piece, so no task ranks all events of one reference.
+    A reference looks at the nine cells around it, which hold every event within one side. If its kth
+    distance is no longer than that, or nothing lies beyond, it is done; only the others go on, with
+    cells twice as wide. Sides begin at the mean density, in crowded places below it. Rows without a
+    position, and references without any event to match, have no result.
     """
-    refs = references.select("reference_id", F.col("x_m").alias("rx"), F.col("y_m").alias("ry"), F.col("window_start").cast("timestamp").alias("ws"), F.date_add("window_end", 1).cast("timestamp").alias("we"))
-    distance = planar_m(F.col("x_m"), F.col("y_m"), F.col("rx"), F.col("ry"))
-    met = events.crossJoin(refs)
-    if temporal:
-        met = met.where((F.col("start_ts") < F.col("we")) & (F.col("end_ts") >= F.col("ws")))
-    met = met.select("reference_id", "event_id", distance.alias("distance_m"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("piece"))
-    local = Window.partitionBy("reference_id", "piece").orderBy("distance_m", "event_id")
-    final = Window.partitionBy("reference_id").orderBy("distance_m", "event_id")
-    few = met.withColumn("r", F.row_number().over(local)).where(F.col("r") <= k)
-    return few.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("reference_id", "event_id", "distance_m", "rank")
+    places = cut(events.select("event_id", "x_m", "y_m", "start_ts", "end_ts").where("x_m is not null and y_m is not null"))
+    box = places.agg(F.min("x_m").alias("w"), F.max("x_m").alias("e"), F.min("y_m").alias("s"), F.max("y_m").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    refs = _windowed(references).where("rx is not null and ry is not null")
+    result = places.limit(0).join(refs.limit(0), F.lit(True)).select("reference_id", "event_id", F.lit(0.0).alias("distance_m"), F.lit(1).alias("rank"))
+    if not box["rows"]:
+        return result
+    wide, high = box["e"] - box["w"], box["n"] - box["s"]
+    side = max(math.sqrt(wide * high * k / box["rows"]), max(wide, high) * k / box["rows"], max(wide, high) * 2.0**-24, 1e-6)
+    far = F.hypot(F.greatest(F.abs(F.col("rx") - box["w"]), F.abs(F.col("rx") - box["e"])), F.greatest(F.abs(F.col("ry") - box["s"]), F.abs(F.col("ry") - box["n"])))
+    refs, sides = _first_sides(places, cut(refs.withColumn("far", far)), side, k, crowd)
+    pending, final = refs, Window.partitionBy("reference_id").orderBy("distance_m", "event_id")
+    while not pending.isEmpty():
+        at = sides.pop(0) if sides else side
+        side = side if at < side else 2 * side
+        looking = pending.where(F.col("first") <= at).withColumns(_at(at, "rx", "ry"))
+        for c in ("cx", "cy"):
+            looking = looking.withColumn(c, _near_cells(c))
+        met = places.withColumns(_at(at)).join(looking, ["cx", "cy"])
+        if temporal:
+            met = met.where((F.col("start_ts") < F.col("we")) & (F.col("end_ts") >= F.col("ws")))
+        met = met.select("reference_id", "event_id", planar_m(F.col("x_m"), F.col("y_m"), F.col("rx"), F.col("ry")).alias("distance_m"), "far")
+        best = cut(met.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k))
+        safe = at * (1 - 1e-9)
+        done = best.where((F.col("rank") == k) & (F.col("distance_m") <= safe)).select("reference_id").unionByName(pending.where((F.col("far") <= safe) & (F.col("first") <= at)).select("reference_id")).distinct()
+        result = cut(result.unionByName(best.join(done, "reference_id", "left_semi").drop("far")))
+        pending = cut(pending.join(done, "reference_id", "left_anti"))
+    return result
 
 
 def radius_audit(events: DataFrame, references: DataFrame, radii_m: list[float]) -> DataFrame:
-    """Per reference: contemporaneous events within each radius, and the closest of all."""
-    refs = references.select("reference_id", F.col("x_m").alias("rx"), F.col("y_m").alias("ry"), F.col("window_start").cast("timestamp").alias("ws"), F.date_add("window_end", 1).cast("timestamp").alias("we"))
-    d = F.col("d")
-    met = events.crossJoin(refs).withColumn("d", planar_m(F.col("x_m"), F.col("y_m"), F.col("rx"), F.col("ry"))).withColumn("now", (F.col("start_ts") < F.col("we")) & (F.col("end_ts") >= F.col("ws")))
-    return met.groupBy("reference_id").agg(
-        F.count_if("now").alias("contemporaneous"),
-        *[F.count_if(F.col("now") & (d <= r)).alias(f"within_{int(r)}_m") for r in radii_m],
-        F.min(F.when(F.col("now"), F.struct(d.alias("d"), F.col("event_id").alias("e")))).alias("closest"),
-    ).select("reference_id", "contemporaneous", *[f"within_{int(r)}_m" for r in radii_m], F.col("closest.d").alias("closest_m"), F.col("closest.e").alias("closest_event"))
+    """Per reference: how many events fall into its window, how many of them lie within each radius, and the closest of them.
+
+    Windows are whole days, so the first count is a difference of running counts of starts and ends by
+    day; the radii are counted in cells of the largest one; the closest is a search by widening cells.
+    """
+    refs, widest = _windowed(references), max(radii_m)
+    days = events.select(F.col("start_ts").cast("date").alias("day"), F.lit(1).alias("begun"), F.lit(0).alias("over")).unionByName(events.select(F.col("end_ts").cast("date").alias("day"), F.lit(0).alias("begun"), F.lit(1).alias("over")))
+    asked = refs.select(F.col("ws").cast("date").alias("day")).unionByName(refs.select(F.col("we").cast("date").alias("day"))).select("day", F.lit(0).alias("begun"), F.lit(0).alias("over"))
+    before = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    by_day = days.unionByName(asked).where("day is not null").groupBy("day").agg(F.sum("begun").alias("begun"), F.sum("over").alias("over"))
+    by_day = cut(by_day.select("day", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("begun", "over")]))
+    begun, over = by_day.select(F.col("day").alias("we_day"), "begun"), by_day.select(F.col("day").alias("ws_day"), "over")
+    counted = refs.withColumns({"ws_day": F.col("ws").cast("date"), "we_day": F.col("we").cast("date")}).join(begun, "we_day", "left").join(over, "ws_day", "left")
+    counted = counted.select("reference_id", F.coalesce(F.col("begun") - F.col("over"), F.lit(0)).alias("contemporaneous"))
+    looking = refs.withColumns(_at(widest * (1 + 1e-9), "rx", "ry"))
+    for c in ("cx", "cy"):
+        looking = looking.withColumn(c, _near_cells(c))
+    met = events.withColumns(_at(widest * (1 + 1e-9))).join(looking, ["cx", "cy"]).where((F.col("start_ts") < F.col("we")) & (F.col("end_ts") >= F.col("ws")))
+    d = planar_m(F.col("x_m"), F.col("y_m"), F.col("rx"), F.col("ry"))
+    names = [f"within_{int(r)}_m" for r in radii_m]
+    within = met.groupBy("reference_id").agg(*[F.count_if(d <= r).alias(n) for r, n in zip(radii_m, names)])
+    closest = nearest(events, references, 1, temporal=True).select("reference_id", F.col("distance_m").alias("closest_m"), F.col("event_id").alias("closest_event"))
+    out = counted.join(within, "reference_id", "left").join(closest, "reference_id", "left")
+    return out.select("reference_id", "contemporaneous", *[F.coalesce(n, F.lit(0)).alias(n) for n in names], "closest_m", "closest_event")

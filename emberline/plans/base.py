@@ -62,16 +62,24 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 REFERENCES = """refs AS (
   SELECT 'ref-' || CAST(r_regionkey AS VARCHAR) AS reference_id, CAST(500000 + r_regionkey * 13600 + 300 AS DOUBLE) AS x_m,
     CAST(940000 + r_regionkey * 850 AS DOUBLE) AS y_m, DATE '2024-01-03' + CAST(5 * r_regionkey AS INTEGER) AS window_start,
-    DATE '2024-01-06' + CAST(5 * r_regionkey AS INTEGER) AS window_end FROM region)"""
+    DATE '2024-01-06' + CAST(5 * r_regionkey AS INTEGER) AS window_end FROM region
+  UNION ALL SELECT 'ref-s' || CAST(s_suppkey AS VARCHAR), CAST(498000 + s_suppkey * 7919 % 74000 AS DOUBLE), CAST(938000 + s_suppkey * 10473 % 52000 AS DOUBLE),
+    DATE '2023-12-30' + CAST(s_suppkey % 35 AS INTEGER), DATE '2023-12-30' + CAST(s_suppkey % 35 + s_suppkey % 4 AS INTEGER) FROM supplier)"""
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incident anchors with a point and an inclusive date window, from the regions."""
-    k = F.col("r_regionkey").cast("int")
-    return read_table(spark, sf_dir, "region").select(
+    """Incident anchors with a point and an inclusive date window, from regions and suppliers."""
+    k, s = F.col("r_regionkey").cast("int"), F.col("s_suppkey").cast("int")
+    date = lambda text: F.lit(text).cast("date")
+    regions = read_table(spark, sf_dir, "region").select(
         F.concat(F.lit("ref-"), k.cast("string")).alias("reference_id"), (500000 + k * 13600 + 300).cast("double").alias("x_m"), (940000 + k * 850).cast("double").alias("y_m"),
-        F.date_add(F.lit("2024-01-03").cast("date"), 5 * k).alias("window_start"), F.date_add(F.lit("2024-01-06").cast("date"), 5 * k).alias("window_end"),
+        F.date_add(date("2024-01-03"), 5 * k).alias("window_start"), F.date_add(date("2024-01-06"), 5 * k).alias("window_end"),
     )
+    long = s.cast("long")
+    return regions.unionByName(read_table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("ref-s"), s.cast("string")).alias("reference_id"), (498000 + long * 7919 % 74000).cast("double").alias("x_m"), (938000 + long * 10473 % 52000).cast("double").alias("y_m"),
+        F.date_add(date("2023-12-30"), s % 35).alias("window_start"), F.date_add(date("2023-12-30"), s % 35 + s % 4).alias("window_end"),
+    ))
 
 
 def edges_sql(radius_m: float, hours: float) -> str:
