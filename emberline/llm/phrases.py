@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.repeats import Hits, as_bytes, blobs, by_bucket, from_bytes, narrow
-from emberline.llm.rolling import Spans, byte_values, pack, scramble, slices, unpack
+from emberline.llm.rolling import pack, scramble, slices, unpack
 from emberline.runtime import fill, store
 
 _SPACE, _BREAK = 32, 10
@@ -37,7 +37,7 @@ _SEEN[ord("A") : ord("Z") + 1] += 32
 _SEEN[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = _BREAK
 _SEEN[9] = _SPACE
 #: About how many words a chunk owns, and the bytes of chunks that a task combines at once.
-PERIOD, COMBINE = 16, 16 << 20
+PERIOD, COMBINE = 16, 8 << 20
 _BLOB = "bucket long, chunk long, kind int, blob binary"
 _DICTIONARY = "part long, langs array<string>, marks binary, data binary"
 _COUNTS = "lang string, phrase string, words int, f long"
@@ -51,7 +51,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     starts = np.flatnonzero(~gap & (before | bound[:-1]))
     ends = np.flatnonzero(~gap & (after | bound[1:])) + 1
     text = np.searchsorted(offsets, starts, "right") - 1
-    breaks = np.cumsum(data == _BREAK)[starts]
+    breaks = np.searchsorted(np.flatnonzero(data == _BREAK), starts)
     last = np.flatnonzero(np.append((breaks[1:] != breaks[:-1]) | (text[1:] != text[:-1]), True)) if len(starts) else np.empty(0, np.int64)
     return starts, ends, text, last[np.searchsorted(last, np.arange(len(starts)))]
 
@@ -129,15 +129,17 @@ def _parse_texts(reach: int, parts: int):
 
         for batch in batches:
             own = np.array([langs.setdefault(v, len(langs)) for v in batch.column("lang").to_pylist()], np.int64)
-            for row, data, offsets in slices(batch.column("text")):
-                chunks, tail, text, named = parse(data, offsets, reach)
-                if len(chunks):
-                    held.append((chunks, tail, own[row + text], (named % np.uint64(parts)).astype(np.int64)))
-                    size += chunks.nbytes
-                if size > COMBINE:
-                    yield out()
-                    held.clear()
-                    size = 0
+            for at in range(0, batch.num_rows, 256):
+                for row, data, offsets in slices(batch.column("text").slice(at, 256)):
+                    chunks, tail, text, named = parse(data, offsets, reach)
+                    if len(chunks):
+                        held.append((chunks, tail, own[at + row + text], (named % np.uint64(parts)).astype(np.int64)))
+                        size += chunks.nbytes
+                    if size > COMBINE:
+                        yield out()
+                        held.clear()
+                        size = 0
+                        pa.default_memory_pool().release_unused()
         if held:
             yield out()
 
@@ -170,7 +172,8 @@ class Dictionary:
         #: How often each word place counts: as its chunk, where the chunk owns it.
         self.weight = np.where(own, n[of], 0)
         lang = lang[distinct][of]
-        spelled = _gather(data, starts, ends).dictionary_encode()
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+        spelled = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[(data != _SPACE) & (data != _BREAK)])]).dictionary_encode()
         key = pa.array(lang * len(spelled.dictionary) + spelled.indices.to_numpy()).dictionary_encode()
         #: Word numbers at each place; per number its spelling and language.
         self.word = key.indices.to_numpy()
@@ -193,7 +196,7 @@ class Dictionary:
         """Fingerprints of all words and of the pairs that stand at ``first``."""
         data, ends = _bytes(self.text)
         langs = np.fromiter((xxhash.xxh3_64_intdigest(v) for v in self.langs), np.uint64, len(self.langs))
-        words = scramble(Spans(byte_values(data)).at(ends[:-1], ends[1:]) ^ (np.diff(ends).astype(np.uint64)) ^ langs[self.lang])
+        words = scramble(_word_names(data, ends[:-1], ends[1:]) ^ langs[self.lang])
         return words, scramble(words[self.word[first]] * np.uint64(3) + words[self.word[first + 1]])
 
     def spell(self, at: np.ndarray, length: int) -> pa.Array:
@@ -277,7 +280,7 @@ def _spell_out(buckets: int, most: int):
     return run
 
 
-def frequent_phrases(docs: DataFrame, most: int = 4, least: int = 30, part_bytes: int = 8 << 20, most_part_bytes: int = 128 << 20) -> DataFrame:
+def frequent_phrases(docs: DataFrame, most: int = 4, least: int = 30, part_bytes: int = 8 << 20, most_part_bytes: int = 64 << 20) -> DataFrame:
     """(lang, phrase, words, f): all phrases of 1 to ``most`` words that occur ``least`` times in a language, and per language its word count with an empty phrase."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
