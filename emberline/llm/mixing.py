@@ -4,12 +4,14 @@ Every source has a target. Time is cut into slots of one block of words each; th
 of t times the golden ratio, mapped through the cumulative targets, name each slot's source, so any
 stretch of the schedule has nearly the right shares. A source's documents, shuffled by a hash, form
 a stream that repeats; it is cut into blocks of the same number of words. The kth slot of a source
-takes the kth block, by a join of slot ranks and block numbers. The stream ends at the target, so a
-last block may be short; sources that the schedule left below their target get closing slots, which
-also serves sources far smaller than a block.
+takes the kth block, by a join of slot ranks and block numbers. The slots are the order of the mix:
+each document carries the first and the last slot that takes words of it, and a reader that follows
+them meets the sources in their shares all along. The stream ends at the target, so a last block may
+be short; sources that the schedule left below their target, by a few blocks at most, get closing
+slots after all others, which also serves sources far smaller than a block.
 
-Targets take one small job per round, each filling a source at least; the running shares sort the sources in pieces by the
-head of their names. Both are meant for up to millions of sources. Null or empty texts have size 0
+Targets take one small job per round, each filling a source at least; sources are ordered by ranges of
+their names. Both are meant for up to millions of sources. Null or empty texts have size 0
 and are taken as 0 words; a null source is a source of its own and comes last; null and repeated
 doc_ids, and repeated rows, each count as documents of their own; columns are carried only if asked
 for; an empty table gives no rows. Order depends on a seeded hash of id, source and text, so reruns agree.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.words import word_count
 from emberline.operators.ranking import blocked
-from emberline.runtime import cut, spread
+from emberline.runtime import cut, fill, spread
 
 #: The points are (t * STEP mod SPAN) / SPAN; STEP / SPAN is the golden ratio's fractional part, STEP odd.
 SPAN = 1 << 31
@@ -31,6 +33,15 @@ STEP = 1327217885
 CELLS = 4096
 
 
+def _in_pieces(sources: DataFrame, few: int = 10_000) -> DataFrame:
+    """``sources`` (with source) plus piece: ascending ranges of their names in code point order, null last."""
+    count = sources.count()
+    if count <= few:
+        return cut(sources.withColumn("piece", F.lit(0)))
+    order = [F.col("source").isNull(), F.col("source")]
+    return cut(sources.repartitionByRange(fill(count, few), *order).withColumn("piece", F.spark_partition_id()))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
     """``sizes`` (source, source_size) plus weight and target.
 
@@ -38,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float
     stops at ``limit`` times its source's size and the excess goes to the others by weight, again
     until none is above. Each round is one small aggregate over the sources.
     """
-    ranked = blocked(sizes, [], F.struct(F.col("source").isNull().alias("last"), F.substring("source", 1, 4).alias("head")), [F.col("source")], rank="place")
+    ranked = blocked(_in_pieces(sizes), [], F.col("piece"), [F.col("source").isNull(), F.col("source")], rank="place")
     rows = cut(ranked.withColumn("weight", F.get(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights)).cast("int"))).withColumn("full", F.lit(False)))
     cap = limit * F.col("source_size")
     while True:
@@ -61,7 +72,7 @@ def schedule(goals: DataFrame, words: int, block: int) -> DataFrame:
     millionths = (F.col("target") * 1_000_000).cast("long")
     some = goals.where("target > 0").withColumn("share", millionths)
     whole = some.agg(F.sum("share")).first()[0] or 1
-    shares = blocked(some, [], F.struct(F.col("source").isNull().alias("last"), F.substring("source", 1, 4).alias("head")), [F.col("source")], rank="place", value=F.col("share"), total="before")
+    shares = blocked(_in_pieces(some), [], F.col("piece"), [F.col("source").isNull(), F.col("source")], rank="place", value=F.col("share"), total="before")
     edge = lambda x: F.floor(x.cast("decimal(38,0)") * SPAN / F.lit(whole).cast("decimal(38,0)")).cast("long")
     cells = shares.select("source", edge(F.col("before")).alias("lo"), edge(F.col("before") + F.col("share")).alias("hi")).where("lo < hi")
     width = SPAN // CELLS
@@ -76,9 +87,10 @@ def schedule(goals: DataFrame, words: int, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.0, block: int = 256, seed: int = 17, size: Column | None = None, carry: tuple[Column, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, nth, *carry), one row per document.
+    """(doc_id, source, size, source_size, target, taken, first_slot, last_slot, nth, *carry), one row per document.
 
-    ``taken`` counts the words that the schedule's blocks take from the document, repeats counted.
+    ``taken`` counts the words that the schedule's blocks take from the document, repeats counted; the
+    slots are null where none takes any. Within a slot, documents follow one another by ``nth``.
     """
     words_of = (word_count(F.col("text")) if size is None else size).alias("size")
     named = [c for c in ("doc_id", "source", "text") if c in docs.columns]
@@ -96,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.
     cuts = placed.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     words = F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block)
     slots = schedule(goals, totals["words"] or 0, block).withColumnsRenamed({"source": "s", "rank": "r"})
-    taken = cuts.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r"))).groupBy("source", "nth").agg(F.sum(words).alias("taken"))
+    taken = cuts.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r"))).groupBy("source", "nth").agg(F.sum(words).alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     taken = taken.withColumnsRenamed({"source": "s", "nth": "k"})
     out = sized.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("nth") == F.col("k")), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "nth", *carried)
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot", "nth", *carried)

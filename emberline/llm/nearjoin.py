@@ -382,8 +382,8 @@ def near_duplicate_documents(
     ranked = blocked(members.select("cluster", "rep"), ["cluster"], F.pmod(F.xxhash64("rep"), F.lit(64)), [F.col("rep")], rank="at").withColumn("block", F.floor(F.col("at") / tile))
     counts = ranked.groupBy("cluster").agg(F.max("block").alias("last"))
     others = F.explode(F.sequence(F.lit(0), F.col("last")))
-    placed = ranked.join(counts, "cluster").select("rep", "block", others.alias("other")).select("rep", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    parts = fill(members.count(), 2_000)
+    placed = cut(ranked.join(counts, "cluster").select("rep", "block", others.alias("other")).select("rep", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")))
+    parts = fill(placed.count(), 2_000)
     pairs = sets.join(placed, "rep").withColumn("part", F.pmod(F.xxhash64("cluster", "a", "b"), F.lit(parts)))
     found = cut(pairs.groupBy("part").applyInArrow(_verify(similarity), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -324,11 +324,11 @@ def _assign(runs: list[tuple[int, int, int, int, int]]):
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (with doc_id, piece, length) plus sequence_id and offset. ``pieces`` is read three times: cut it first."""
+    """``pieces`` (with doc_id, piece, length, ids_crc32) plus sequence_id and offset. ``pieces`` is read three times: cut it first."""
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a number per length up to capacity
     runs = plan_runs(counts, capacity)
     parts = spread(sum(counts.values()))
-    ranked = blocked(pieces, ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)), [F.col("doc_id"), F.col("piece")])
+    ranked = blocked(pieces, ["length"], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema.fields if f.name != "rank"}
     return ranked.select(*kinds, "rank").mapInArrow(_assign(runs), ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", sequence_id long, offset long")
 

@@ -25,7 +25,7 @@ def op3_previous_factor_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

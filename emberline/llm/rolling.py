@@ -33,15 +33,21 @@ class _Powers:
     def __init__(self, prime: int, base: int) -> None:
         self.prime = np.uint64(prime)
         self.bases = base, pow(base, -1, prime)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up = self.down = np.ones(1, np.uint32)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            for name, base in zip(("up", "down"), self.bases):
-                have = getattr(self, name)
-                setattr(self, name, np.concatenate([have, have * np.uint64(pow(base, len(have), int(self.prime))) % self.prime]))
+        if len(self.up) < n:
+            self.up, self.down = (self._grown(b, max(n, SLICE + 4096)) for b in self.bases)
         return self.up[:n], self.down[:n]
 
+    def _grown(self, base: int, n: int) -> np.ndarray:
+        out, have = np.ones(n, np.uint32), 1
+        while have < n:
+            more = min(have, n - have)
+            out[have : have + more] = out[:more] * np.uint64(pow(base, have, int(self.prime))) % self.prime
+            have += more
+        return out
+
 
 _POWERS = tuple(tuple(_Powers(p, b) for p, b in zip(*both)) for both in zip(_PRIMES, _BASES))
 

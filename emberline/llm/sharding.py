@@ -126,4 +126,4 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     groups = shard_groups(rows.groupBy("group").agg(F.sum("size").alias("bytes")), shards).select("group", "shard")
     placed = cut(rows.join(groups, "group").select("doc_id", "size", "text_crc32", "shard"))
     pieces = spread(placed.count())
-    return blocked(placed, ["shard"], F.pmod(F.xxhash64("doc_id"), F.lit(pieces)), [F.col("doc_id"), F.col("text_crc32")], rank="slot")
+    return blocked(placed, ["shard"], F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(pieces)), [F.col("doc_id"), F.col("text_crc32")], rank="slot")

@@ -5,6 +5,11 @@ walks all lists from their better end, scores what it meets for the first time,
 sum of the frontier values, an upper bound for everything not met, is below its kth score. The
 blocks' best k meet in a small final ranking. Ties go to the smaller id.
 
+The bound needs dimensions that differ: in 64 dimensions of like spread it stays above the kth score
+until every candidate has been met, even if that score is known from the start and the list with the
+largest frontier goes first. There the search is a full product, in blocks; where few components carry
+a query it stops early. The tests hold both.
+
 The number of blocks and their size both grow as a root of the rows, and a block is sorted once for
 each ``query_block`` queries, so copies of queries grow as rows * root(rows), and those of candidates
 by one for each ``query_block`` queries.

@@ -136,6 +136,51 @@ def test_mix_serves_small_sources_and_null_ids(spark):
     assert all(abs(taken[s] - goals[s]) <= 1 for s in sizes)
 
 
+def slots_of(rows):
+    """The sources in the order of the mix, by the first slots of documents of one block each."""
+    return [r.source for r in sorted((r for r in rows if r.first_slot is not None), key=lambda r: r.first_slot)]
+
+
+def test_the_schedule_orders_the_mix(spark, monkeypatch):
+    """Documents of one block each: every stretch of slots has nearly its shares, few slots are closing ones, and another schedule gives another mix."""
+    sizes = {"a": 900, "b": 500, "c": 700}
+    docs = spark.createDataFrame([(i, "w " * 16, s) for s, n in sizes.items() for i in range(n)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, block=16).collect()
+    once = [r for r in rows if r.taken and r.first_slot == r.last_slot]
+    whole = sum(sizes.values())
+    assert len({r.first_slot for r in once}) > 0.98 * len(once) and sum(r.first_slot == whole for r in rows if r.taken) < 10
+    share = {r.source: r.target / 16 / whole for r in rows}
+    slots = mixing.schedule(mixing.targets(docs.groupBy("source").agg(F.sum(F.lit(16)).cast("long").alias("source_size"))), 16 * whole, 16).collect()
+    met = collections.Counter()
+    for t, r in enumerate(sorted((r for r in slots if r.slot < whole), key=lambda r: r.slot), 1):
+        met[r.source] += 1
+        assert all(abs(met[s] - t * share[s]) < 4 for s in sizes)
+    plain = mixing.schedule
+
+    def one_source_after_another(goals, words, block):
+        return plain(goals, words, block).withColumn("slot", F.col("rank"))
+
+    monkeypatch.setattr(mixing, "schedule", one_source_after_another)
+    other = mixing.mix(docs, block=16).collect()
+    assert slots_of(other) != slots_of(rows)
+
+
+def test_many_sources_in_ranges(spark):
+    sizes = spark.createDataFrame([(f"http://{i % 97}/{i}", i + 1) for i in range(400)] + [(None, 9), ("", 5)], "source string, source_size long")
+    pieces = mixing._in_pieces(sizes, few=50).collect()
+    order = sorted(pieces, key=lambda r: (r.source is None, (r.source or "").encode()))
+    assert [r.piece for r in order] == sorted(r.piece for r in pieces) and max(collections.Counter(r.piece for r in pieces).values()) < 120
+    got = {r.source: r.weight for r in mixing.targets(sizes).collect()}
+    assert got == {r.source: (1, 2, 3)[i % 3] for i, r in enumerate(order)}
+
+
+def test_slots_with_null_ids_are_dealt_to_pieces(spark):
+    """Of shards and of lengths, rows that lack an id are cut in pieces by what they hold."""
+    docs = spark.createDataFrame([(None, "w" * (1 + i % 200)) for i in range(3000)], "doc_id long, text string")
+    rows = sharding.shard_documents(docs, 4).collect()
+    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in range(4))
+
+
 def test_source_weights_and_limit(spark):
     sizes = {"a": 1000, "b": 10, "c": 5, None: 400}
     got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
@@ -346,6 +391,23 @@ def test_threshold_search_stops_early():
     assert sum(read) < 2500
 
 
+def test_the_bound_in_the_given_vectors(spark, sf):
+    """64 dimensions of like spread: with the kth score known and the largest frontier first, all candidates are met before the bound falls."""
+    rows = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect() if r.embedding is not None], float)
+    rows = np.floor(256 * rows[np.isfinite(rows).all(axis=1)])
+    for query in rows[:5]:
+        kth = np.sort(rows @ query)[-6]
+        order = np.argsort(-rows * np.sign(query), axis=0)
+        place, seen = np.zeros(rows.shape[1], int), np.zeros(len(rows), bool)
+        frontier = rows[order[0], np.arange(rows.shape[1])] * query
+        while frontier.sum() >= kth and not seen.all():
+            d = int(np.argmax(frontier))
+            seen[order[place[d] : place[d] + 8, d]] = True
+            place[d] = min(place[d] + 8, len(rows) - 1)
+            frontier[d] = rows[order[place[d], d], d] * query[d]
+        assert seen.mean() > 0.95
+
+
 def test_quality_scores(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op5_subword_quality"](spark, sf).collect()
