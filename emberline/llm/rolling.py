@@ -13,7 +13,6 @@ SLICE = 1 << 20
 #: Two pairs of primes below 2**32, so that products of two residues fit 64 bits; each has a random base.
 _PRIMES = ((4294967291, 4294967279), (4294967231, 4294967197))
 _BASES = np.random.default_rng(20240229).integers(1 << 31, 4294967197, (2, 2)).tolist()
-_TABLE = np.random.default_rng(20240301).integers(0, 1 << 64, 256, dtype=np.uint64)
 _32 = np.uint64(32)
 
 
@@ -53,7 +52,7 @@ _POWERS = tuple(tuple(_Powers(p, b) for p, b in zip(*both)) for both in zip(_PRI
 
 
 class Spans:
-    """Hashes of any spans of a sequence of 64-bit values, from prefix sums modulo two primes: about 63 bits, and as many independent ones with ``second``.
+    """Hashes of any spans of a sequence of numbers, from prefix sums modulo two primes: about 63 bits, and as many independent ones with ``second``.
 
     A polynomial modulo a power of two would collide for words that anybody can write down, whatever its base.
     """
@@ -64,12 +63,24 @@ class Spans:
         for powers in _POWERS[second]:
             up, down = powers.get(n + 1)
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(values % powers.prime * up[:n] % powers.prime, out=sums[1:])
+            own = sums[1:]
+            small = values.dtype.itemsize < 4  # below every prime already
+            np.multiply(values if small else values % powers.prime, up[:n], out=own)
+            own %= powers.prime
+            np.cumsum(own, out=own)
             self.parts.append((powers.prime, down, sums))
 
     def _hash(self, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
-        high, low = ((sums[ends] - sums[starts]) % prime * down[starts] % prime for prime, down, sums in self.parts)
-        return scramble(high << _32 | low)
+        halves = []
+        for prime, down, sums in self.parts:
+            x = sums[ends] - sums[starts]
+            x %= prime
+            x *= down[starts]
+            x %= prime
+            halves.append(x)
+        halves[0] <<= _32
+        halves[0] |= halves[1]
+        return scramble(halves[0])
 
     def every(self, width: int) -> np.ndarray:
         """The span of ``width`` from each position that has one."""
@@ -81,8 +92,8 @@ class Spans:
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
-    """A number for each byte."""
-    return _TABLE[data]
+    """A number above 0 for each byte."""
+    return data.astype(np.uint16) + np.uint16(1)
 
 
 #: Column of the texts' hashes, by which rows of one doc_id are ordered.
