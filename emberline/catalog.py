@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["event_plans", "profile_plans", "scene_plans", "raster_plans", "review_plans", "link_plans", "file_plans"]
+MODULES: list[str] = ["event_plans", "profile_plans", "scene_plans", "raster_plans", "review_plans", "link_plans", "file_plans", "scan_plans"]
 
 
 def queries() -> dict:

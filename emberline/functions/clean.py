@@ -148,6 +148,27 @@ def path_class(c: Column, rules: list[tuple[str, str]], other: str = "other") ->
     return out
 
 
+def json_cell(c: Column, fallback: str = "[]") -> tuple[Column, Column]:
+    """A JSON cell in compact form with sorted keys, ``fallback`` where it is no JSON, and whether it was."""
+    # The parser stops at the end of a value; wrapped, a cell with anything after it loses or adds a key.
+    whole = F.concat(F.lit('{"v":'), c, F.lit(',"e":0}'))
+    parsed = F.when(F.json_object_keys(whole) == F.array(F.lit("v"), F.lit("e")), F.try_variant_get(F.try_parse_json(whole), "$.v", "variant"))
+    return F.coalesce(F.to_json(parsed), F.lit(fallback)), parsed.isNotNull()
+
+
+def general_float(c: Column, digits: int = 15) -> Column:
+    """A number in its shortest form of at most ``digits`` significant digits, as %g writes it; empty for null or non-finite."""
+    shown = F.format_string(f"%.{digits - 1}e", c)
+    power = F.regexp_extract(shown, r"e([+-]\d+)$", 1).cast("int")
+    plain = F.format_string("%s", c.cast("decimal(38,18)").cast("string"))
+    short = lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(F.regexp_replace(x, "0+$", ""), r"\.$", "")).otherwise(x)
+    mantissa = short(F.regexp_extract(shown, r"^(-?[0-9.]+)e", 1))
+    small = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    fixed = F.coalesce(*[F.when(power == k, short(F.format_string(f"%.{max(0, digits - 1 - k)}f", c))) for k in range(-4, digits)], short(plain))
+    out = F.when(c == 0, "0").when((power < -4) | (power >= digits), small).otherwise(fixed)
+    return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), out).otherwise("")
+
+
 def trimmed_float(c: Column, digits: int = 8) -> Column:
     """Fixed digits without trailing zeros; empty for null or non-finite."""
     shown = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", c), "0+$", ""), r"\.$", "")

@@ -187,6 +187,12 @@ def source_rollup(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("source").agg(F.count(F.lit(1)).alias("fragments"), F.count_if(F.col("status") == "downloaded").alias("downloaded"), F.count_if(F.col("status") != "downloaded").alias("not_downloaded"), F.sum("record_count").alias("records"))
 
 
+def gap_bins(rows: DataFrame, columns: list[str], width: int = 10, bins: int = 10) -> DataFrame:
+    """(bin, rows) of day gaps in bins of ``width`` days, the last open; nulls left out."""
+    long = rows.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column", "days").where("days is not null")
+    return long.groupBy(F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col("days") / width))).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def gaps_by(rows: DataFrame, key: str, ts: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(ts)
     return rows.withColumn("gap_days", F.datediff(F.col(ts), F.lag(ts).over(w)))

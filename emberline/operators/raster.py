@@ -122,12 +122,12 @@ def to_byte(value: Column, low: Column, high: Column, gamma: float = 1.0) -> Col
     return F.round(255 * F.pow(share, F.lit(1.0 / gamma))).cast("int")
 
 
-def components(mask: DataFrame, keys: list[str]) -> DataFrame:
-    """``mask`` (keys, row, col) plus patch: the smallest pixel of its 8-connected patch."""
+def components(mask: DataFrame, keys: list[str], diagonal: bool = True) -> DataFrame:
+    """``mask`` (keys, row, col) plus patch: the smallest pixel of its 8-connected patch, or 4-connected without ``diagonal``."""
     pixel = F.format_string("%09d:%09d", F.col("row"), F.col("col"))
     nodes = mask.withColumn("pixel", pixel)
     here = nodes.select(*keys, F.col("pixel").alias("src"), "row", "col")
-    ahead = here.withColumn("__o", F.explode(F.expr("array(struct(0 as dr, 1 as dc), struct(1 as dr, -1 as dc), struct(1 as dr, 0 as dc), struct(1 as dr, 1 as dc))")))
+    ahead = here.withColumn("__o", F.explode(F.expr("array(struct(0 as dr, 1 as dc), struct(1 as dr, 0 as dc)" + (", struct(1 as dr, -1 as dc), struct(1 as dr, 1 as dc))" if diagonal else ")"))))
     ahead = ahead.select(*keys, "src", (F.col("row") + F.col("__o.dr")).alias("row"), (F.col("col") + F.col("__o.dc")).alias("col"))
     edges = ahead.join(nodes.select(*keys, F.col("pixel").alias("dst"), "row", "col"), [*keys, "row", "col"]).select(*keys, "src", "dst")
     return label_components(nodes, edges, "pixel", "patch", keys=keys)
@@ -144,6 +144,13 @@ def patch_statistics(patches: DataFrame, keys: list[str], value: str, pixel_m: f
     return rows.join(largest, keys).withColumns({"area_ha": F.col("pixels") * pixel_m**2 / 1e4, "box_fill": F.col("pixels") / box, "is_main": F.col("patch") == F.col("main")}).drop("main")
 
 
+def largest_patches(patches: DataFrame, keys: list[str], least_ha: float, most: int, pixel_m: float = 20.0) -> DataFrame:
+    """(keys, patch, area_ha, place): the ``most`` largest patches of each key, down to ``least_ha``."""
+    area = (F.count(F.lit(1)) * pixel_m**2 / 1e4).alias("area_ha")
+    sizes = patches.groupBy(*keys, "patch").agg(area).where(F.col("area_ha") >= least_ha)
+    return sizes.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("area_ha"), "patch"))).where(F.col("place") <= most)
+
+
 def dilate(mask: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """Distinct (keys, row, col) within a disk around the mask's pixels, the pixels included."""
     disk = [(dr, dc) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1) if dr * dr + dc * dc <= radius * radius]
@@ -166,6 +173,51 @@ def border(mask: DataFrame, keys: list[str]) -> DataFrame:
     return mask.join(inside, at, "left_anti")
 
 
+def outline_edges(patches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, patch, ring, edge, r0, c0, r1, c1, next): the sides around 4-connected patches, chained to rings.
+
+    A side that two pixels of a patch share cancels. The others run with the patch on their right; where
+    two of them leave a corner, the ring turns left, so that it stays with one piece of background and
+    never touches itself. A ring is named by its smallest side.
+    """
+    own = [*keys, "patch"]
+    side = lambda name, r, c, *ends: F.struct(F.format_string(f"{name}%09d:%09d", r, c).alias("edge"), *[e.alias(n) for n, e in zip(("r0", "c0", "r1", "c1"), ends)])
+    r, c, r1, c1 = F.col("row").cast("int"), F.col("col").cast("int"), (F.col("row") + 1).cast("int"), (F.col("col") + 1).cast("int")
+    four = F.array(side("h", r, c, r, c, r, c1), side("v", r, c1, r, c1, r1, c1), side("h", r1, c, r1, c1, r1, c), side("v", r, c, r1, c, r, c))
+    sides = patches.select(*own, F.explode(four).alias("s")).groupBy(*own, "s.edge").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s")).where("n = 1")
+    sides = cut(sides.select(*own, "s.*"))
+    after = sides.select(*own, F.col("edge").alias("next"), F.col("r0").alias("r1"), F.col("c0").alias("c1"), (F.col("r1") - F.col("r0")).alias("dr"), (F.col("c1") - F.col("c0")).alias("dc"))
+    left = (F.col("dr") == F.col("c0") - F.col("c1")) & (F.col("dc") == F.col("r1") - F.col("r0"))
+    chained = sides.join(after, [*own, "r1", "c1"]).groupBy(*own, "edge", "r0", "c0", "r1", "c1").agg(F.min(F.struct((~left).alias("other"), "next")).alias("n"))
+    chained = cut(chained.select(*own, "edge", "r0", "c0", "r1", "c1", F.col("n.next").alias("next")))
+    links = chained.select(*own, F.col("edge").alias("src"), F.col("next").alias("dst"))
+    return label_components(chained, links, "edge", "ring", keys=own)
+
+
+def ring_positions(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``edges`` (keys, patch, ring, edge, next) plus position: the place of each side in its ring, from 0 at its smallest side, by pointer jumping."""
+    own = [*keys, "patch"]
+    back = edges.where("next <> ring").select(*own, F.col("next").alias("edge"), F.col("edge").alias("to"), F.lit(1).cast("long").alias("position"))
+    at = cut(back.unionByName(edges.where("edge = ring").select(*own, "edge", F.lit(None).cast("string").alias("to"), F.lit(0).cast("long").alias("position"))))
+    while not at.where("to is not null").isEmpty():
+        further = at.select(*own, F.col("edge").alias("to"), F.col("to").alias("beyond"), F.col("position").alias("more"))
+        at = cut(at.join(further, [*own, "to"], "left").select(*own, "edge", F.col("beyond").alias("to"), (F.col("position") + F.coalesce("more", F.lit(0))).alias("position")))
+    return edges.join(at.drop("to"), [*own, "edge"])
+
+
+def outline_areas(edges: DataFrame, keys: list[str], pixel_m: float = 20.0, least_ha: float = 1.0, least_hole_ha: float = 0.5) -> DataFrame:
+    """(keys, patch, area_ha, outline_ha, perimeter_m, holes): shoelace sums per ring.
+
+    ``area_ha`` is that of the pixels, ``outline_ha`` that of the outline with the holes of at least
+    ``least_hole_ha`` left open; patches below ``least_ha`` of pixels are dropped.
+    """
+    own, ha = [*keys, "patch"], pixel_m**2 / 1e4
+    rings = edges.groupBy(*own, "ring").agg((F.sum(F.col("c0") * F.col("r1") - F.col("c1") * F.col("r0")) / 2 * ha).alias("a"), F.count(F.lit(1)).alias("n"))
+    kept = (F.col("a") > 0) | (-F.col("a") >= least_hole_ha)
+    out = rings.groupBy(*own).agg(F.sum("a").alias("area_ha"), F.sum(F.when(kept, F.col("a"))).alias("outline_ha"), (F.sum("n") * pixel_m).alias("perimeter_m"), F.count_if((F.col("a") < 0) & kept).alias("holes"))
+    return out.where(F.col("area_ha") >= least_ha)
+
+
 def _hull_area(points: list[tuple[float, float]]) -> float:
     points = sorted(set(points))
     if len(points) < 3:

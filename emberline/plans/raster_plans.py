@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberline.operators import raster, scenes
+from emberline.operators import polygons, raster, scenes
 from emberline.plans.base import DETECTIONS, Book, detections
 from emberline.plans.event_plans import _rounded
 from emberline.runtime import read_table
@@ -161,6 +161,38 @@ def hull_area(spark, sf_dir):
     return raster.hull_areas(raster.components(_mask_rows(spark, sf_dir), ["scene_id"]), ["scene_id", "patch"])
 
 
+_cells = f"""WITH RECURSIVE {PIXELS}, mask AS (SELECT scene_id, row, col, printf('%09d:%09d', row, col) AS pixel FROM px WHERE nbr > 0.1),
+nb AS (SELECT a.scene_id, a.pixel AS src, b.pixel AS dst FROM mask a JOIN mask b ON a.scene_id = b.scene_id AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+sp AS (SELECT scene_id, pixel, pixel AS seen FROM mask UNION SELECT sp.scene_id, nb.dst, sp.seen FROM sp JOIN nb ON nb.scene_id = sp.scene_id AND nb.src = sp.pixel),
+lab AS (SELECT scene_id, pixel, min(seen) AS patch FROM sp GROUP BY ALL), big AS (SELECT scene_id, patch, count(*) AS n FROM lab GROUP BY ALL HAVING count(*) >= 4),
+own AS (SELECT scene_id, patch, row, col FROM mask JOIN lab USING (scene_id, pixel) JOIN big USING (scene_id, patch)),
+free AS (SELECT scene_id, patch, r, c, r * 10 + c AS k FROM big, range(-1, 9) a(r), range(-1, 9) b(c) WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.scene_id = big.scene_id AND o.patch = big.patch AND o.row = r AND o.col = c)),
+fl AS (SELECT scene_id, patch, r, c, k AS seen FROM free UNION SELECT f.scene_id, f.patch, f.r, f.c, fl.seen FROM fl JOIN free f ON f.scene_id = fl.scene_id AND f.patch = fl.patch AND abs(f.r - fl.r) + abs(f.c - fl.c) = 1 AND fl.seen < f.k),
+bg AS (SELECT scene_id, patch, piece, count(*) AS n FROM (SELECT scene_id, patch, r, c, min(seen) AS piece FROM fl GROUP BY ALL) GROUP BY ALL),
+ho AS (SELECT scene_id, patch, count(*) FILTER (n >= 2) AS holes, coalesce(sum(n) FILTER (n < 2), 0) AS closed FROM bg WHERE piece <> -11 GROUP BY ALL),
+pe AS (SELECT o.scene_id, o.patch, count(*) AS sides FROM own o JOIN free f ON f.scene_id = o.scene_id AND f.patch = o.patch AND abs(f.r - o.row) + abs(f.c - o.col) = 1 GROUP BY ALL)"""
+
+
+@BOOK.query(f"""{_cells} SELECT scene_id, patch, n / 25.0 AS area_ha, (n + coalesce(closed, 0)) / 25.0 AS outline_ha, sides * 20.0 AS perimeter_m, coalesce(holes, 0) AS holes FROM big JOIN pe USING (scene_id, patch) LEFT JOIN ho USING (scene_id, patch)""")
+def patch_outlines(spark, sf_dir):
+    patches = raster.components(_mask_rows(spark, sf_dir), ["scene_id"], diagonal=False)
+    return _rounded(raster.outline_areas(raster.outline_edges(patches, ["scene_id"]), ["scene_id"], 20.0, 4 / 25 - 1e-9, 2 / 25 - 1e-9))
+
+
+@BOOK.query("""WITH d AS (SELECT s_suppkey AS polygon, 500 + s_suppkey * 37 % 400 + 0.37 AS cx, 300 + s_suppkey * 53 % 200 + 0.29 AS cy, 6.0 + s_suppkey % 5 AS a, 9.0 + s_suppkey % 7 AS b FROM supplier),
+g AS (SELECT polygon, c AS col, r AS row, abs(c - cx) / a + abs(r - cy) / b AS outer_d, abs(c - cx) / (a / 3) + abs(r - cy) / (b / 2) AS hole_d FROM d, range(450, 950) x(c), range(250, 550) y(r) WHERE abs(c - cx) <= a AND abs(r - cy) <= b)
+SELECT polygon, row, col FROM g WHERE outer_d <= 1 AND hole_d > 1""")
+def polygon_support(spark, sf_dir):
+    k = F.col("s_suppkey")
+    rings = read_table(spark, sf_dir, "supplier").select(k.alias("polygon"), (500 + k * 37 % 400 + 0.37).alias("cx"), (300 + k * 53 % 200 + 0.29).alias("cy"), (6.0 + k % 5).alias("a"), (9.0 + k % 7).alias("b"))
+    half = F.explode(F.array(*[F.struct(F.lit(i).alias("ring"), F.lit(i == 1).alias("is_hole"), (F.col("a") / (1, 3)[i]).alias("w"), (F.col("b") / (1, 2)[i]).alias("h")) for i in (0, 1)]))
+    rings = rings.withColumn("s", half).select("polygon", "cx", "cy", "s.*")
+    corner = lambda n, dx, dy: [(F.col("cx") + dx * F.col("w")).alias(f"x{n}"), (F.col("cy") + dy * F.col("h")).alias(f"y{n}")]
+    turns = [(1, 0), (0, 1), (-1, 0), (0, -1), (1, 0)]
+    edges = rings.withColumn("e", F.explode(F.array(*[F.struct(F.lit(i).alias("edge"), *corner(1, *p), *corner(2, *q)) for i, (p, q) in enumerate(zip(turns, turns[1:]))]))).select("polygon", "ring", "is_hole", "e.*")
+    return polygons.pixels_in_polygons(edges, 0.0, 0.0, 1.0)
+
+
 @BOOK.query(f"WITH {PIXELS} SELECT zone, row, col, round(dnbr, 6) AS dnbr FROM chg WHERE dnbr > 0.05 AND post_nbr < 0.05")
 def scar_candidates(spark, sf_dir):
     return _rounded(raster.scar_candidates(_changes(spark, sf_dir), ["zone"], 0.05, 0.05))

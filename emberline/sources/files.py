@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,17 +84,27 @@ def scan_detection_files(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     return rows, files
 
 
+# The fields of a fragment manifest and the states it may have.
 MANIFEST = T.StructType([
     T.StructField(n, k) for n, k in (
-        ("source", T.StringType()), ("start_date", T.DateType()), ("end_date", T.DateType()), ("status", T.StringType()), ("sha256", T.StringType()), ("size_bytes", T.LongType()),
-        ("record_count", T.LongType()), ("raw_filename", T.StringType()), ("bbox", T.ArrayType(T.DoubleType())), ("error_message", T.StringType()),
+        ("acquired_at_utc", T.StringType()), ("source", T.StringType()), ("start_date", T.DateType()), ("end_date", T.DateType()), ("area", T.StringType()), ("bbox", T.ArrayType(T.DoubleType())),
+        ("url_sanitized", T.StringType()), ("sha256", T.StringType()), ("size_bytes", T.LongType()), ("record_count", T.LongType()), ("raw_file", T.StringType()), ("raw_filename", T.StringType()),
+        ("schema_version", T.StringType()), ("status", T.StringType()), ("error_message", T.StringType()),
     )
 ])
+STATES = ("downloaded", "imported", "error")
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Fragment manifests, one JSON document per file."""
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+def read_documents(spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = False) -> DataFrame:
+    """JSON documents: one a file, or one a line."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+
+
+def read_manifests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Fragment manifests plus ``absent``: the required fields that a document does not have (a null is there)."""
+    docs = spark.read.text(path, wholetext=not lines)
+    given = F.json_object_keys("value")
+    return docs.select(F.from_json("value", MANIFEST).alias("m"), F.array_except(F.array(*[F.lit(n) for n in MANIFEST.names]), F.coalesce(given, F.array().cast("array<string>"))).alias("absent")).select("m.*", "absent")
 
 
 def manifest_violations(manifests: DataFrame, secret: str | None = None) -> DataFrame:
@@ -103,14 +113,26 @@ def manifest_violations(manifests: DataFrame, secret: str | None = None) -> Data
 
     c = F.col
     tests = {
-        "status_code": c("status").isin("downloaded", "failed", "empty"), "hash_form": c("sha256").isNull() | c("sha256").rlike("^[0-9a-f]{64}$"), "bbox_has_four": F.size("bbox") == 4,
-        "interval_order": c("start_date") <= c("end_date"), "downloaded_has_hash": (c("status") != "downloaded") | c("sha256").isNotNull(), "count_not_negative": c("record_count") >= 0,
+        "all_fields": F.size("absent") == 0, "status_code": F.coalesce(c("status").isin(*STATES), F.lit(False)), "source_named": F.coalesce(F.trim("source") != "", F.lit(False)),
+        "bbox_has_four": F.coalesce(F.size("bbox") == 4, F.lit(False)), "interval_order": c("start_date") <= c("end_date"),
     }
+    good = F.coalesce(c("status").isin("downloaded", "imported"), F.lit(False))
+    tests["hash_form"] = F.coalesce(F.nullif(c("sha256"), F.lit("")).rlike("^[0-9a-f]{64}$"), ~good)
+    done = {"size_not_negative": c("size_bytes") >= 0, "count_not_negative": c("record_count") >= 0}
+    tests |= {n: ~good | F.coalesce(t, F.lit(False)) for n, t in done.items()} | {"error_described": (c("status") != "error") | F.coalesce(c("error_message") != "", F.lit(False))}
     if secret:
-        tests["no_secret"] = ~F.contains(F.to_json(F.struct(*[F.col(x) for x in MANIFEST.names])), F.lit(secret))
+        whole = F.to_json(F.struct(*[F.col(x) for x in MANIFEST.names]))
+        tests["no_secret"] = ~(F.contains(whole, F.lit(secret)) | F.contains(whole, F.lit(quote(secret, safe=""))))
     return violations(manifests.withColumn("__key", F.concat_ws("|", "source", c("start_date").cast("string"))), "__key", tests)
 
 
+def split_availability(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable rows of read_availability, and (data_id, problem) of the others; rows without an id are left out, as the format allows."""
+    named = rows.where(F.coalesce(F.col("data_id") != "", F.lit(False)))
+    problem = F.when(F.col("min_date").isNull() | F.col("max_date").isNull(), "no_date").when(F.col("min_date") > F.col("max_date"), "inverted_interval")
+    return named.where(problem.isNull()), named.select("data_id", problem.alias("problem")).where("problem is not null")
+
+
 def read_availability(spark: SparkSession, path: str) -> DataFrame:
     """(data_id, min_date, max_date) of a CSV; ids in capitals."""
     raw = spark.read.option("header", True).schema("data_id string, min_date string, max_date string").csv(path)
@@ -125,7 +147,7 @@ BOUNDARY = T.StructType([
 ])
 
 
-def read_boundaries(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+def read_boundaries(spark: SparkSession, path: str, name: str | None = None, lines: bool = False) -> DataFrame:
     """(feature, crs, coordinates) of GeoJSON features: a collection, a feature or a bare geometry; polygons become multipolygons.
 
     ``name`` picks the feature with that label, accents and case aside; a file with one feature needs none.
@@ -133,7 +155,7 @@ def read_boundaries(spark: SparkSession, path: str, name: str | None = None) ->
     """
     from emberline.functions.clean import label_key
 
-    docs = spark.read.schema(BOUNDARY).option("multiLine", True).json(path)
+    docs = read_documents(spark, path, BOUNDARY, lines)
     # "type" of a bare geometry is the document's own; nested objects arrive as JSON text.
     bare = F.to_json(F.struct("type", F.from_json("coordinates", F.lit("array<array<array<double>>>")).alias("coordinates")))
     features = F.coalesce("features", F.array(F.struct(F.lit("Feature").alias("type"), F.col("properties"), F.coalesce("geometry", bare).alias("geometry"))))
@@ -145,17 +167,42 @@ def read_boundaries(spark: SparkSession, path: str, name: str | None = None) ->
     return out.where(label_key(F.col("feature")) == label_key(F.lit(name))) if name is not None else out
 
 
-def read_incidents(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_incidents(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
     """Incidents, their anchors, sources and area claims, from one nested JSON registry."""
     anchor = "struct<anchor_id:string,latitude:double,longitude:double>"
     source = "struct<source_id:string,title:string,url:string>"
     claim = "struct<source_id:string,hectares:double>"
-    docs = spark.read.schema(f"incidents array<struct<incident_id:string,name:string,anchors:array<{anchor}>,sources:array<{source}>,claims:array<{claim}>>>").option("multiLine", True).json(path)
+    docs = read_documents(spark, path, f"incidents array<struct<incident_id:string,name:string,anchors:array<{anchor}>,sources:array<{source}>,claims:array<{claim}>>>", lines)
     rows = docs.select(F.explode("incidents").alias("i")).select("i.*")
     part = lambda c: rows.select("incident_id", F.explode(c).alias("x")).select("incident_id", "x.*")
     return {"incidents": rows.select("incident_id", "name"), "anchors": part("anchors"), "sources": part("sources"), "claims": part("claims")}
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Frozen events of a CSV as text columns, which event_violations() checks before they are typed."""
+    return spark.read.option("header", True).csv(path)
+
+
+def event_violations(rows: DataFrame, configuration: str, numbers: list[str], flags: list[str]) -> DataFrame:
+    """(check, key, message) of frozen events: one configuration, ids there and unique, intervals in order, numbers finite, flags true or false."""
+    from emberline.functions import clean
+    from emberline.operators.quality import repeated_keys, violations
+
+    start, end = (clean.zoned_timestamp(F.col(c)) for c in ("start_timestamp_utc", "end_timestamp_utc"))
+    tests = {"one_configuration": F.coalesce(F.col("configuration_id") == configuration, F.lit(False)), "id_present": F.coalesce(F.trim("event_id") != "", F.lit(False)), "interval_in_order": F.coalesce(start <= end, F.lit(False))}
+    tests |= {f"{c}_is_number": clean.number(F.col(c)).isNotNull() for c in numbers} | {f"{c}_is_flag": clean.strict_bool(F.col(c)).isNotNull() for c in flags}
+    return violations(rows, "event_id", tests).unionByName(repeated_keys(rows.where("trim(event_id) <> ''"), ["event_id"], "repeated_event"))
+
+
+def read_key_set(spark: SparkSession, path: str, key: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """The distinct ids of a CSV, and (check, key, message) of empty and repeated ones."""
+    from emberline.operators.quality import repeated_keys, violations
+
+    rows = spark.read.option("header", True).csv(path).select(F.coalesce(F.trim(key), F.lit("")).alias(key))
+    broken = violations(rows, key, {"id_present": F.col(key) != ""}).unionByName(repeated_keys(rows.where(F.col(key) != ""), [key], "repeated_id"))
+    return rows.where(F.col(key) != "").distinct(), broken
+
+
 def csv_cells(rows: DataFrame, columns: list[str]) -> DataFrame:
     """All columns as text in a fixed order: null empty, true/false, doubles trimmed to 8 digits, nested as JSON."""
     kinds = {f.name: f.dataType for f in rows.schema.fields}

@@ -193,12 +193,15 @@ def test_boundaries_manifests_registry(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"type": "Polygon", "coordinates": [ring]}))
     bare = files.read_boundaries(spark, str(tmp_path / "p.json"))
     assert bare.first().crs is None and polygons.geojson_edges(bare).count() == 4
-    good = {"source": "S", "start_date": "2025-01-01", "end_date": "2025-01-05", "status": "downloaded", "sha256": "0" * 64, "size_bytes": 5, "record_count": 1, "raw_filename": "f", "bbox": [1, 2, 3, 4], "error_message": None}
+    good = dict.fromkeys(files.MANIFEST.names, "x") | {"source": "S", "start_date": "2025-01-01", "end_date": "2025-01-05", "status": "downloaded", "sha256": "0" * 64, "size_bytes": 5, "record_count": 1, "raw_filename": "f", "bbox": [1, 2, 3, 4], "error_message": None}
     (tmp_path / "m").mkdir()
     (tmp_path / "m/1.json").write_text(json.dumps(good))
     (tmp_path / "m/2.json").write_text(json.dumps(good | {"status": "odd", "sha256": "xyz", "bbox": [1], "error_message": "key S3CRET"}))
     checks = {r.check for r in files.manifest_violations(files.read_manifests(spark, str(tmp_path / "m")), "S3CRET").collect()}
     assert checks == {"status_code", "hash_form", "bbox_has_four", "no_secret"}
+    (tmp_path / "m/3.json").write_text(json.dumps({k: v for k, v in good.items() if k != "area"} | {"sha256": None, "size_bytes": -1, "url_sanitized": "?k=S3C%2FRET"}))
+    checks = sorted(r.check for r in files.manifest_violations(files.read_manifests(spark, str(tmp_path / "m/3.json")), "S3C/RET").collect())
+    assert checks == ["all_fields", "hash_form", "no_secret", "size_not_negative"]
     registry = {"incidents": [{"incident_id": "i1", "name": "n", "anchors": [{"anchor_id": "a", "latitude": 8.5, "longitude": -80.4}], "sources": [{"source_id": "s", "title": "t", "url": "u"}], "claims": [{"source_id": "s", "hectares": 10.0}, {"source_id": "s", "hectares": 12.0}]}]}
     (tmp_path / "r.json").write_text(json.dumps(registry))
     parts = files.read_incidents(spark, str(tmp_path / "r.json"))
