@@ -12,7 +12,7 @@ from emberline.plans.file_plans import _folder
 from emberline.plans.raster_plans import _mask, _mask_rows
 from emberline.plans.scene_plans import SCENES, _events_of, scene_events
 from emberline.runtime import cut, read_table
-from emberline.sources import files
+from emberline.sources import files, stores
 
 BOOK = Book()
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles
@@ -248,3 +248,18 @@ def catalog_windows(spark, sf_dir):
 def secret_redaction(spark, sf_dir):
     url = F.col("url")
     return read_table(spark, sf_dir, "pages").select("page_id", clean.redact_url(url, "example").alias("raw"), clean.redact_url(clean.redact_url(F.concat(url, F.lit("?map=a%2Fb")), "a/b"), "example").alias("encoded"))
+
+
+@BOOK.query("""WITH i AS (SELECT DISTINCT o_clerk_like AS id FROM (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS o_clerk_like FROM orders)), l AS (SELECT substr(sha256(id), 1, 2) AS leaf, sha256(string_agg(id, chr(10) ORDER BY id)) AS h, count(*) AS n FROM i GROUP BY 1)
+SELECT sha256(string_agg(leaf || ' ' || h, chr(10) ORDER BY leaf)) AS sha256, count(*) AS leaves, CAST(sum(n) AS BIGINT) AS ids FROM l""")
+def set_tree(spark, sf_dir):
+    return files.set_tree(read_table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id")), "id", 2)
+
+
+@BOOK.query("""WITH l AS (SELECT 'line ' || CAST(o_orderkey AS VARCHAR) || repeat('x', CAST(o_orderkey % 90 AS INTEGER)) AS value FROM orders) SELECT row_number() OVER (ORDER BY value) - 1 AS n, value FROM l""")
+def numbered_lines(spark, sf_dir):
+    """One text file, read back in ranges of 10,000 bytes."""
+    root, k = _folder(spark), F.col("o_orderkey")
+    lines = read_table(spark, sf_dir, "orders").select(F.concat(F.lit("line "), k.cast("string"), F.repeat(F.lit("x"), (k % 90).cast("int"))).alias("value"))
+    lines.orderBy("value").coalesce(1).write.text(root)
+    return stores.numbered_lines(spark, root, 10_000).select("n", "value")

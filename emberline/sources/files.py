@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.functions.clean import trimmed_float
+from emberline.sources.stores import digests, numbered_lines, publish
 
 # The fields of a detection file and the headers they may go by.
 FIELDS = {
@@ -45,10 +46,9 @@ def resolve_header(headers: list[str]) -> tuple[dict[str, int], str | None]:
 
 
 def file_table(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, size_bytes, looks_like_html) of whole files."""
-    files = spark.read.format("binaryFile").load(path)
-    start = F.lower(F.ltrim(F.decode(F.substring("content", 1, 64), "UTF-8")))
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), (start.startswith("<html") | start.startswith("<!doctype html")).alias("looks_like_html"))
+    """(path, sha256, size_bytes, looks_like_html) of whole files, of any size."""
+    start = F.lower(F.ltrim(F.decode("head", "UTF-8")))
+    return digests(spark, path).select("path", "sha256", "size_bytes", (start.startswith("<html") | start.startswith("<!doctype html")).alias("looks_like_html"))
 
 
 def scan_detection_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -56,11 +56,10 @@ def scan_detection_files(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
 
     The distinct header lines, few and short, are resolved on the driver; rows are split once in
     Spark and pick their fields by their own file's header. ``source_row_number`` counts from 1
-    within a file; ``detection_id`` hashes file, content hash and row number.
+    within a file; ``detection_id`` hashes file, content hash and row number. Files are read by
+    byte ranges, so one of any size is many tasks' work.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"))
-    order = Window.partitionBy("path").orderBy("__b", "__i")
-    numbered = lines.where("trim(value) <> ''").withColumn("n", F.row_number().over(order) - 1)
+    numbered = numbered_lines(spark, path)
     heads = numbered.where("n = 0").select("path", F.col("value").alias("header"))
     known = []
     for r in heads.select("header").distinct().collect():  # a line per distinct header
@@ -248,21 +247,35 @@ def fingerprint(rows: DataFrame) -> tuple[int, int, int]:
     return r["n"], int(r["a"]), int(r["b"])
 
 
+def set_tree(rows: DataFrame, key: str, digits: int = 3) -> DataFrame:
+    """(sha256, leaves, ids): the root of a hash tree over the distinct ids, for sets of any size.
+
+    A leaf holds the ids whose own hash begins with the same ``digits`` hex digits; its hash is that of
+    its sorted ids, one a line, and the root hashes the leaves' prefixes and hashes in order. A leaf has
+    a share of 16 ** -digits of the ids, the root at most 16 ** digits lines.
+    """
+    ids = rows.select(F.col(key).cast("string").alias("id")).where("id is not null").distinct()
+    leaves = ids.groupBy(F.substring(F.sha2("id", 256), 1, digits).alias("leaf")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "leaf", "h"))), "\n")
+    return leaves.agg(F.sha2(lines, 256).alias("sha256"), F.count(F.lit(1)).alias("leaves"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids"))
+
+
 def set_fingerprint(rows: DataFrame, key: str) -> DataFrame:
-    """(sha256): hash of the sorted distinct ids, one a line, for sets that fit a cell; for any size use fingerprint()."""
+    """(sha256): hash of the sorted distinct ids, one a line, for sets that fit a cell; for any size use set_tree()."""
     return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(key).cast("string"))), "\n"), 256).alias("sha256"))
 
 
 def write_once(rows: DataFrame, path: str) -> str:
-    """Write, or accept what is there if it has the same rows; anything else is an error."""
+    """Write, or accept what is there if it has the same rows; anything else is an error. Of writers at once one wins."""
     spark = rows.sparkSession
     try:
         old = spark.read.parquet(path)
     except Exception as e:  # the path does not exist yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        rows.write.mode("errorifexists").parquet(path)
-        return "written"
+        if publish(rows, path):
+            return "written"
+        old = spark.read.parquet(path)
     if sorted(old.columns) == sorted(rows.columns) and fingerprint(old) == fingerprint(rows):
         return "same"
     raise ValueError(f"{path} holds other rows")
