@@ -121,7 +121,11 @@ def public_contract(spark, sf_dir):
     return quality.public_checks(read_table(spark, sf_dir, "events"), "event_id", {"value": (0.0, 300.0)}, {"event_type": ("click", "view", "purchase", "signup")}).select("check", "key")
 
 
-@BOOK.query()
+@BOOK.query(f"""WITH {PIXELS}, g AS (SELECT row, col, avg(b8) AS v FROM px GROUP BY ALL),
+p AS (SELECT c_custkey AS k, c_custkey % 7 - i AS down, c_custkey % 6 + 0.5 + j AS right_ FROM customer, range(-2, 3) a(i), range(-2, 3) b(j)),
+f AS (SELECT k, CAST(greatest(0, least(7, down)) AS DOUBLE) AS fr, CAST(greatest(0, least(7, right_)) AS DOUBLE) AS fc FROM p), c AS (SELECT *, least(floor(fr), 6) AS r0, least(floor(fc), 6) AS c0 FROM f),
+v AS (SELECT k, (1 - fr + r0) * ((1 - fc + c0) * a.v + (fc - c0) * b.v) + (fr - r0) * ((1 - fc + c0) * d.v + (fc - c0) * e.v) AS v FROM c JOIN g a ON a.row = r0 AND a.col = c0 JOIN g b ON b.row = r0 AND b.col = c0 + 1 JOIN g d ON d.row = r0 + 1 AND d.col = c0 JOIN g e ON e.row = r0 + 1 AND e.col = c0 + 1)
+SELECT k, round(max(v) - min(v), 6) AS relief FROM v GROUP BY k""")
 def relief_ranges(spark, sf_dir):
     grid = pixels(spark, sf_dir).groupBy("row", "col").agg(F.avg("b8").alias("value"))
     points = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.lit(0.0) - F.col("c_custkey") % 7).alias("lat"), (F.col("c_custkey") % 6 + 0.5).alias("lon"))

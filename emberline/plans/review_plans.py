@@ -241,7 +241,9 @@ def provenance_contract(spark, sf_dir):
     return review.provenance_violations(rows).select("check", "key")
 
 
-@BOOK.query()
+@BOOK.query("""WITH d AS (SELECT slot, 'c' || CAST(c_custkey AS VARCHAR) AS event_id FROM customer, (VALUES ('A'), ('B')) t(slot)), h AS (SELECT *, sha256('round1' || chr(0) || 'p1' || chr(0) || slot || chr(0) || '77' || chr(0) || event_id) AS digest FROM d),
+r AS (SELECT slot, event_id, row_number() OVER (PARTITION BY slot ORDER BY digest, event_id) AS n FROM h)
+SELECT 'payload_hash' AS "check", slot || ':' || event_id AS key, 'violates payload_hash' AS message FROM r WHERE n % 50 = 0 UNION ALL SELECT 'repeated_order', slot || ':' || CAST(n - 1 AS VARCHAR), 'violates repeated_order' FROM r WHERE n % 50 = 0""")
 def assignment_contract(spark, sf_dir):
     items = read_table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("event_id"))
     rows = sampling.blind_order(items, ["A", "B"], 77, "round1", "p1").withColumn("payload_sha256", review.payload_hash("slot", "order", "event_id"))

@@ -226,7 +226,7 @@ pol AS (
   SELECT l.dimension, l.value, l.rule_id, l.combination_id, l.buffer_m, l.window_id, count(*) AS events, count(*) FILTER (good) AS usable_pairs, count(*) FILTER (good AND w.n = 1) AS exclusive, count(*) FILTER (good AND NOT base) AS rescued,
     coalesce(any_value(envn), 0) - count(*) FILTER (good AND env.event_id IS NOT NULL) AS lost,
     median(pre_coverage) FILTER (good) AS c1, median(post_coverage) FILTER (good) AS c2, median(pre_clear) FILTER (good) AS q1, median(post_clear) FILTER (good) AS q2, median(pre_gap_days) FILTER (good) AS g1, median(post_gap_days) FILTER (good) AS g2,
-    quantile_cont(CAST(pre_clear AS DOUBLE), 0.1) FILTER (good) AS p1, quantile_cont(CAST(post_clear AS DOUBLE), 0.1) FILTER (good) AS p2, quantile_cont(pre_gap_days, 0.9) FILTER (good) AS n1, quantile_cont(post_gap_days, 0.9) FILTER (good) AS n2,
+    quantile_cont(CAST(pre_coverage AS DOUBLE), 0.1) FILTER (good) AS k1, quantile_cont(CAST(post_coverage AS DOUBLE), 0.1) FILTER (good) AS k2, quantile_cont(CAST(pre_clear AS DOUBLE), 0.1) FILTER (good) AS p1, quantile_cont(CAST(post_clear AS DOUBLE), 0.1) FILTER (good) AS p2, quantile_cont(pre_gap_days, 0.9) FILTER (good) AS n1, quantile_cont(post_gap_days, 0.9) FILTER (good) AS n2,
     count(DISTINCT pre_scene) FILTER (good) AS distinct_pre, CAST(sum(pre_scenes) + sum(post_scenes) AS BIGINT) AS inventory_rows
   FROM long l JOIN ways w USING (dimension, value, rule_id, event_id) LEFT JOIN env USING (dimension, value, rule_id, event_id) LEFT JOIN (SELECT dimension, value, rule_id, count(*) AS envn FROM env GROUP BY ALL) USING (dimension, value, rule_id) GROUP BY ALL)"""
 
@@ -237,7 +237,14 @@ def policy_matrix(spark, sf_dir):
     return _rounded(out.select("dimension", "value", "rule_id", "combination_id", "events", "usable_pairs", "exclusive", "rescued", "lost", "pre_coverage_median", "post_clear_median", "pre_gap_days_median", "pre_clear_p10", "post_gap_days_p90", "distinct_pre", "inventory_rows"))
 
 
-@BOOK.query()
+_hi, _lo = (lambda c: f"coalesce(CAST({c} AS DOUBLE), 'inf'::DOUBLE)"), (lambda c: f"coalesce(CAST({c} AS DOUBLE), '-inf'::DOUBLE)")
+_place = f"""-usable_pairs AS a, lost AS b, {_hi("g1")} + {_hi("g2")} AS c, {_hi("n1")} + {_hi("n2")} AS d, -least({_lo("p1")}, {_lo("p2")}) AS e, -least({_lo("k1")}, {_lo("k2")}) AS f, -({_lo("q1")} + {_lo("q2")}) AS g, -({_lo("c1")} + {_lo("c2")}) AS h,
+  buffer_m AS i, (buffer_m / 500.0) ** 2 * (CAST(regexp_extract(window_id, 'pre(\\d+)', 1) AS INTEGER) + CAST(regexp_extract(window_id, 'post(\\d+)', 1) AS INTEGER)) / 75.0 AS j"""
+
+
+@BOOK.query(f"""{_pol}, r AS (SELECT dimension, value, rule_id, combination_id, window_id, {_place} FROM pol)
+SELECT dimension, value, rule_id, combination_id, CAST(row_number() OVER (s ORDER BY a, b, c, d, e, f, g, h, i, j, window_id, combination_id) AS INTEGER) AS rank, CAST(rank() OVER (s ORDER BY a, b, c, d, e, f, g, h, i, j) AS INTEGER) AS rank_group,
+  count(*) OVER (PARTITION BY dimension, value, rule_id, a, b, c, d, e, f, g, h, i, j) AS tie_size, row_number() OVER (s ORDER BY a, b, c, d, e, f, g, h, i, j, window_id, combination_id) = 1 AS is_best FROM r WINDOW s AS (PARTITION BY dimension, value, rule_id)""")
 def policy_rank(spark, sf_dir):
     out = policy.ranked_policies(policy.policy_matrix(_matrix(spark, sf_dir), ["segment"]))
     return out.select("dimension", "value", "rule_id", "combination_id", "rank", "rank_group", "tie_size", "is_best")
