@@ -65,7 +65,7 @@ class Spans:
             sums = np.zeros(n + 1, np.uint64)
             own = sums[1:]
             small = values.dtype.itemsize < 4  # below every prime already
-            np.multiply(values if small else values % powers.prime, up[:n], out=own)
+            np.multiply(values if small else values % powers.prime, up[:n], out=own, dtype=np.uint64)
             own %= powers.prime
             np.cumsum(own, out=own)
             self.parts.append((powers.prime, down, sums))

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.llm import nearjoin, passages, suffixes, vectors
+from emberline.llm import nearjoin, passages, rolling, suffixes, vectors
 from emberline.llm.registry import QUERIES
 from emberline.llm.rolling import TIE
 from emberline.operators.components import spanning_roots
@@ -75,6 +75,17 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.n_links) for r in near) == [(0, 2), (1, 2), (1, 2)]
 
 
+def test_equal_spans_have_equal_hashes_wherever_they_stand():
+    rng = np.random.default_rng(4)
+    text = rng.integers(0, 256, 300, dtype=np.uint8)
+    for values in (rolling.byte_values(text), rng.integers(0, 1 << 64, 300, dtype=np.uint64)):
+        for second in (False, True):
+            alone = rolling.Spans(values, second).every(20)
+            late = rolling.Spans(np.concatenate([values[:77], values]), second)
+            assert (late.every(20)[77:] == alone).all() and (late.at(np.arange(77, 358), np.arange(97, 378)) == alone).all()
+            assert len(np.unique(alone)) == len(alone) and (alone != rolling.Spans(values, not second).every(20)).all()
+
+
 def plain_factors(texts):
     """For each position of texts laid end to end, the longest match that starts earlier; matches end with their texts."""
     suffixes_ = [t[i:] for t in texts for i in range(len(t))]
