@@ -89,7 +89,7 @@ def _sketch(width: int):
 
 
 def _enter(first: int, last: int):
-    """Every class into the first node of the runs from ``first`` to before ``last``; ``used`` has a bit for each token of the path."""
+    """Every class into the first node of the runs from ``first`` to before ``last``; ``used`` has a bit for each token of the path, ``own`` is the class's cluster so far."""
     chosen = np.random.default_rng(11).permutation(TOKENS)[first:last].astype(np.uint64)
 
     def run(batches):
@@ -98,8 +98,8 @@ def _enter(first: int, last: int):
             nodes = np.stack([scramble(tokens[:, int(c)].astype(np.uint64) | ((c + np.uint64(1)) << np.uint64(40))) for c in chosen])
             used = np.repeat(np.uint64(1) << chosen, batch.num_rows)
             runs = np.repeat(np.arange(first, last, dtype=np.int32), batch.num_rows)
-            rep = pa.array(np.tile(batch.column("rep").to_numpy(), len(chosen)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(used.view(np.int64)), pa.array(runs), rep, rep], names=["node", "used", "run", "rep", "own"])
+            rep, own = (pa.array(np.tile(batch.column(c).to_numpy(), len(chosen))) for c in ("rep", "own"))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(used.view(np.int64)), pa.array(runs), rep, own], names=["node", "used", "run", "rep", "own"])
 
     return run
 
@@ -139,6 +139,18 @@ def _split(similarity: float, floor: float):
     return run
 
 
+def _to_pivot(floor: float):
+    """Links (src, dst) of the members of crowded nodes that pass with their node's smallest member."""
+
+    def run(batches):
+        for batch in batches:
+            tokens, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, TOKENS) for c in ("tokens", "pivot"))
+            near = pa.array(np.flatnonzero((tokens == pivot).mean(axis=1) >= floor))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(near) for c in ("rep", "low")], names=["src", "dst"])
+
+    return run
+
+
 def _binomial(n: int, p: float) -> np.ndarray:
     return np.array([math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)])
 
@@ -231,22 +243,46 @@ def candidate_clusters(sketches: DataFrame, similarity: float, runs: int, limit:
     def many(frames: list[DataFrame]) -> DataFrame:
         return functools.reduce(DataFrame.unionByName, frames)
 
-    entered = cut(sketches.mapInArrow(_enter(0, runs), _ENTERED))
+    def over(rows: DataFrame, n: int) -> DataFrame:
+        """(rep, crowded) of the classes with too many of their ``n`` first nodes in ``rows``, the crowded ones."""
+        return cut(rows.groupBy("rep").agg(F.count(F.lit(1)).cast("int").alias("crowded")).where(F.col("crowded") > most_crowded(similarity, n, recall)))
+
+    def clusters() -> DataFrame:
+        links[:] = [cut(many(links))]
+        return component_roots(links[0]).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+
+    entered = cut(sketches.withColumn("own", F.col("rep")).mapInArrow(_enter(0, runs), _ENTERED))
     small, crowded = meet(entered)
     links = [brute(small, sketches)]
-    count = lambda: crowded.groupBy("rep").agg(F.count(F.lit(1)).cast("int").alias("crowded"))
-    short = cut(count().where(F.col("crowded") > most_crowded(similarity, runs, recall)).select("rep"))
+    short = over(crowded, runs)
     if short.isEmpty():
         return component_roots(many(links))
+    # Near copies of one text crowd the same nodes: links to a node's smallest member make most of them one cluster; the few others are compared with all, piece by piece.
     tokens = cut(sketches.join(short, "rep", "left_semi"))
+    crowded = cut(crowded.join(short, "rep", "left_semi").select("node", "used", "run", "rep"))
+    pivots = crowded.groupBy("node").agg(F.min("rep").alias("low")).join(tokens.select(F.col("rep").alias("low"), F.col("tokens").alias("pivot")), "low")
+    links.append(crowded.join(cut(pivots), "node").join(tokens, "rep").select("rep", "low", "tokens", "pivot").mapInArrow(_to_pivot(floor), "src long, dst long"))
+    crowded = cut(crowded.join(clusters(), "rep", "left").select("node", "used", "run", "rep", F.coalesce("cluster", "rep").alias("own")))
+    sizes = crowded.groupBy("node", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "own")).alias("most"))
+    # Nodes that one cluster fills have no more to give.
+    sizes = cut(sizes.select("node", F.ceil(F.col("n") / limit).alias("pieces"), F.col("most.own").alias("main"), (F.col("n") - F.col("most.n")).alias("others")).where("others > 0"))
+    placed = cut(crowded.join(sizes, "node"))
+    at = F.when(F.col("own") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), "pieces"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
+    links.append(brute(placed.where(F.col("others") <= limit).select("node", "rep", F.explode(at).alias("piece")).select(F.xxhash64("node", "piece").alias("node"), "rep"), tokens))
+    crowded = placed.where(F.col("others") > limit).select("node", "used", "run", "rep", "own")
+    short = over(crowded, runs)
+    if short.isEmpty():
+        return component_roots(many(links))
+    roots = clusters()
+    tokens = cut(tokens.join(short, "rep", "left_semi").join(roots, "rep", "left").select("rep", "tokens", F.coalesce("cluster", "rep").alias("own")))
     small, more = meet(cut(tokens.mapInArrow(_enter(runs, TOKENS), _ENTERED)))
+    tokens = tokens.drop("own")
     links.append(brute(small, tokens))
-    crowded = crowded.unionByName(more)
-    short = cut(count().where(F.col("crowded") > most_crowded(similarity, TOKENS, recall)))
+    crowded = crowded.unionByName(more.drop("n", "low"))
+    short = over(crowded, TOKENS)
     first, last, split, paths = 0, runs, [], []
     while first < TOKENS and not short.isEmpty():
-        links = [cut(many(links))]
-        roots = component_roots(links[0]).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+        roots = clusters()
         rows = crowded.where((F.col("run") >= first) & (F.col("run") < last)).join(short.select("rep"), "rep", "left_semi").join(roots, "rep", "left")
         # Nodes that one cluster fills by now are left aside, but their paths count as split.
         rows = cut(rows.select("node", "used", "rep", F.coalesce("cluster", "own").alias("own")))

@@ -202,6 +202,44 @@ def test_near_join_finds_pairs_in_crowded_nodes(spark):
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(400)) >= 399
 
 
+def entered_runs(monkeypatch):
+    """The first runs of the calls in which classes enter nodes, as they come."""
+    calls, enter = [], nearjoin._enter
+    monkeypatch.setattr(nearjoin, "_enter", lambda first, last: calls.append(first) or enter(first, last))
+    return calls
+
+
+def test_a_large_group_of_near_copies_enters_few_nodes(spark, monkeypatch):
+    """Nodes that near copies and a few others crowd are settled in place; before, all classes of the group entered the nodes of all 64 tokens."""
+    calls, rng = entered_runs(monkeypatch), random.Random(12)
+    base = [f"w{rng.randrange(9999)}" for _ in range(200)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for _ in range(rng.randint(0, 4) if i % 20 else 12):
+            words[rng.randrange(200)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = nearjoin.near_duplicate_documents(docs, limit=48).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute.near(rows)
+    assert calls == [0]
+
+
+def test_others_in_a_crowded_node_meet_all_its_classes(spark, monkeypatch):
+    """101 passes with 100 only, and in the ten runs they meet in crowded nodes alone."""
+    calls, rng = entered_runs(monkeypatch), np.random.default_rng(5)
+    order = np.random.default_rng(11).permutation(nearjoin.TOKENS)
+    tokens = rng.integers(1000, 1 << 32, (102, nearjoin.TOKENS), dtype=np.uint32)
+    for i in range(100):
+        tokens[i, order[:60]] = order[:60]
+    tokens[100, order[:44]] = order[:44]
+    tokens[101, order[:30]] = order[:30]
+    tokens[101, order[44:]] = tokens[100, order[44:]]
+    sketches = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(tokens)], "rep long, tokens binary")
+    got = {r.id: r.component for r in nearjoin.candidate_clusters(sketches, 0.8, 10, 16).collect()}
+    assert got == {i: 0 for i in range(1, 102)} and calls == [0]
+
+
 @pytest.mark.parametrize("operator", [passages.remove_repeated_windows, suffixes.remove_repeated_strings, nearjoin.near_duplicate_documents])
 def test_empty_documents(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
