@@ -8,7 +8,9 @@ tokens that it chooses among those its path has not used, into as many children
 the threshold together in expectation.
 
 How many of a class's paths went through crowded nodes bounds the chance that a pair at the
-threshold was missed in all its runs. Classes for which this chance is above 1 - ``recall`` first
+threshold was missed in all its runs. For classes for which this chance is above 1 - ``recall``,
+links to the smallest member and a comparison of the few members outside a node's main cluster with
+all of the node settle the nodes that near copies crowd. Classes that are still above it then first
 enter the nodes of all other tokens, which settles those with some tokens of their own, and then
 split their crowded nodes, first those of ``runs`` runs, then, where the bound asks for it, those of
 all tokens; a pair is safe as soon as one of its two is. Nodes whose classes are in one cluster already have nothing more to give. Nodes
