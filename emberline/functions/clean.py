@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -157,16 +160,16 @@ def json_cell(c: Column, fallback: str = "[]") -> tuple[Column, Column]:
 
 
 def general_float(c: Column, digits: int = 15) -> Column:
-    """A number in its shortest form of at most ``digits`` significant digits, as %g writes it; empty for null or non-finite."""
-    shown = F.format_string(f"%.{digits - 1}e", c)
-    power = F.regexp_extract(shown, r"e([+-]\d+)$", 1).cast("int")
-    plain = F.format_string("%s", c.cast("decimal(38,18)").cast("string"))
-    short = lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(F.regexp_replace(x, "0+$", ""), r"\.$", "")).otherwise(x)
-    mantissa = short(F.regexp_extract(shown, r"^(-?[0-9.]+)e", 1))
-    small = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    fixed = F.coalesce(*[F.when(power == k, short(F.format_string(f"%.{max(0, digits - 1 - k)}f", c))) for k in range(-4, digits)], short(plain))
-    out = F.when(c == 0, "0").when((power < -4) | (power >= digits), small).otherwise(fixed)
-    return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), out).otherwise("")
+    """A number in its shortest form of at most ``digits`` significant digits, as %g writes it; empty for null or non-finite.
+
+    Python rounds the exact binary value, as C does; Java's formatter rounds its shortest decimal form once more.
+    """
+
+    @F.pandas_udf("string")
+    def shown(v: pd.Series) -> pd.Series:
+        return pd.Series([f"{x + 0.0:.{digits}g}" if math.isfinite(x) else "" for x in v.tolist()], dtype=object)
+
+    return shown(c.cast("double"))
 
 
 def trimmed_float(c: Column, digits: int = 8) -> Column:

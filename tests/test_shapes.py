@@ -105,3 +105,11 @@ def test_total_order_and_cells(spark):
     cells = ['{"b": 1, "a": [1, null]}', "[]", "null", '"x"', "", "{", "1 2", '1,"w":2', '1,"v":2', "1}", "[1]]", None]
     got = [(r.j, r.ok) for r in spark.createDataFrame([(c,) for c in cells], "c string").select(*[x.alias(n) for x, n in zip(clean.json_cell(F.col("c")), ("j", "ok"))]).collect()]
     assert got == [('{"a":[1,null],"b":1}', True), ("[]", True), ("null", True), ('"x"', True)] + [("[]", False)] * 8
+
+
+def test_floats_between_two_short_forms_round_by_their_exact_value(spark):
+    from emberline.functions import clean
+
+    values = [296.35 / 3, 258.85 / 3, 283.6 / 3, 0.1234567890123455, 123456789012345.5, 12345678901234.25]
+    got = [r.t for r in spark.createDataFrame([(v,) for v in values], "v double").select(clean.general_float(F.col("v")).alias("t")).collect()]
+    assert got == [f"{v:.15g}" for v in values] and got[0] == "98.7833333333333"
