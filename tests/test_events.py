@@ -50,6 +50,12 @@ def test_edges_match_all_pairs(spark):
     assert got == expected
 
 
+def test_edges_of_equal_times_and_on_cell_borders(spark):
+    rows = [row(f"d{i}", 2800.0 * i, y, h) for i, (y, h) in enumerate([(0, 0), (0, 0), (2800, 0), (2800, 32), (-1.5, 40), (-1.5, 40)])] + [row("d0", 0, 0, 0)]
+    got = sorted((r.src, r.dst) for r in space_time_edges(frame(spark, rows), 2800, 8).collect())
+    assert got == [("d0", "d1"), ("d0", "d1"), ("d4", "d5")]
+
+
 def test_summary_and_flags(spark):
     rows = [row("a", p=2, h=-4), row("b", 100, p=4, h=8, s="VIIRS_SNPP_SP"), row("z", 9000)]
     grid = [E.Setting(375, 24)]
@@ -143,3 +149,12 @@ def test_a_crowded_place_has_one_edge_for_each_point(spark):
     points = spark.range(200_000).select(F.format_string("d%07d", "id").alias("detection_id"), (F.col("id") % 97).cast("double").alias("x_m"), (F.col("id") % 89).cast("double").alias("y_m"), F.timestamp_seconds(F.col("id") % 5000 * 60).alias("ts"))
     edges = linking_edges(points, 375, 1500, 6)
     assert edges.count() == 199_999
+
+
+def test_edges_are_never_a_broadcast(spark, sf):
+    """Spark takes the spread side for as small as its file; a million rows then filled the driver."""
+    from emberline.plans.base import detections
+
+    edges = space_time_edges(detections(spark, sf), 1500, 6)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
