@@ -45,6 +45,42 @@ def catalog_in_windows(windows: DataFrame, catalog: DataFrame, days: int = 30) -
     return spread.join(catalog.withColumn("__block", block(F.col("acquired_at"))), ["tile", "__block"]).where(F.col("acquired_at").between(F.col("opens"), F.col("closes"))).drop("__block")
 
 
+#: Micros of a day, and how often days are joined to spans of twice the length.
+DAY, LEVELS = 86_400_000_000, 8
+
+
+def catalog_counts(windows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``windows`` (tile, opens, closes) in which a shared catalog (tile, acquired_at, scene_id) has scenes, plus scenes, their number, and first_scene, the least id.
+
+    No scene is listed by window. Equal windows and equal times count once; the whole days of a window
+    are at most two spans of each length 1, 2, 4 ... days, and only its first and last day meet times.
+    """
+    t, opens, closes = (F.unix_micros(c) for c in ("acquired_at", "opens", "closes"))
+    sums = [F.sum("n").alias("n"), F.min("first").alias("first")]
+    times = catalog.groupBy("tile", t.alias("t")).agg(F.count(F.lit(1)).alias("n"), F.min("scene_id").alias("first")).where("t is not null")
+    day = lambda c: F.floor(c / DAY)
+    spans = windows.select("tile", opens.alias("o"), closes.alias("c")).where("o <= c").distinct()
+    # Whole days from a to before b.
+    spans = spans.withColumns({"a": -day(-F.col("o")), "b": day(F.col("c") + 1)})
+    key = ["tile", "o", "c"]
+    ends = F.filter(F.array_distinct(F.array(day(F.col("o")), day(F.col("c")))), lambda d: (d < F.col("a")) | (d >= F.col("b")))
+    at_ends = spans.select(*key, F.explode(ends).alias("day")).hint("merge").join(times.withColumn("day", day(F.col("t"))), ["tile", "day"]).where(F.col("t").between(F.col("o"), F.col("c")))
+
+    def spans_of(level: int) -> Column:
+        low, high = F.ceil(F.col("a") / 2**level), F.floor(F.col("b") / 2**level)
+        some = F.array_compact(F.array(F.when(low % 2 != 0, low), F.when(high % 2 != 0, high - 1))) if level < LEVELS else F.sequence(low, high - 1)
+        return F.when(low < high, F.transform(some, lambda n: F.struct(F.lit(level).alias("level"), n.alias("node"))))
+
+    nodes = F.flatten(F.array_compact(F.array(*map(spans_of, range(LEVELS + 1)))))
+    daily = times.groupBy("tile", day(F.col("t")).alias("day")).agg(*sums)
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.floor(F.col("day") / 2**i).alias("node")) for i in range(LEVELS + 1)]))
+    joined = daily.select("tile", levels.alias("s"), "n", "first").groupBy("tile", "s.level", "s.node").agg(*sums)
+    inside = spans.select(*key, F.explode(nodes).alias("s")).select(*key, "s.level", "s.node").hint("merge").join(joined, ["tile", "level", "node"])
+    counted = at_ends.select(*key, "n", "first").unionByName(inside.select(*key, "n", "first")).groupBy(*key).agg(*sums)
+    counted = counted.select(F.col("tile").alias("__tile"), "o", "c", F.col("n").alias("scenes"), F.col("first").alias("first_scene"))
+    return windows.join(counted, (F.col("tile") == F.col("__tile")) & (opens == F.col("o")) & (closes == F.col("c"))).drop("__tile", "o", "c")
+
+
 def with_scores(scenes: DataFrame, scores: DataFrame) -> DataFrame:
     """Scenes with their score row where there is one; the others stay, not linked."""
     return scenes.join(scores.withColumn("__s", F.lit(True)), "scene_id", "left").withColumn("cloud_score_linked", F.coalesce("__s", F.lit(False))).drop("__s")

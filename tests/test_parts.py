@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import clean, geo
-from emberline.operators import events, incidents, polygons, proximity, quality, raster, sampling
+from emberline.operators import events, incidents, polygons, proximity, quality, raster, sampling, scenes
 from emberline.operators.ranking import blocked
 from emberline.plans.event_plans import golden_distance
 from emberline.sources import files
@@ -294,3 +294,19 @@ def test_support_covers_every_member(spark):
     for m in members.collect():
         near = sum(math.hypot(r.px - m.x_m, r.py - m.y_m) <= 1000.0 for r in got)
         assert near >= 11
+
+
+def test_catalog_counts_equal_the_scenes_listed(spark):
+    """Windows within a day, across days and years, empty and before 1970; many windows and scenes alike."""
+    rng = random.Random(4)
+    at = lambda hours: dt.datetime(1969, 12, 1) + dt.timedelta(seconds=hours * 3600)
+    catalog = [(i, i % 3, at(rng.choice([rng.uniform(0, 24 * 900), 24 * rng.randrange(900)]))) for i in range(1500)]
+    windows = [(i, i % 4, at(a), at(a + rng.choice([0, 5, 24, 30, 24 * 40, 24 * 800, -7]))) for i in range(300) for a in [rng.choice([rng.uniform(0, 24 * 900), 24.0 * rng.randrange(900)])]]
+    windows += [(1000 + i, 1, at(24 * 40), at(24 * 70)) for i in range(50)]
+    w = spark.createDataFrame(windows, "event_id int, tile int, opens timestamp, closes timestamp")
+    c = spark.createDataFrame(catalog, "scene_id int, tile int, acquired_at timestamp")
+    got = {r.event_id: (r.scenes, r.first_scene) for r in scenes.catalog_counts(w, c).collect()}
+    expected = {i: (len(met), min(met)) for i, tile, a, b in windows for met in [[k for k, s, t in catalog if s == tile and a <= t <= b]] if met}
+    assert got == expected and len(got) > 150
+    listed = {(r.event_id, r.n, r.first) for r in scenes.catalog_in_windows(w.where("opens <= closes"), c).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("scene_id").alias("first")).collect()}
+    assert listed == {(i, *v) for i, v in expected.items()}
