@@ -35,23 +35,25 @@ def _turn(ax, ay, bx, by, cx, cy):
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, key: str, x: str = "x_m", y: str = "y_m", bands: int = 64) -> DataFrame:
+def points_in_polygons(points: DataFrame, edges: DataFrame, key: str, x: str = "x_m", y: str = "y_m", bands: int = 64, own: bool = False) -> DataFrame:
     """(key, polygon) of the points inside: outer edges count as inside, hole edges as outside.
 
     Edges are dealt to horizontal bands and meet only the points of their band, after a cut to the
-    polygons' common box; crossings are counted per ring.
+    polygons' common box; crossings are counted per ring. With ``own`` a point has a polygon and
+    meets that alone; neither side is then broadcast, as Spark may take either for small.
     """
     box = edges.agg(F.min("y1").alias("lo"), F.max("y1").alias("hi"), F.min("x1").alias("w"), F.max("x1").alias("e")).first()
     if box["lo"] is None:
         return points.select(key).limit(0).withColumn("polygon", F.lit(0))
     size = max((box["hi"] - box["lo"]) / bands, 1e-9)
     band = lambda c: F.floor((c - box["lo"]) / size)
-    near = points.where(F.col(x).between(box["w"] - ON_EDGE, box["e"] + ON_EDGE) & F.col(y).between(box["lo"] - ON_EDGE, box["hi"] + ON_EDGE)).select(key, F.col(x).alias("px"), F.col(y).alias("py")).withColumn("band", band(F.col("py")))
+    near = points.where(F.col(x).between(box["w"] - ON_EDGE, box["e"] + ON_EDGE) & F.col(y).between(box["lo"] - ON_EDGE, box["hi"] + ON_EDGE)).select(key, *["polygon"] * own, F.col(x).alias("px"), F.col(y).alias("py")).withColumn("band", band(F.col("py")))
     spread = edges.withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2") - ON_EDGE), band(F.greatest("y1", "y2") + ON_EDGE))))
     px, py, x1, y1, x2, y2 = (F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2"))
     touches = (F.abs(_turn(x1, y1, x2, y2, px, py)) <= ON_EDGE) & px.between(F.least(x1, x2) - ON_EDGE, F.greatest(x1, x2) + ON_EDGE) & py.between(F.least(y1, y2) - ON_EDGE, F.greatest(y1, y2) + ON_EDGE)
     crosses = ((y1 > py) != (y2 > py)) & (px < F.try_divide((x2 - x1) * (py - y1), y2 - y1) + x1)
-    rings = near.join(spread, "band").groupBy(key, "polygon", "ring", "is_hole").agg(F.bool_or(touches).alias("on"), (F.count_if(crosses) % 2 == 1).alias("odd"))
+    met = near.hint("merge").join(spread, ["polygon", "band"]) if own else near.join(spread, "band")
+    rings = met.groupBy(key, "polygon", "ring", "is_hole").agg(F.bool_or(touches).alias("on"), (F.count_if(crosses) % 2 == 1).alias("odd"))
     # Inside the outer ring or on it, and neither inside a hole nor on its edge.
     verdict = rings.groupBy(key, "polygon").agg(
         F.bool_or(~F.col("is_hole") & (F.col("on") | F.col("odd"))).alias("outer"), F.bool_or(F.col("is_hole") & (F.col("on") | F.col("odd"))).alias("hole")
@@ -144,15 +146,23 @@ def nesting(edges: DataFrame, per: int = 100) -> DataFrame:
 
 
 def interior_points(edges: DataFrame, steps: int = 19) -> DataFrame:
-    """(polygon, x, y): the mean of the outer vertices if inside, else the first grid point that is."""
+    """(polygon, x, y): the mean of the outer vertices if inside, else the first grid point that is.
+
+    A polygon's points meet its own edges alone, and only polygons without a point yet try more of the grid.
+    """
     outer = edges.where("not is_hole").groupBy("polygon").agg(F.avg("x1").alias("mx"), F.avg("y1").alias("my"), F.min("x1").alias("w"), F.max("x1").alias("e"), F.min("y1").alias("s"), F.max("y1").alias("n"))
-    grid = outer.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps * steps))))
     i, j = F.col("k") - 1, F.lit(steps)
     gx = F.col("w") + (F.col("e") - F.col("w")) * ((i % j) + 1) / (steps + 1)
     gy = F.col("s") + (F.col("n") - F.col("s")) * (F.floor(i / j) + 1) / (steps + 1)
-    tries = grid.select("polygon", "k", F.when(F.col("k") == 0, F.col("mx")).otherwise(gx).alias("x_m"), F.when(F.col("k") == 0, F.col("my")).otherwise(gy).alias("y_m")).withColumn("try", F.struct("polygon", "k"))
-    found = points_in_polygons(tries, edges, "try").where(F.col("try.polygon") == F.col("polygon")).select("try")
-    return tries.join(found, "try").groupBy("polygon").agg(F.min_by(F.struct("x_m", "y_m"), "k").alias("p")).select("polygon", F.col("p.x_m").alias("x"), F.col("p.y_m").alias("y"))
+    pending, out, k = cut(outer), None, 0
+    while k <= steps * steps and (k == 0 or not pending.isEmpty()):
+        last = min(steps * steps, max(2 * k, steps) if k else 0)
+        grid = pending.withColumn("k", F.explode(F.sequence(F.lit(k), F.lit(last))))
+        tries = grid.select("polygon", "k", F.when(F.col("k") == 0, F.col("mx")).otherwise(gx).alias("x_m"), F.when(F.col("k") == 0, F.col("my")).otherwise(gy).alias("y_m")).withColumn("try", F.struct("polygon", "k", "x_m", "y_m"))
+        found = points_in_polygons(tries, edges, "try", own=True).groupBy("polygon").agg(F.min_by("try", "try.k").alias("p"))
+        found = cut(found.select("polygon", F.col("p.x_m").alias("x"), F.col("p.y_m").alias("y")))
+        out, pending, k = found if out is None else out.unionByName(found), cut(pending.join(found, "polygon", "left_anti")), last + 1
+    return out
 
 
 def simplified_rings(edges: DataFrame, tolerance: float) -> DataFrame:

@@ -73,6 +73,17 @@ def test_polygon_edges_and_holes(spark):
     assert (inside.x, inside.y) != (-79.5, 8.5)
 
 
+def test_points_meet_their_own_polygon_alone(spark):
+    """Forty copies of a holed square in one place, each with a point inside and one only inside the others."""
+    edges = polygons.edge_table(spark, [[SQUARE, HOLE]] * 40 + [[[(0, 0), (1, 0), (1, 1), (0, 0)]]])
+    table = spark.createDataFrame([(f"{p}{n}", p, x, y) for p in range(41) for n, x, y in (("in", -79.9, 8.1), ("hole", -79.5, 8.5))], "k string, polygon int, x_m double, y_m double")
+    found = polygons.points_in_polygons(table, edges, "k", own=True)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.k, r.polygon) for r in found.collect()} == {(f"{p}in", p) for p in range(40)}
+    got = {r.polygon: (round(r.x, 9), round(r.y, 9)) for r in polygons.interior_points(edges).collect()}
+    assert got == {p: (-79.95, 8.05) for p in range(40)} | {40: (round(2 / 3, 9), round(1 / 3, 9))}
+
+
 def test_ring_checks_and_nesting(spark):
     bow = [(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]
     thin = [(0, 0), (1, 1), (2, 2), (0, 0)]
