@@ -158,3 +158,22 @@ def test_edges_are_never_a_broadcast(spark, sf):
     edges = space_time_edges(detections(spark, sf), 1500, 6)
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_complete_stars_leave_the_rounds(spark, monkeypatch):
+    """A thousand pairs and one path over all places: only what is no star yet takes part in a round."""
+    monkeypatch.setattr(components, "PER_TASK", 300)
+    seen, stars = [], components._stars
+    monkeypatch.setattr(components, "_stars", lambda edges, keys: (seen.append(edges.count()), stars(edges, keys))[1])
+    edges = [("k", 2 * i, 2 * i + 1, i) for i in range(10_000, 11_000)] + [("k", i, i + 1, i) for i in range(1500)]
+    got = {r.id: r.component for r in component_roots(spark.createDataFrame(edges, "k string, src long, dst long, near long"), keys=["k"], near="near").collect()}
+    assert got == {2 * i + 1: 2 * i for i in range(10_000, 11_000)} | dict.fromkeys(range(1, 1501), 0)
+    assert seen and max(seen) <= 1500
+
+
+def test_a_place_with_more_than_a_task_holds_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(components, "PER_TASK", 100)
+    edges = spark.range(1, 1000).select((F.col("id") - 1).alias("v"), F.col("id").alias("u"), F.lit(7).alias("near"))
+    sizes = components._dealt(edges, 10).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 500
+    assert component_roots(edges, "u", "v", near="near").where("component = 0").count() == 999
