@@ -59,7 +59,7 @@ def scan_detection_files(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     within a file; ``detection_id`` hashes file, content hash and row number. Files are read by
     byte ranges, so one of any size is many tasks' work.
     """
-    numbered = numbered_lines(spark, path)
+    numbered = cut(numbered_lines(spark, path))  # read several times below
     heads = numbered.where("n = 0").select("path", F.col("value").alias("header"))
     known = []
     for r in heads.select("header").distinct().collect():  # a line per distinct header

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from emberline.runtime import cut, fill, remove
 
 #: Bytes of a range of lines, and of one read.
 RANGE, READ = 64 << 20, 8 << 20
+#: Ranges that each have a task of their own; more are read several by a task, RANGE bytes together.
+FEW_TASKS = 64
 
 
 def store_of(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -56,20 +59,35 @@ def _lines(batches) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             fs, place = store_of(row["path"])
             with fs.open_input_file(place) as source:
-                yield from _range_lines(source, row["path"], row["start"], row["stop"])
+                for lines in _range_lines(source, row["path"], row["start"], row["stop"]):
+                    n = pa.compute.add(lines.column("within"), row["shift"])
+                    yield pa.RecordBatch.from_arrays([lines.column("path"), n, lines.column("value")], names=["path", "n", "value"])
+
+
+def _counts(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            fs, place = store_of(row["path"])
+            with fs.open_input_file(place) as source:
+                found.append(sum(lines.num_rows for lines in _range_lines(source, row["path"], row["start"], row["stop"])))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "start", "stop")), pa.array(found, pa.int64())], names=["path", "start", "stop", "lines"])
 
 
 def _range_lines(source, path: str, start: int, stop: int) -> Iterator[pa.RecordBatch]:
-    """The lines that begin in [start, stop), blank ones left out, in batches; the last one is read to its end."""
+    """The lines that begin in [start, stop), blank ones left out, in batches; the last one is read to its end.
+
+    Of the bytes behind the range a page is read at first, then as many again.
+    """
     source.seek(max(0, start - 1))
     at, rest, number = max(0, start - 1), b"", 0
     inside = start == 0  # else what comes before the first line end belongs to the range before
     while True:
-        piece = source.read(READ)
+        piece = source.read(min(READ, max(4096, stop - at - len(rest) + 1, len(rest))))
         block = rest + piece
         if not inside:
             cut_at = block.find(b"\n") + 1
-            if not cut_at and piece:
+            if not cut_at and piece and at + len(block) < stop:
                 at, rest = at + len(block), b""
                 continue
             if not cut_at or at + cut_at >= stop:
@@ -89,19 +107,22 @@ def _range_lines(source, path: str, start: int, stop: int) -> Iterator[pa.Record
         at, rest = at + end, block[end:]
 
 
-def numbered_lines(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
-    """(path, n, value): the lines of all files that are not blank, numbered from 0 within their file.
+def numbered_lines(spark: SparkSession, path: str, range_bytes: int = RANGE, through: bool = False) -> DataFrame:
+    """(path, n, value): the lines of all files that are not blank, numbered from 0 within their file, or ``through`` all files in the order of their names.
 
-    Files are dealt out as byte ranges; a line belongs to the range in which it begins. Numbers within a
-    range are shifted by the counts of the ranges before, so no file is sorted or read by one task.
+    Files are dealt out as byte ranges, of which a task reads many if they are small; a line belongs to
+    the range in which it begins. A first reading counts the lines of each range, a second one numbers
+    them from the sum of the counts before, so lines are never sorted, joined or read by one task.
     """
-    files = list_files(spark, path)
-    ranges = cut(files.where("size_bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"), "size_bytes"))
-    dealt = ranges.withColumn("stop", F.least(F.col("start") + range_bytes, "size_bytes")).repartition(fill(ranges.count(), 1), "path", "start")
-    lines = cut(dealt.select("path", "start", "stop").mapInArrow(_lines, "path string, start long, within long, value string"))
-    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    shifts = lines.groupBy("path", "start").agg(F.count(F.lit(1)).alias("lines")).withColumn("shift", F.coalesce(F.sum("lines").over(before), F.lit(0)))
-    return lines.join(shifts.select("path", "start", "shift"), ["path", "start"]).select("path", (F.col("shift") + F.col("within")).alias("n"), "value")
+    files = list_files(spark, path).where("size_bytes > 0")
+    ranges = cut(files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"), "size_bytes"))
+    count = ranges.count()
+    tasks = max(min(count, FEW_TASKS), fill(count * range_bytes, RANGE))
+    dealt = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "size_bytes").alias("stop")).repartition(tasks, "path", "start")
+    counts = cut(dealt.mapInArrow(_counts, "path string, start long, stop long, lines long"))
+    before = (Window.orderBy("path", "start") if through else Window.partitionBy("path").orderBy("start")).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    shifted = cut(counts.select("path", "start", "stop", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("shift")).repartition(tasks, "path", "start"))
+    return shifted.mapInArrow(_lines, "path string, n long, value string")
 
 
 def _rename(spark: SparkSession, draft: str, path: str) -> bool:

@@ -71,3 +71,16 @@ def test_set_tree_tells_sets_apart(spark):
     root = lambda values: tuple(files.set_tree(spark.createDataFrame([(v,) for v in values], "id string"), "id", 1).first())
     assert root(["a", "b", "c"]) == root(["c", "b", "a", "a", None]) != root(["a", "b"]) and root(["ab", "c"]) != root(["a", "bc"])
     assert root([])[1:] == (0, 0)
+
+
+def test_lines_are_numbered_through_files_and_few_bytes_are_read(spark, tmp_path, monkeypatch):
+    """Thousands of small ranges are a few tasks' work, and a range reads about its own bytes."""
+    texts = ["\n".join(f"{i:02d} {j}" for j in range(400)) + "\n" for i in range(5)]
+    for i, text in enumerate(texts):
+        (tmp_path / f"part-{i}").write_text(text)
+    lines = stores.numbered_lines(spark, str(tmp_path), 10, through=True)
+    assert lines.rdd.getNumPartitions() <= stores.FEW_TASKS
+    assert [r.value for r in sorted(lines.collect(), key=lambda r: r.n)] == "".join(texts).splitlines() and lines.agg({"n": "max"}).first()[0] == 1999
+    (tmp_path / "part-0").write_bytes(b"x" * 99 + b"\n" + b"y\n" * 500_000)
+    with open(tmp_path / "part-0", "rb") as source:
+        assert sum(b.num_rows for b in stores._range_lines(source, "f", 100, 120)) == 10 and source.tell() < 10_000
