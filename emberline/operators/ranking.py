@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.runtime import cut, fill
+from emberline.runtime import cut, fill, spread
+
+#: So many ranges of a total order are always allowed.
+RANGES = 64
 
 
 def total_order(rows: DataFrame, order: list[Column], per: int = 1_000_000) -> DataFrame:
     """``rows`` in ascending ranges, each sorted in place, plus position: the place in the total order, from 0.
 
-    Ranges come from a sample, so none is much larger than ``per``; a range's first position is the sum
-    of the counts before it. The ranges are kept, so that every reader sees the same positions.
+    Ranges come from a sample, so none is much larger than ``per``, unless that makes so many that they
+    rather grow as a root with the rows. A range's first position is the sum of the counts before it.
+    The ranges are kept, so that every reader sees the same positions.
     """
-    ranges = fill(rows.count(), per)
+    count = rows.count()
+    ranges = min(fill(count, per), max(RANGES, spread(count)))
     placed = cut(rows.repartitionByRange(ranges, *order).withColumn("__block", F.spark_partition_id()) if ranges > 1 else rows.withColumn("__block", F.lit(0)))
     out = blocked(placed, [], F.col("__block"), order, rank="position")
     return out.repartitionByRange(ranges, "position").sortWithinPartitions("position")

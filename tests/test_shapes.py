@@ -113,3 +113,10 @@ def test_floats_between_two_short_forms_round_by_their_exact_value(spark):
     values = [296.35 / 3, 258.85 / 3, 283.6 / 3, 0.1234567890123455, 123456789012345.5, 12345678901234.25]
     got = [r.t for r in spark.createDataFrame([(v,) for v in values], "v double").select(clean.general_float(F.col("v")).alias("t")).collect()]
     assert got == [f"{v:.15g}" for v in values] and got[0] == "98.7833333333333"
+
+
+def test_ranges_of_a_total_order_grow_as_a_root(spark):
+    from emberline.operators import ranking
+
+    out = ranking.total_order(spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("a")), [F.col("a")], 10)
+    assert out.rdd.getNumPartitions() <= ranking.RANGES and out.where("a <> position").count() == 0
