@@ -68,3 +68,16 @@ def test_radius_audit(spark, tables):
         x = got[ref[0]]
         assert (x.contemporaneous, x.within_1000_m, x.within_20000_m) == (len(now), inside(1000), inside(20000))
         assert (x.closest_event, x.closest_m and round(x.closest_m, 6)) == closest.get((ref[0], 1), (None, None))
+
+
+def test_windows_with_few_events_do_not_search_everywhere(spark, tables, monkeypatch):
+    """Before, a window with fewer than k events widened its cells until they held all places."""
+    _, _, e, _ = tables
+    far = spark.createDataFrame([("lone", 7e4, 7e3, T0 + dt.timedelta(days=300), T0 + dt.timedelta(days=301))], "event_id string, x_m double, y_m double, start_ts timestamp, end_ts timestamp")
+    day = T0.date() + dt.timedelta(days=299)
+    rows = [("few", 7e4 + 30, 7e3, day, day + dt.timedelta(days=5)), ("none", 7e4, 7e3, day, day)]
+    refs = spark.createDataFrame(rows, "reference_id string, x_m double, y_m double, window_start date, window_end date")
+    sides, at = [], proximity._at
+    monkeypatch.setattr(proximity, "_at", lambda side, *a: (sides.append(side), at(side, *a))[1])
+    got = proximity.nearest(e.unionByName(far), refs, 10, temporal=True).collect()
+    assert [(r.reference_id, r.event_id, r.distance_m, r.rank) for r in got] == [("few", "lone", 30.0, 1)] and max(sides) < 4e4
